@@ -50,11 +50,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle_table(df: DataFrame, what: str) -> DataFrame:
+def settle_table(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """The same as Parquet, for wide tables of which later steps read a few columns."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator; all of them must import.
-MODULES = ("sharding", "mixing")
+MODULES = ("sharding", "mixing", "exact_dedup", "warc", "packing")
 
 
 def _merged(name: str) -> dict:
