@@ -90,3 +90,25 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(len(h) + 1, _U)
     np.cumsum(h * power[: len(h)], out=total[1:], dtype=_U)
     return mixed((total[k:] - total[:n]) * inverse[:n], 9)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the runs of ``k`` words of each text, and the text of each, sorted by text and
+    hash. A text with fewer words has its whole sequence as one; a text without words has none."""
+    starts, ends, text = words(data, offsets)
+    h = span_hashes(data, starts, ends, lower)
+    n = len(offsets) - 1
+    count = np.bincount(text, minlength=n)
+    long = run_hashes(h, k)
+    fits = text[: len(long)] == text[k - 1 :] if len(long) else np.zeros(0, bool)
+    short = np.flatnonzero((count > 0) & (count < k))
+    power, inverse = _powers(1 << max(16, int(len(h)).bit_length()))
+    total = np.concatenate((np.zeros(1, _U), np.cumsum(h * power[: len(h)], dtype=_U)))
+    first = np.concatenate(([0], np.cumsum(count)))[short]
+    whole = mixed((total[first + count[short]] - total[first]) * inverse[first] + count[short].astype(_U), 13)
+    out, owner = np.concatenate((long[fits], whole)), np.concatenate((text[: len(long)][fits], short))
+    order = np.lexsort((out, owner))
+    out, owner = out[order], owner[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[new], owner[new]
