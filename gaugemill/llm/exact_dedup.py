@@ -94,6 +94,19 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return rows.join(groups, "digest").select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def exact_dedup_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, that bear the smallest id of their group of equal texts;
+    of rows that repeat both id and text, one."""
+    marked = exact_dedup(docs, text_col, id_col)
+    kept = settle(marked.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n")))
+    text = F.regexp_replace(text_or_empty(text_col), WS_RUN, " ")
+    rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))
+    rows = rows.join(kept.select("_id", "_digest"), (F.col("_own") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if kept.where("_n > 1").limit(1).count():
+        rows = rows.dropDuplicates([id_col, "_own"])
+    return rows.select(*docs.columns)
+
+
 def op6_exact_dedup(spark, sf_dir):
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

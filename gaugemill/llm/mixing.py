@@ -69,7 +69,7 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col:
     here = here.withColumn("copies", F.floor("_r")).withColumn("_p", F.col("_r") - F.col("copies")).withColumn("_budget", F.round("target").cast("long") - F.col("copies") * F.col("source_size"))
     ranked = sized.join(here, F.col(source_col).eqNullSafe(F.col("_source")), "left")
     ranked = ranked.withColumn("_u", u).withColumn("_q", F.when(p > 0, (F.col("_u") / (1.0 - F.col("_u"))) / odds))
-    x = F.col("_q") * odds
+    x = F.col("_q") * odds  # for odds that are equal in a source this is u / (1 - u), so bins are even
     ranked = ranked.withColumn("_bin", F.coalesce(F.floor(x / (1.0 + x) * bins), F.floor(F.col("_u") * bins)))
     per_bin = ranked.groupBy("_source", "_bin").agg(F.sum(size).alias("_in_bin"))
     ahead = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,6 +82,26 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col:
     return ranked.select(*sized.columns, "source_size", "target", "copies", "extra", "taken")
 
 
+def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: every row of ``docs`` as many times as the mix takes it, whole.
+
+    A document of which the sample takes half or more is taken whole once more, others are not, so a
+    source meets its target to half a document. Per source this is one cut in the order of the ranks,
+    and each row is held against it where it is read: texts are not shuffled.
+    """
+    sized = settle(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), word_count(F.col(text_col)).alias("size")))
+    targets = settle(source_targets(sized, "_from"))
+    taken = pareto_mix(sized, targets, seed, "_id", "_from")
+    u = hash_uniform(seed, F.col("_id"))
+    cut = taken.where("extra * 2 >= size AND size > 0").groupBy(F.col("_from").alias("_s")).agg(F.max(F.struct(u.alias("u"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"))).alias("_cut"))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rule = settle(targets.select(F.col("_from").alias("_t"), F.floor(share).cast("int").alias("_copies")).join(cut, F.col("_t").eqNullSafe(F.col("_s")), "left").select("_t", "_copies", "_cut"))
+    own = F.struct(hash_uniform(seed, F.col(id_col)).alias("u"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"))
+    rows = docs.join(rule, F.col(source_col).eqNullSafe(F.col("_t")))
+    n = F.when(word_count(F.col(text_col)) > 0, F.col("_copies") + F.coalesce((own <= F.col("_cut")).cast("int"), F.lit(0))).otherwise(F.lit(0))
+    return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+
+
 def op2_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))

@@ -238,6 +238,12 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 512,
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
 
 
+def near_dedup_rows(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its group of near copies."""
+    kept = ngram_join(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(settle(kept), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
 def op3_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
 
