@@ -5,9 +5,9 @@
    cannot reach the threshold with any, so most documents end here.
 2. Equal sets become one representative (smallest id).
 3. By the prefix principle a similar pair shares one of the first  s - ceil(t n) + 1  of the s shared
-   tokens in one global order (rarest first). Those with such a token in common form a block; blocks
-   with equal members are one. Large blocks are cut into pairs of sub-blocks.
-4. Inside a block, signature trees are walked together; what they leave is decided exactly.
+   tokens in one global order (rarest first). Those with such a token in common form a block, and
+   blocks that share a member a family. Large families are cut into pairs of parts.
+4. Inside a family, signature trees are walked together; what they leave is decided exactly.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ def _join_blocks(percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024, family_most: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: sets of ``k``-word shingles of the text with
     A-Z in lower case, linked when 100 * intersection >= percent * union.
 
@@ -221,11 +221,19 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 512,
     reps = settle_table(reps.join(groups, "mark").drop("mark"), "reps", "lz4")
 
     postings = reps.select("rep", "prefix", "tokens").mapInArrow(_prefix_rows, "token long, rep long")
-    per = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    per = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     # Tokens with the same representatives make the same block; the smallest token stands for them.
-    blocks = per.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n")
+    blocks = settle(per.where("n > 1").groupBy("n", "x", "y", "first").agg(F.min("token").alias("token")).select("token", "n", "first"))
+    member = settle(postings.join(blocks, "token").select("token", "n", "first", "rep"))
+    # Representatives that blocks chain together are compared as one family, so that each set moves once.
+    family = components(member.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    family = settle(family.join(size, "family"))
+    # A chain of more than ``family_most`` is left to its blocks one by one.
+    wide = member.join(family.where(F.col("n") > family_most).select("rep"), "rep", "left_semi").select(F.col("token").alias("block"), F.lit(1).alias("kind"), "n", "rep")
+    member = family.where(F.col("n") <= family_most).select(F.col("family").alias("block"), F.lit(0).alias("kind"), "n", "rep").unionByName(wide)
     subs = F.ceil(F.col("n") / most).cast("int")
-    member = postings.join(settle(blocks), "token").select(F.col("token").alias("block"), "rep", subs.alias("k"), F.pmod(F.xxhash64("rep", "token"), subs).cast("int").alias("sub"))
+    member = member.select(F.xxhash64("block", "kind").alias("block"), "rep", subs.alias("k"), F.pmod(F.xxhash64("rep", "block"), subs).cast("int").alias("sub"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     member = member.select("block", "rep", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), (F.col("sub") > F.col("other")).cast("int").alias("side"))
     work = member.join(reps.select("rep", "n_shingles", "tokens"), "rep").select("block", "i", "j", "side", "rep", "n_shingles", "tokens")
