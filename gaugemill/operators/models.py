@@ -55,7 +55,7 @@ def fit_candidates(train: DataFrame, seed: int = 20260920, trees: int = 40) -> d
 def scores(model, df: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(df).withColumn("p", vector_to_array("probability")[1])
+    return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")
 
 
 def calibrate(model, part: DataFrame):
@@ -66,8 +66,7 @@ def calibrate(model, part: DataFrame):
 
 
 def calibrated(model, isotonic, df: DataFrame) -> DataFrame:
-    out = isotonic.transform(scores(model, df))
-    return out.withColumn("p", F.col("prediction")) if "prediction" in out.columns else out
+    return isotonic.transform(scores(model, df)).withColumn("p", F.col("prediction")).drop("prediction")
 
 
 def gain_shares(model, features=MODEL_FEATURES) -> dict[str, float]:

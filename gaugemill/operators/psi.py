@@ -17,7 +17,7 @@ MIN_ROWS = 1000
 
 def _counted(long: DataFrame, *by: str) -> DataFrame:
     value = F.nanvl(F.col("value"), F.lit(None).cast("double"))
-    return long.select(*by, "feature", value.alias("value")).where("value IS NOT NULL").groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.select(*by, "feature", value.alias("value")).where("value IS NOT NULL").groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def fit_edges(reference: DataFrame, bins: int = 10, approximate: bool = False) -> DataFrame:
@@ -30,7 +30,7 @@ def fit_edges(reference: DataFrame, bins: int = 10, approximate: bool = False) -
     """
     points = [i / bins for i in range(bins + 1)]
     per = _counted(reference)
-    exact = F.percentile("value", F.array(*map(F.lit, points)), F.col("n"))
+    exact = F.percentile("value", F.array(*map(F.lit, points)), F.col("_n"))
     q = F.percentile_approx("value", points, 100_000) if approximate else exact
     few = F.count(F.lit(1))
     edges = (reference.where("value IS NOT NULL").groupBy("feature").agg(q.alias("q")) if approximate else per.groupBy("feature").agg(q.alias("q")))
@@ -54,11 +54,11 @@ def bin_of(value: Column, interior: Column) -> Column:
 
 def shares(long: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
     """(by..., feature, bin, share) for every bin, at least 1e-6 each and not renormalised."""
-    binned = _counted(long, *by).join(F.broadcast(edges), "feature").groupBy(*by, "feature", bin_of(F.col("value"), F.col("interior")).alias("bin")).agg(F.sum("n").alias("n"))
-    total = binned.groupBy(*by, "feature").agg(F.sum("n").alias("total"))
+    binned = _counted(long, *by).join(F.broadcast(edges), "feature").groupBy(*by, "feature", bin_of(F.col("value"), F.col("interior")).alias("bin")).agg(F.sum("_n").alias("_n"))
+    total = binned.groupBy(*by, "feature").agg(F.sum("_n").alias("total"))
     all_bins = total.join(F.broadcast(edges), "feature").select(*by, "feature", "total", F.explode(F.sequence(F.lit(0), F.size("interior"))).alias("bin"))
     out = all_bins.join(binned, [*by, "feature", "bin"], "left")
-    return out.select(*by, "feature", "bin", F.greatest(F.coalesce("n", F.lit(0)) / F.greatest("total", F.lit(1)), F.lit(FLOOR)).alias("share"))
+    return out.select(*by, "feature", "bin", F.greatest(F.coalesce("_n", F.lit(0)) / F.greatest("total", F.lit(1)), F.lit(FLOOR)).alias("share"))
 
 
 def psi(reference: DataFrame, current: DataFrame, *by: str, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
@@ -74,10 +74,10 @@ def native_psi(reference: DataFrame, current: DataFrame) -> DataFrame:
     """The index a reporting library computes by itself, as a cross-check: one bin per value up to 20
     distinct values, else Sturges bins of equal width over the union of both sides."""
     both = _counted(reference.withColumn("side", F.lit("r")).unionByName(current.withColumn("side", F.lit("c"))), "side")
-    stats = both.groupBy("feature").agg(F.countDistinct("value").alias("ndv"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("all"))
+    stats = both.groupBy("feature").agg(F.countDistinct("value").alias("ndv"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("_n").alias("all"))
     k = F.ceil(F.log2("all") + 1)
     slot = F.when(F.col("ndv") <= 20, F.col("value")).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / k)), k - 1).cast("double"))
-    per = both.join(F.broadcast(stats), "feature").groupBy("feature", slot.alias("slot")).agg(F.sum(F.when(F.col("side") == "r", F.col("n"))).alias("r"), F.sum(F.when(F.col("side") == "c", F.col("n"))).alias("c"))
+    per = both.join(F.broadcast(stats), "feature").groupBy("feature", slot.alias("slot")).agg(F.sum(F.when(F.col("side") == "r", F.col("_n"))).alias("r"), F.sum(F.when(F.col("side") == "c", F.col("_n"))).alias("c"))
     total = per.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
     share = lambda n, t: F.greatest(F.coalesce(n, F.lit(0)) / F.col(t), F.lit(1e-4))
     per = per.join(F.broadcast(total), "feature").withColumn("p", share(F.col("c"), "ct")).withColumn("q", share(F.col("r"), "rt"))
