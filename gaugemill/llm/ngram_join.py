@@ -23,7 +23,7 @@ from .mph import mixed
 from .signature_tree import similar_pairs, spanning_links
 from .textops import shingles, slices
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _U = np.uint64
 _BLOCKS = "bucket int, chunk long, counts binary, marks binary, low binary, high binary"
 _SHARED = "bucket int, chunk long, docs binary, tokens binary, rarity binary"
