@@ -26,55 +26,66 @@ from .textops import shingles, slices
 CHUNK_BYTES = 8 << 20
 _U = np.uint64
 _BLOCKS = "bucket int, chunk long, counts binary, marks binary, low binary, high binary"
-_SHARED = "bucket int, chunk long, docs binary, tokens binary, rarity binary"
+SHARED = "bucket int, chunk long, docs binary, tokens binary, rarity binary"
 _SETS = "doc_id long, n_shingles long, mark binary, prefix int, tokens binary"
 
 
-def _emit(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Per chunk of texts and bucket: shingles per text, 32 bits that stand for each text's set, and
-    the hashes as 32 + 8 bits. Bucket < 0: the chunk's ids, set sizes and 128-bit set marks."""
+def shingle_measure(k: int):
+    """Distinct shingle hashes of each text, how many they are, and 128 bits that stand for the set."""
+
+    def measure(data, offsets):
+        n = len(offsets) - 1
+        h, owner = shingles(data, offsets, k)
+        sizes, marks = np.bincount(owner, minlength=n), np.zeros((n, 2), _U)
+        for c in (0, 1):
+            np.add.at(marks[:, c], owner, mixed(h, 21 + c))
+        marks[:, 1] += sizes.astype(_U)
+        return h, owner, sizes, marks
+
+    return measure
+
+
+def emit(docs: DataFrame, measure, buckets: int) -> DataFrame:
+    """Per chunk of texts and bucket: hashes per text, 32 bits of each text's mark, and the hashes as
+    32 + 8 bits. Bucket < 0: the chunk's ids, sizes and 128-bit marks. ``measure`` gives for texts
+    (hashes, owners sorted, size and mark of each text); rows are (id, text)."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids, sizes, hashes, held = [], [], [], 0
+        ids, held, parts = [], 0, []
 
         def flush():
-            nonlocal ids, sizes, hashes, held, seq
+            nonlocal ids, held, parts, seq
             chunk = (part << 32) + seq
-            n, h = np.concatenate(sizes), np.concatenate(hashes)
-            doc = np.repeat(np.arange(len(n)), n)
-            mark = np.zeros((len(n), 2), _U)
-            for c in (0, 1):
-                np.add.at(mark[:, c], doc, mixed(h, 21 + c))
-            mark[:, 1] += n.astype(_U)
-            rows = [(-1 - chunk % 64, chunk, n.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _ids(ids), b"")]
+            first = np.concatenate(([0], np.cumsum([len(x[2]) for x in parts])))
+            h, doc = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + f for x, f in zip(parts, first, strict=False)])
+            size, mark = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
+            rows = [(-1 - chunk % 64, chunk, size.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _ids(ids), b"")]
             b = (h % _U(buckets)).astype(np.int64)
             h40 = (h // _U(buckets)) & _U((1 << 40) - 1)
             short = mark[:, 0].astype("<u4").tobytes()
-            order = np.argsort(b * len(n) + doc, kind="stable")
+            order = np.argsort(b * len(size) + doc, kind="stable")
             b, doc, h40 = b[order], doc[order], h40[order]
             edge = np.searchsorted(b, np.arange(buckets + 1))
             for x in range(buckets):
                 s = slice(edge[x], edge[x + 1])
                 if edge[x] < edge[x + 1]:
-                    rows.append((x, chunk, np.minimum(np.bincount(doc[s], minlength=len(n)), 65535).astype("<u2").tobytes(), short, (h40[s] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (h40[s] >> _U(32)).astype("u1").tobytes()))
-            ids, sizes, hashes, held, seq = [], [], [], 0, seq + 1
+                    rows.append((x, chunk, np.minimum(np.bincount(doc[s], minlength=len(size)), 65535).astype("<u2").tobytes(), short, (h40[s] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (h40[s] >> _U(32)).astype("u1").tobytes()))
+            ids, held, parts, seq = [], 0, [], seq + 1
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
-                h, owner = shingles(data, offsets, k)
+                # A count of hashes per text and bucket is kept in 16 bits, so a huge text stands alone.
+                if held and held + len(data) > CHUNK_BYTES:
+                    yield flush()
                 ids += batch.column(0)[i:j].to_pylist()
-                sizes.append(np.bincount(owner, minlength=j - i))
-                hashes.append(h)
+                parts.append(measure(data, offsets))
                 held += len(data)
-                # A count of shingles per text and bucket is kept in 16 bits, so a huge text stands alone.
-                if held >= CHUNK_BYTES:
-                    yield flush()
         if ids:
             yield flush()
 
@@ -88,7 +99,7 @@ def _ids(ids: list) -> bytes:
     return np.array([_NULL_ID if x is None else x for x in ids], "<i8").tobytes()
 
 
-def _shared(key, t):
+def shared_hashes(key, t):
     """The hashes of one bucket that two different sets have, with a number that grows with how many."""
     bucket = key[0].as_py()
     if bucket < 0:
@@ -136,8 +147,7 @@ def _sets(percent: int):
         rest = [i for i in range(len(bucket)) if i != info]
         doc = np.concatenate([np.frombuffer(t["docs"][i].as_py(), "<u4") for i in rest] or [np.zeros(0, "<u4")])
         rare = np.concatenate([np.frombuffer(t["rarity"][i].as_py(), "u1") for i in rest] or [np.zeros(0, "u1")])
-        # A token's name must not depend on the chunk: hash and bucket give it.
-        token = np.concatenate([mixed(np.frombuffer(t["tokens"][i].as_py(), "<u8") | (_U(bucket[i]) << _U(40)), 31) for i in rest] or [np.zeros(0, _U)])
+        token = np.concatenate([token_names(np.frombuffer(t["tokens"][i].as_py(), "<u8"), bucket[i]) for i in rest] or [np.zeros(0, _U)])
         shared = np.bincount(doc, minlength=len(ids))
         alive = (100 * shared >= percent * n) & (n > 0)
         keep = alive[doc]
@@ -155,6 +165,17 @@ def _sets(percent: int):
     return run
 
 
+def bucket_count(rows: DataFrame, hashes_per_byte: float) -> int:
+    """A power of two that leaves about two million hashes to a bucket, so buckets do not grow."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << max(5, int(total * hashes_per_byte / (2 << 20)).bit_length())
+
+
+def token_names(hashes: np.ndarray, bucket: int) -> np.ndarray:
+    """A hash's name outside its bucket; it must not depend on the chunk."""
+    return mixed(hashes | (_U(bucket) << _U(40)), 31)
+
+
 def _prefix_rows(batches):
     for batch in batches:
         rep, tokens, prefix = (batch.column(c) for c in ("rep", "tokens", "prefix"))
@@ -209,9 +230,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024,
     of over 45 bits, so two different ones of a pair are taken for equal about once in 10^8 pairs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(5, int(total / 6 / (2 << 20)).bit_length())
-    shared = settle_table(_emit(rows, k, buckets).groupBy("bucket").applyInArrow(_shared, _SHARED), "shared", "lz4")
+    buckets = bucket_count(rows, 1 / 6)
+    shared = settle_table(emit(rows, shingle_measure(k), buckets).groupBy("bucket").applyInArrow(shared_hashes, SHARED), "shared", "lz4")
     sets = settle_table(shared.groupBy("chunk").applyInArrow(_sets(percent), _SETS), "sets", "lz4")
 
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
