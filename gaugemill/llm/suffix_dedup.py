@@ -58,7 +58,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
     """Length, up to ``most``, of the prefix that each suffix shares with the one before it in ``order``.
 
     Kasai's scan: a suffix shares at least one byte less than the suffix that starts one byte
-    earlier. Many stretches of ``LANE`` suffixes are scanned side by side.
+    earlier. That rests on the order of the differing byte; where the earlier pair agrees in all
+    ``most`` sorted bytes, it is used only if the neighbour too has moved on by one byte. Many
+    stretches of ``LANE`` suffixes are scanned side by side.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
@@ -70,7 +72,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
         live = np.flatnonzero(lanes + t < n)
         i = lanes[live] + t
         j = before[i]
-        h = np.where(j >= 0, np.maximum(have[live] - 1, 0), 0)
+        sure = (have[live] < most) | (j == before[np.maximum(i - 1, 0)] + 1)
+        h = np.where((j >= 0) & sure, np.maximum(have[live] - 1, 0), 0)
         go = np.flatnonzero(j >= 0)
         while len(go):
             x, y = i[go] + h[go], j[go] + h[go]
