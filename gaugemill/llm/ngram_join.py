@@ -23,7 +23,7 @@ from .mph import mixed
 from .signature_tree import similar_pairs, spanning_links
 from .textops import shingles, slices
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 _U = np.uint64
 _BLOCKS = "bucket int, chunk long, counts binary, marks binary, low binary, high binary"
 SHARED = "bucket int, chunk long, docs binary, tokens binary, rarity binary"
@@ -166,9 +166,9 @@ def _sets(percent: int):
 
 
 def bucket_count(rows: DataFrame, hashes_per_byte: float) -> int:
-    """A power of two that leaves about two million hashes to a bucket, so buckets do not grow."""
+    """A power of two that leaves about one million hashes to a bucket, so buckets do not grow."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 << max(5, int(total * hashes_per_byte / (2 << 20)).bit_length())
+    return 1 << max(5, int(total * hashes_per_byte / (1 << 20)).bit_length())
 
 
 def token_names(hashes: np.ndarray, bucket: int) -> np.ndarray:

@@ -30,8 +30,8 @@ from .ngram_join import _NULL_ID, SHARED, bucket_count, emit, shared_hashes, tok
 from .textops import _byte_table, _powers, run_hashes, slices, span_hashes, words
 
 WINDOW = 50
-SNIPPET_TASK_BYTES = 8 << 20
-SHARD_BYTES = 3 << 20
+SNIPPET_TASK_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 _U = np.uint64
 _STATUS = "doc_id long, mark binary, size long, tokens binary"
 _SNIPPETS = "shard int, docs binary, marks binary, starts binary, lengths binary, anchors binary, data binary"

@@ -75,7 +75,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
             for packed, whole, spans in zip(*(batch.column(c) for c in ("packed", "whole", "spans")), strict=True):
                 w = unpack.decompress(packed.as_py()).split()

@@ -11,7 +11,7 @@ from .common import table
 from .recurring import WINDOW, byte_units, merged, repeated_windows
 
 GRAM_BYTES = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LANE = 64
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -147,7 +147,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
             for packed, whole, spans in zip(*(batch.column(c) for c in ("packed", "whole", "spans")), strict=True):
                 raw = unpack.decompress(packed.as_py())
