@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in ``links`` (columns a, b).
 
     Each round, every remaining node hooks to its smallest neighbour if that is smaller than itself,
-    paths are halved twice, and the links are rewritten between the roots; links inside one root
-    vanish. A hub with very many links costs one partial minimum and a join that adaptive execution
+    paths are halved until all end in roots (a logarithm of their length), and the links are rewritten
+    between the roots; links inside one root vanish. A hub with very many links costs one partial minimum and a join that adaptive execution
     splits. Nothing reaches the driver but the number of links left. Nulls and loops are ignored.
     """
     links = settle(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -21,10 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     while links.limit(1).count():
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        for _ in range(2):
-            hook = settle(hook)
-            hook = hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p"))
-        hook = settle(hook)
+        hook, moved = settle(hook), True
+        while moved:
+            far = settle(hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            hook, moved = far.select("a", "p"), far.where("moved").limit(1).count() > 0
         if found is None:
             found = hook.select(F.col("a").alias("id"), F.col("p").alias("component"))
         else:
