@@ -375,7 +375,7 @@ def test_warc_round_trip(spark, tmp_path):
         data = path.read_bytes()
         n, _, magic = struct.unpack("<IBI", data[-9:])
         assert magic == warc.SEEKABLE_MAGIC and n >= 1
-        whole = b"".join(zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True))
+        whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(1 << 20)
         assert whole.startswith(b"WARC/1.1\r\n")  # ordinary decoders skip the table
     assert warc.read_records(warc.write_bundles(plan.limit(0), str(tmp_path / "e")), str(tmp_path / "e")).count() == 0
     assert warc.plan_records(d, least_bytes=6).where("refers_to IS NULL").count() == 5
