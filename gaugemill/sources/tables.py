@@ -103,4 +103,5 @@ def line_features(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return df.selectExpr(*keys, f"l_shipdate < TIMESTAMP_NTZ '{CUT} 00:00:00' AS reference", f"stack({len(LINE_FEATURES)}, {stack}) AS (feature, value)")
 
 
-LINE_SQL = "(" + " UNION ALL ".join(f"SELECT l_shipdate, l_shipdate < TIMESTAMP '{CUT} 00:00:00' AS reference, '{n}' AS feature, ({e})::DOUBLE AS value FROM lineitem" for n, e in LINE_FEATURES.items()) + ")"
+#: One row of lists instead of a union of constants, which the engine's dictionary cache trips over at times.
+LINE_SQL = f"(SELECT l_shipdate, l_shipdate < TIMESTAMP '{CUT} 00:00:00' AS reference, unnest([{', '.join(repr(n) for n in LINE_FEATURES)}]) AS feature, unnest([{', '.join(f'({e})::DOUBLE' for e in LINE_FEATURES.values())}]) AS value FROM lineitem)"
