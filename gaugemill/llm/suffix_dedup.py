@@ -13,23 +13,35 @@ from .recurring import WINDOW, byte_units, merged, repeated_windows
 GRAM_BYTES = 20
 BLOCK_BYTES = 2 << 20
 LANE = 64
+#: A number is of as many bytes as there are entries not above it.
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _eight(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there as one big-endian number; zeros beyond the end."""
+    n = len(data)
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | padded[j : j + n]
+    return key
+
+
 def suffix_array(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` bytes, by Larsson-Sadakane refinement.
+    """Suffixes sorted by their first ``depth`` bytes, then by place, by Larsson-Sadakane refinement.
 
     The first order is by eight bytes at once. A suffix's rank is the first place of its group, so
     sorting by the rank ``h`` bytes further on doubles the sorted depth; only groups with more than
     one member are sorted again.
     """
     n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))[:n]
+    key = _eight(data)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[:n]
+    bits = max(1, int(n).bit_length())
+    packs = 3 * bits <= 64
     place = np.arange(n)
     group = np.maximum.accumulate(np.where(new, place, 0))
     rank = np.empty(n, np.int64)
@@ -44,9 +56,14 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
         suffix = order[at]
         further = suffix + step
         second = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
-        pair = group[at] * (n + 1) + second
-        sort = np.argsort(pair, kind="stable")
-        order[at], pair = suffix[sort], pair[sort]
+        if packs:  # group, rank further on and place in one number
+            packed = ((group[at] << bits | second).astype(np.uint64) << np.uint64(bits)) | suffix.astype(np.uint64)
+            packed.sort()
+            order[at], pair = (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+        else:
+            pair = group[at] * (n + 1) + second
+            sort = np.lexsort((suffix, pair))
+            order[at], pair = suffix[sort], pair[sort]
         new[at] = np.concatenate(([True], pair[1:] != pair[:-1]))
         group = np.maximum.accumulate(np.where(new, place, 0))
         rank[order] = group
@@ -65,7 +82,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate((data.astype(np.int16), np.full(most + 1, -1, np.int16)))
+    key = _eight(data)
     lanes = np.arange(0, n, LANE)
     have, out = np.zeros(len(lanes), np.int64), np.zeros(n, np.int64)
     for t in range(min(LANE, n)):
@@ -75,11 +92,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
         sure = (have[live] < most) | (j == before[np.maximum(i - 1, 0)] + 1)
         h = np.where((j >= 0) & sure, np.maximum(have[live] - 1, 0), 0)
         go = np.flatnonzero(j >= 0)
+        end = np.minimum(most, n - np.maximum(i, j))
         while len(go):
             x, y = i[go] + h[go], j[go] + h[go]
-            same = (h[go] < most) & (x < n) & (y < n) & (padded[np.minimum(x, n)] == padded[np.minimum(y, n)])
-            go = go[same]
-            h[go] += 1
+            differ = key[np.minimum(x, n - 1)] ^ key[np.minimum(y, n - 1)]
+            same = 8 - np.searchsorted(_BYTES, differ, "right")
+            h[go] = np.minimum(h[go] + same, end[go])
+            go = go[(same == 8) & (h[go] < end[go])]
         have[live] = h
         out[i] = h
     return out[order]
@@ -91,8 +110,12 @@ def _block_groups(data: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np
     run = np.cumsum(common_prefixes(data, order) < WINDOW) - 1
     place = np.empty(len(data), np.int64)
     place[order] = run
-    kept, group = np.unique(place[windows], return_inverse=True)
-    rep = np.zeros(len(kept), np.int64)
+    at = place[windows]
+    held = np.zeros(len(data), bool)
+    held[at] = True
+    number = np.cumsum(held) - 1
+    group = number[at]
+    rep = np.zeros(int(held.sum()), np.int64)
     rep[group] = windows
     return group, rep
 
