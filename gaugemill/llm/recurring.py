@@ -30,7 +30,9 @@ from .ngram_join import _NULL_ID, SHARED, bucket_count, emit, shared_hashes, tok
 from .textops import _byte_table, _powers, run_hashes, slices, span_hashes, words
 
 WINDOW = 50
-SNIPPET_TASK_BYTES = 3 << 20
+SNIPPET_TASK_BYTES = 8 << 20
+#: Bytes of a mark that travel with an id: they need only tell apart the texts of a repeated id.
+MARK = 8
 SHARD_BYTES = 1 << 20
 _U = np.uint64
 _STATUS = "doc_id long, mark binary, size long, tokens binary"
@@ -117,7 +119,7 @@ def _status(t):
 
 
 def packed_texts(rows: DataFrame, units) -> DataFrame:
-    """(doc_id, mark, packed): every text with the mark that status rows bear."""
+    """(doc_id, mark, packed): every text with the first bytes of the mark that status rows bear."""
 
     def run(batches):
         import zstandard
@@ -129,7 +131,7 @@ def packed_texts(rows: DataFrame, units) -> DataFrame:
                 marks = text_marks(h, np.bincount(text, minlength=j - i))
                 raw = data.tobytes()
                 packed = [zstd.compress(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "mark", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([m.tobytes()[:MARK] for m in marks], pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "mark", "packed"])
 
     return rows.mapInArrow(run, "doc_id long, mark binary, packed binary")
 
@@ -140,7 +142,7 @@ def _cut(units, k: int, buckets: int, shards: int, separator: bytes):
     def run(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         held, size = [], 0
 
         def flush():
@@ -160,7 +162,7 @@ def _cut(units, k: int, buckets: int, shards: int, separator: bytes):
             held, size = [], 0
             rows = []
             for shard, own in by.items():
-                rows.append((shard, np.array([r[1] for r in own], "<i8").tobytes(), b"".join(r[2] for r in own), np.array([r[3] for r in own], "<u4").tobytes(), np.array([len(r[5]) for r in own], "<u4").tobytes(), np.array([r[6] for r in own], "<u4").tobytes(), b"".join(r[5] for r in own)))
+                rows.append((shard, np.array([r[1] for r in own], "<i8").tobytes(), b"".join(r[2] for r in own), np.array([r[3] for r in own], "<u4").tobytes(), np.array([len(r[5]) for r in own], "<u4").tobytes(), np.array([r[6] for r in own], "<u4").tobytes(), zstd.compress(b"".join(r[5] for r in own))))
             if lost:
                 rows.append((-1, np.array([r[0] for r in lost], "<i8").tobytes(), b"".join(r[1] for r in lost), np.array([r[2] for r in lost], "<u4").tobytes(), np.array([r[3] for r in lost], "<u4").tobytes(), b"", b""))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -214,14 +216,17 @@ def spans_table(docs: np.ndarray, marks: list[bytes], begin: np.ndarray, end: np
 
 def _resolve(resolve):
     def run(key, t):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         docs = np.concatenate([np.frombuffer(x, "<i8") for x in t["docs"].to_pylist()])
         marks = b"".join(t["marks"].to_pylist())
-        marks = [marks[i : i + 16] for i in range(0, len(marks), 16)]
+        marks = [marks[i : i + MARK] for i in range(0, len(marks), MARK)]
         starts, lengths = (np.concatenate([np.frombuffer(x, "<u4") for x in t[c].to_pylist()]).astype(np.int64) for c in ("starts", "lengths"))
         if key[0].as_py() < 0:
             return spans_table(docs, marks, starts, starts + lengths)
         anchors = np.concatenate([np.frombuffer(x, "<u4") for x in t["anchors"].to_pylist()]).astype(np.int64)
-        return window_spans(docs, marks, starts, *resolve(np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8), lengths, anchors))
+        return window_spans(docs, marks, starts, *resolve(np.frombuffer(b"".join(unpack.decompress(x) for x in t["data"].to_pylist()), np.uint8), lengths, anchors))
 
     return run
 
@@ -234,7 +239,8 @@ def repeated_windows(docs: DataFrame, units, k: int, resolve, per_byte: float, s
     shared = emit(rows, anchor_measure(units, k), buckets).groupBy("bucket").applyInArrow(shared_hashes, SHARED)
     status = settle_table(settle_table(shared, "anchors", "lz4").groupBy("chunk").applyInArrow(_status, _STATUS), "status", "lz4").where("doc_id IS NOT NULL")
     first = settle(status.groupBy("mark").agg(F.min("doc_id").alias("first")))
-    live = status.where("tokens IS NOT NULL").join(first, "mark").where("doc_id = first").groupBy("doc_id", "mark").agg(F.first("tokens").alias("tokens"))
+    short = F.substring("mark", 1, MARK).alias("mark")
+    live = status.where("tokens IS NOT NULL").join(first, "mark").where("doc_id = first").groupBy("doc_id", short).agg(F.first("tokens").alias("tokens"))
     # The snippets hold a few bytes for each that recurs: as many shards as keep one at SHARD_BYTES.
     anchors = live.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
     shards = max(64, int(anchors * WINDOW * 1.4 * (6 if separator else 1) / SHARD_BYTES))
@@ -244,7 +250,7 @@ def repeated_windows(docs: DataFrame, units, k: int, resolve, per_byte: float, s
     salted = F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(256))).otherwise(F.col("shard")).cast("int")
     spans = settle(snippets.withColumn("shard", salted).groupBy("shard").applyInArrow(_resolve(resolve), SPANS))
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"))
-    whole = status.select("doc_id", "mark").distinct().join(first, "mark").where("doc_id > first").select("doc_id", "mark", F.lit(True).alias("whole"), F.lit(None).cast("array<binary>").alias("spans"))
+    whole = status.select("doc_id", "mark").distinct().join(first, "mark").where("doc_id > first").select("doc_id", short, F.lit(True).alias("whole"), F.lit(None).cast("array<binary>").alias("spans"))
     return texts, spans.select("doc_id", "mark", F.lit(False).alias("whole"), "spans").unionByName(whole)
 
 
