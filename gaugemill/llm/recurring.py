@@ -124,7 +124,7 @@ def packed_texts(rows: DataFrame, units) -> DataFrame:
     def run(batches):
         import zstandard
 
-        zstd = zstandard.ZstdCompressor(level=3)
+        zstd = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
                 h, text, _, _ = units(data, offsets)
@@ -162,9 +162,12 @@ def _cut(units, k: int, buckets: int, shards: int, separator: bytes):
             held, size = [], 0
             rows = []
             for shard, own in by.items():
-                rows.append((shard, np.array([r[1] for r in own], "<i8").tobytes(), b"".join(r[2] for r in own), np.array([r[3] for r in own], "<u4").tobytes(), np.array([len(r[5]) for r in own], "<u4").tobytes(), np.array([r[6] for r in own], "<u4").tobytes(), zstd.compress(b"".join(r[5] for r in own))))
+                columns = [np.array([r[1] for r in own], "<i8"), *(np.array(x, "<u4") for x in ([r[3] for r in own], [len(r[5]) for r in own], [r[6] for r in own]))]
+                docs, starts, lengths, anchors = (zstd.compress(x.tobytes()) for x in columns)
+                rows.append((shard, docs, b"".join(r[2] for r in own), starts, lengths, anchors, zstd.compress(b"".join(r[5] for r in own))))
             if lost:
-                rows.append((-1, np.array([r[0] for r in lost], "<i8").tobytes(), b"".join(r[1] for r in lost), np.array([r[2] for r in lost], "<u4").tobytes(), np.array([r[3] for r in lost], "<u4").tobytes(), b"", b""))
+                docs, starts, lengths = (zstd.compress(np.array([r[i] for r in lost], t).tobytes()) for i, t in ((0, "<i8"), (2, "<u4"), (3, "<u4")))
+                rows.append((-1, docs, b"".join(r[1] for r in lost), starts, lengths, b"", b""))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int32(), *[pa.binary()] * 6)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SNIPPETS.split(", ")])
@@ -219,13 +222,17 @@ def _resolve(resolve):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        docs = np.concatenate([np.frombuffer(x, "<i8") for x in t["docs"].to_pylist()])
+
+        def column(name, kind):
+            return np.concatenate([np.frombuffer(unpack.decompress(x), kind) for x in t[name].to_pylist()]).astype(np.int64)
+
+        docs = column("docs", "<i8")
         marks = b"".join(t["marks"].to_pylist())
         marks = [marks[i : i + MARK] for i in range(0, len(marks), MARK)]
-        starts, lengths = (np.concatenate([np.frombuffer(x, "<u4") for x in t[c].to_pylist()]).astype(np.int64) for c in ("starts", "lengths"))
+        starts, lengths = column("starts", "<u4"), column("lengths", "<u4")
         if key[0].as_py() < 0:
             return spans_table(docs, marks, starts, starts + lengths)
-        anchors = np.concatenate([np.frombuffer(x, "<u4") for x in t["anchors"].to_pylist()]).astype(np.int64)
+        anchors = column("anchors", "<u4")
         return window_spans(docs, marks, starts, *resolve(np.frombuffer(b"".join(unpack.decompress(x) for x in t["data"].to_pylist()), np.uint8), lengths, anchors))
 
     return run
