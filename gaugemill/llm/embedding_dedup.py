@@ -183,8 +183,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, threshold: float = 0.98, ti
                     np.fill_diagonal(link, False)
                 if not link.any():
                     continue
+                ids, counts = [ids_a], [link @ w_b]
+                if own:  # rows and columns are the same vectors: a row is joined with its own column
+                    np.fill_diagonal(link, link.any(1))
                 rows, cols = forest(link)
-                ids, counts, roots = [ids_a], [link @ w_b], [rows]
+                roots = [rows]
                 if not own:
                     ids, counts, roots = ids + [ids_b], counts + [link.T @ w_a], roots + [cols]
                 i, c, k = map(np.concatenate, (ids, counts, roots))

@@ -355,6 +355,19 @@ def test_embedding_dedup(spark, sf_dir):
     assert embedding_dedup.near_dedup(spark, d.limit(0)).count() == 0
 
 
+def test_embedding_dedup_joins_within_a_tile(spark):
+    """A pair, a path of three and a star, each with a vector of its own beside it."""
+    at = lambda a, b: [float(np.cos(a) * np.cos(b)), float(np.sin(a) * np.cos(b)), float(np.sin(b))]
+    ten = np.radians(10)
+    shapes = [[at(0, 0), at(ten, 0)], [at(0, 0), at(2 * ten, 0), at(ten, 0)], [at(0, ten), at(ten, 0), at(-ten, 0), at(0, -ten), at(0, 0)]]
+    rows = [(10 * k + i, v, k) for k, vs in enumerate(shapes) for i, v in enumerate([*vs, at(3, 0)])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for tile in (512, 2):
+        got = sorted((str(r.id), r.n_links, str(r.component_id)) for r in embedding_dedup.near_dedup(spark, d, tile=tile).collect())
+        assert got == brute_vectors(rows)
+    assert [n for _, n, _ in brute_vectors(rows)].count(0) == 3 and len({c for _, _, c in brute_vectors(rows)}) == 6
+
+
 def test_warc_round_trip(spark, tmp_path):
     import zstandard
 
