@@ -7,13 +7,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle_table, table
+from .common import settle, settle_table, table
 
 K1, B = 1.2, 0.75
-_TOKENS = "doc_id long, doc_tokens long, packed binary"
+_TOKENS = "item long, doc_id long, doc_tokens long, packed binary"
+#: Tokens of one block of seeds and of one chunk of documents that meet in a task of the search.
+SEED_TOKENS, QUERY_TOKENS = 1 << 25, 1 << 23
+#: Documents that an open window may ask for in one round; the next round searches all of the rest again.
+CHOICES = 16
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,26 +38,30 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = 1, vocab_size: int = 50_257) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int = 1, vocab_size: int = 50_257, window: int = 2048) -> DataFrame:
     """Ids of every whole text with ``end_id`` after them, as compressed 16-bit arrays, written to the
-    shared folder. Each task adds one row without id and with ``doc_tokens`` = -1, which holds how
+    shared folder. ``item`` numbers the rows and leaves a number for each full window of a row. Each task adds one row without id and with ``doc_tokens`` = -1, which holds how
     many of its documents contain each token: ``vocab_size`` numbers, whatever the input."""
     if vocab_size > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
 
     def run(batches):
         import zstandard
+        from pyspark import TaskContext
 
+        item = TaskContext.get().partitionId() << 40
         zstd, enc, df = zstandard.ZstdCompressor(level=1), encoder(path, pattern), np.zeros(vocab_size, np.int64)
         for batch in batches:
-            texts, sizes, packed = batch.column(1), [], []
+            texts, items, sizes, packed = batch.column(1), [], [], []
             for text in texts:
                 ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], "<u2")
                 df += np.bincount(ids, minlength=vocab_size) > 0
+                items.append(item)
+                item += 1 + len(ids) // window
                 sizes.append(len(ids))
                 packed.append(zstd.compress(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "doc_tokens", "packed"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([zstd.compress(df.astype("<i8").tobytes())])], names=["doc_id", "doc_tokens", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["item", "doc_id", "doc_tokens", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([zstd.compress(df.astype("<i8").tobytes())])], names=["item", "doc_id", "doc_tokens", "packed"])
 
     return settle_table(docs.mapInArrow(run, _TOKENS), "tokens", "uncompressed")
 
@@ -110,53 +118,100 @@ class InvertedIndex:
         return np.bincount(self.owner[at], self.weight[at], minlength=self.n)
 
 
-def fill_windows(docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, length).
-
-    Full windows of a long document stand alone. Of what is left, the first unused piece is the seed;
-    its BM25 neighbours that are still unused follow, best first, until the window is full. The one
-    that no longer fits is cut, and its rest stays unused for a later window, so only the last
-    window of a shard can have room.
+def nearest_items(items: list[np.ndarray], seeds: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, most: int, salt: int = 0, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each seed (columns) the ``most`` items with the highest BM25 scores for its terms, and the
+    scores; every pair is scored. Frequent terms are one product of matrices, the others postings.
+    Scores within 1e-5 of each other are ordered at random by ``salt``, so that a group of copies is
+    dealt over its seeds."""
+    idf = np.log((n_docs - df + 0.5) / (df + 0.5))
+    own = [t[idf[t] > 0] for t in map(np.unique, seeds)]
+    term = np.concatenate(own) if own else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(seeds)), [len(t) for t in own])
+    in_seeds = np.bincount(term, minlength=len(df))
+    frequent = np.flatnonzero(in_seeds > max(len(seeds) / 128, 1))
+    place = np.full(len(df), -1)
+    place[frequent] = np.arange(len(frequent))
+    dense, at = np.zeros((len(frequent), len(seeds)), np.float32), place[term] >= 0
+    dense[place[term[at]], owner[at]] = 1
+    term, owner = term[~at], owner[~at]
+    order = np.argsort(term, kind="stable")
+    owner, starts = owner[order], np.searchsorted(term[order], np.arange(len(df) + 1))
+    rng = np.random.default_rng(salt)
+    best, score = np.zeros((0, len(seeds)), np.int64), np.zeros((0, len(seeds)), np.float32)
+    for k in range(0, len(items), rows):
+        some = items[k : k + rows]
+        weights, rare = np.zeros((len(some), len(frequent)), np.float32), []
+        for i, ids in enumerate(some):
+            t, n = np.unique(ids, return_counts=True)
+            w = np.maximum(idf[t], 0) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / max(mean_length, 1.0)))
+            f = place[t] >= 0
+            weights[i, place[t[f]]] = w[f]
+            rare.append((t[~f], w[~f]))
+        found = weights @ dense
+        for i, (t, w) in enumerate(rare):
+            a, n = starts[t], starts[t + 1] - starts[t]
+            if n.any():
+                at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+                found[i] += np.bincount(owner[at], np.repeat(w, n), minlength=len(seeds)).astype(np.float32)
+        found *= 1 - np.float32(1e-5) * rng.random(found.shape, np.float32)
+        found = np.concatenate([score, found])
+        which = np.concatenate([best, np.broadcast_to(np.arange(k, k + len(some))[:, None], (len(some), len(seeds)))])
+        if len(found) > most:
+            top = np.argpartition(found, len(found) - most, axis=0)[-most:]
+            found, which = np.take_along_axis(found, top, 0), np.take_along_axis(which, top, 0)
+        best, score = which, found
+    return best, score
+
+
+def fill_windows(docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, window: int, open_: tuple = ()) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """Sequences as lists of (document, start, length) over documents shorter than ``window``: what is
+    added to the ``open_`` windows, given as (ids of the seed, room), and the new windows.
+
+    The first unused piece is the seed; its BM25 neighbours that are still unused follow, best first,
+    until the window is full. The one that no longer fits is cut, and its rest stays unused for a
+    later window, so only the last window can have room.
     """
-    out = [[(d, k * window, window)] for d, ids in enumerate(docs) for k in range(len(ids) // window)]
-    items = [d for d, ids in enumerate(docs) if len(ids) % window]
-    start = np.array([len(docs[d]) // window * window for d in items], np.int64)
-    left = np.array([len(docs[d]) % window for d in items], np.int64)
-    index = InvertedIndex([docs[d][s:] for d, s in zip(items, start, strict=True)], df, n_docs, mean_length)
-    for seed in range(len(items)):
-        if not left[seed]:
-            continue
-        pieces, room, first = [], window, True
-        ranked = None
+    n, start = len(docs), np.zeros(len(docs), np.int64)
+    left = np.array([len(x) for x in docs], np.int64)
+    index = InvertedIndex([*docs, *(ids for ids, _ in open_)], df, n_docs, mean_length)
+
+    def filled(seed: int, room: int, first: int) -> list[tuple[int, int, int]]:
+        pieces, ranked = [], None
+        i = first
         while room:
-            if first:
-                i, first = seed, False
-            else:
+            if i < 0:
                 if ranked is None:
-                    open_ = np.flatnonzero(left > 0)
-                    ranked = iter(open_[np.argsort(-index.scores(seed)[open_], kind="stable")].tolist())
+                    rest = np.flatnonzero(left > 0)
+                    ranked = iter(rest[np.argsort(-index.scores(seed)[rest], kind="stable")].tolist())
                 i = next(ranked, -1)
                 if i < 0:
                     break
-            n = int(min(left[i], room))
-            pieces.append((items[i], int(start[i]), n))
-            start[i] += n
-            left[i] -= n
-            room -= n
-        out.append(pieces)
-    return out
+            k = int(min(left[i], room))
+            pieces.append((i, int(start[i]), k))
+            start[i] += k
+            left[i] -= k
+            room -= k
+            i = -1
+        return pieces
+
+    added = [filled(n + k, room, -1) for k, (_, room) in enumerate(open_)]
+    return added, [filled(seed, window, seed) for seed in range(n) if left[seed]]
 
 
 def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, window: int = 2048, end_id: int = 1, tokens_per_shard: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens.
 
     Returns one row per piece: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit),
-    ``doc_tokens, sequence_id, offset``. Documents are dealt over shards of about ``tokens_per_shard``
-    tokens by a hash of id and length; each shard holds an inverted index over its own documents
-    with idf and mean length of the whole corpus, and packs them alone. Shards are bounded whatever
-    the input, a hot source or group of copies is dealt like any other rows, and a repeated task
-    gives the same pieces. Null or empty texts have one token, ``end_id``. Rows that repeat an id are
-    separate documents. An empty table gives an empty result.
+    ``doc_tokens, sequence_id, offset``. Full windows of a long document stand alone. Of what is left,
+    in each round as many documents as there are windows to fill are seeds, by hash; each
+    open seed is scored against all other documents of the corpus (BM25 with idf and mean length of the
+    whole corpus) and asks for the best; a document goes to the seed that ranks it highest, and a window
+    takes what it gets, best first, until it is full. What is left goes to the next round, with the
+    windows that have room and new seeds where there are too few. Once the
+    rest is at most ``tokens_per_shard`` tokens, one task fills the last windows. The search compares
+    all pairs of seeds and documents, so its work grows with the square of the input. Null or empty
+    texts have one token, ``end_id``. Rows that repeat an id are separate documents. An empty table
+    gives an empty result.
     """
     if path is None:
         path = vocabulary_path()
@@ -164,29 +219,89 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, w
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    tokens = tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), path, pattern, end_id)
+    tokens = tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), path, pattern, end_id, window=window)
     df = token_counts(tokens)
     real = tokens.where("doc_tokens >= 0")
     n_docs, total = real.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
-    shards = max(1, total // tokens_per_shard)
     mean = total / max(n_docs, 1)
-
-    def run(key, t):
-        import zstandard
-
-        t = t.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending")])
-        ids = [np.frombuffer(zstandard.decompress(x.as_py()), "<u2") for x in t["packed"]]
-        names, base = t["doc_id"].to_pylist(), key[0].as_py() << 32
-        rows = [
-            (names[d], start, n, ids[d][start : start + n].astype("<u4").tobytes(), len(ids[d]), base + k, offset)
-            for k, pieces in enumerate(fill_windows(ids, df, n_docs, mean, window))
-            for (d, start, n), offset in zip(pieces, np.concatenate(([0], np.cumsum([p[2] for p in pieces])[:-1])).tolist(), strict=True)
-        ]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(_PIECES.split(", "), zip(*rows, strict=True), kinds, strict=True)})
-
-    shard = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(shards)).alias("shard")
-    return real.select(shard, "doc_id", "doc_tokens", "packed").groupBy("shard").applyInArrow(run, _PIECES)
+    unpacked = lambda packed, start, left: [_ids(p)[a : a + n] for p, a, n in zip(packed.to_pylist(), start.to_pylist(), left.to_pylist(), strict=True)]
+    texts = real.select("item", "packed")
+
+    def search(key, t, s):
+        if not t.num_rows or not s.num_rows:
+            return pa.table({"item": pa.array([], pa.int64()), "seq": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        t, s = t.sort_by("item"), s.sort_by("seq")
+        best, score = nearest_items(unpacked(t["packed"], t["start"], t["left"]), unpacked(s["packed"], s["start"], s["left"]), df, n_docs, mean, CHOICES, int(t["item"][0].as_py()))
+        seq = np.broadcast_to(s["seq"].to_numpy()[None, :], best.shape)
+        return pa.table({"item": t["item"].to_numpy()[best.ravel()], "seq": seq.ravel(), "score": score.ravel().astype(float)})
+
+    def last(t):
+        t = t.sort_by([("is_seed", "ascending"), ("item", "ascending")])
+        is_seed = t["is_seed"].to_numpy(zero_copy_only=False)
+        ids, items, room = unpacked(t["packed"], t["start"], t["left"]), t["item"].to_pylist(), t["room"].to_pylist()
+        n = int((~is_seed).sum())
+        added, new = fill_windows(ids[:n], df, n_docs, mean, window, tuple((ids[k], room[k]) for k in range(n, len(ids))))
+        starts, out = t["start"].to_pylist(), []
+        for seq, offset, pieces in [*((items[n + k], window - room[n + k], x) for k, x in enumerate(added)), *((items[x[0][0]], 0, x) for x in new)]:
+            for i, a, k in pieces:
+                out.append((items[i], starts[i] + a, k, seq, offset))
+                offset += k
+        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("item", "start", "length", "seq", "offset"))})
+
+    tail = (F.floor(F.col("doc_tokens") / window) * window).cast("long")
+    full = real.where(F.col("doc_tokens") >= window).select("item", F.explode(F.sequence(F.lit(0).cast("long"), (tail / window).cast("long") - 1)).alias("k"))
+    pieces = full.select("item", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("item") + 1 + F.col("k")).alias("seq"), F.lit(0).cast("long").alias("offset"))
+    waiting = settle(real.select("item", tail.alias("start"), (F.col("doc_tokens") - tail).alias("left")).where("left > 0"))
+    windows, stuck, turn = None, False, 0
+    while True:
+        count, rest = waiting.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
+        room, seed_tokens = (0, 0) if windows is None else windows.agg(F.coalesce(F.sum("room"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
+        if rest <= tokens_per_shard:
+            break
+        wanted = rest / window if stuck else max(0.0, (rest - room) / window)
+        salt = F.xxhash64("item", F.lit(turn))
+        marked = waiting.withColumn("is_seed", F.pmod(salt, F.lit(1 << 30)) < int(wanted / count * (1 << 30)))
+        seeds = marked.where("is_seed").select(F.col("item").alias("seq"), "start", "left", (F.lit(window) - F.col("left")).alias("room"))
+        pieces = pieces.unionByName(seeds.select(F.col("seq").alias("item"), "start", F.col("left").alias("length"), "seq", F.lit(0).cast("long").alias("offset")))
+        windows = settle(seeds if windows is None else windows.unionByName(seeds))
+        others = marked.where("NOT is_seed").drop("is_seed")
+        blocks, chunks = (int(-(-x // size)) for x, size in ((seed_tokens + rest * wanted / count + 1, SEED_TOKENS), (rest, QUERY_TOKENS)))
+        chunks = max(chunks, texts.sparkSession.sparkContext.defaultParallelism)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = others.join(texts, "item").withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks)).cast("int")).withColumn("block", spread(blocks))
+        told = windows.where("room > 0").join(texts.withColumnRenamed("item", "seq"), "seq").select("seq", *[F.expr(x).alias(x) for x in ("start", "left", "packed")]).withColumn("block", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")).withColumn("chunk", spread(chunks))
+        found = asked.groupBy("block", "chunk").cogroup(told.groupBy("block", "chunk")).applyInArrow(search, "item long, seq long, score double")
+        best = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("score"), "item"))
+        chosen = found.withColumn("place", best).where(F.col("place") <= CHOICES).groupBy("item").agg(F.min(F.struct("place", (-F.col("score")).alias("score"), "seq")).alias("c"))
+        chosen = settle(chosen.select("item", "c.place", "c.seq"))
+        by = Window.partitionBy("seq").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        offered = chosen.join(others, "item").join(windows.select("seq", "room"), "seq").withColumn("before", F.coalesce(F.sum("left").over(by), F.lit(0)))
+        taken = settle(offered.where("before < room").select("item", "start", F.least("left", F.col("room") - F.col("before")).alias("length"), "seq", (F.lit(window) - F.col("room") + F.col("before")).alias("offset")))
+        pieces = pieces.unionByName(taken)
+        used = taken.select("item", F.col("length").alias("gone"))
+        waiting = settle(others.join(used, "item", "left").withColumn("gone", F.coalesce("gone", F.lit(0))).select("item", (F.col("start") + F.col("gone")).alias("start"), (F.col("left") - F.col("gone")).alias("left")).where("left > 0"))
+        added = taken.groupBy("seq").agg(F.sum("length").alias("more"))
+        windows = settle(windows.join(added, "seq", "left").withColumn("room", F.col("room") - F.coalesce("more", F.lit(0))).drop("more").where("room > 0"))
+        placed = taken.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        stuck, turn = placed < rest / 16, turn + 1
+    end = waiting.select("item", "start", "left", F.lit(0).cast("long").alias("room"), F.lit(False).alias("is_seed"))
+    if windows is not None:
+        end = end.unionByName(windows.select(F.col("seq").alias("item"), "start", "left", "room", F.lit(True).alias("is_seed")))
+    end = end.join(texts, "item").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(last, "item long, start long, length long, seq long, offset long")
+    pieces = pieces.unionByName(end)
+
+    def cut(batches):
+        for b in batches:
+            ids = [x.astype("<u4").tobytes() for x in unpacked(b["packed"], b["start"], b["length"])]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["length"], pa.array(ids, pa.binary()), b["doc_tokens"], b["seq"], b["offset"]], names=[c.split()[0] for c in _PIECES.split(", ")])
+
+    return pieces.join(real, "item").select("doc_id", "start", "length", "packed", "doc_tokens", "seq", "offset").mapInArrow(cut, _PIECES)
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(packed), "<u2")
 
 
 def op1_packing(spark, sf_dir):

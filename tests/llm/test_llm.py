@@ -278,6 +278,29 @@ def test_bm25_scores():
             assert abs(index.scores(q)[d] - s) < 1e-9
 
 
+def test_packing_searches_the_whole_corpus(spark):
+    """Documents of many small topics: most of a window is of its seed's topic, however small the shards."""
+    g = random.Random(6)
+    names = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{g.randrange(10**6)}" for _ in range(12)] for k in range(40)]
+    rows = [(12 * k + i, " ".join(g.choice(names[k]) for _ in range(10))) for k in range(40) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.pack(d, window=256, tokens_per_shard=1500).collect()
+    first = {r.sequence_id: r.doc_id // 12 for r in out if r.offset == 0}
+    later = [r.doc_id // 12 == first[r.sequence_id] for r in out if r.offset]
+    assert len({r.doc_id for r in out}) == len(rows) and sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    assert sum(later) > 0.4 * len(later)
+
+
+def test_nearest_items():
+    g = np.random.default_rng(8)
+    docs_ = [g.integers(0, 60, g.integers(5, 30)) for _ in range(50)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs_]), minlength=60)
+    index = packing.InvertedIndex(docs_, df, 200, 17.0)
+    best, score = packing.nearest_items(docs_[20:], docs_[:20], df, 200, 17.0, 4, rows=7)
+    want = np.array([index.scores(s)[20:] for s in range(20)]).T
+    assert np.allclose(np.sort(score, 0), np.sort(want, 0)[-4:], rtol=1e-4) and np.allclose(np.take_along_axis(want, best, 0), score, rtol=1e-4)
+
+
 def test_quality(spark, sf_dir, docs, empty):
     out = {r.doc_id: r for r in quality.op7_quality(spark, sf_dir).collect()}
     labels = [(r.doc_id, r.quality) for r in table(spark, sf_dir, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
