@@ -56,6 +56,11 @@ def stratified_sample(df: DataFrame, by: str, counts: dict[str, int], seed: str,
     return _cut_points(df, by, seed, key).where(F.col("_rank") <= want[F.col(by)]).drop("_rank", "_size")
 
 
+def stratum_sample(df: DataFrame, by: str, n: int, seed: str, key: str) -> DataFrame:
+    """At most ``n`` rows of every stratum by hash."""
+    return _cut_points(df, by, seed, key).where(F.col("_rank") <= n).drop("_rank", "_size")
+
+
 def split_metadata(df: DataFrame, positive: Column) -> DataFrame:
     """Rows and positive rate per side."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg(positive.cast("double")).alias("positive_rate"))

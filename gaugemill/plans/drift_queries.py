@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, hash_uniform, psi_null_bias
 from ..operators import ecdf as E
 from ..operators import mmd as M
 from ..operators import psi as P
-from ..operators.sampling import draws
+from ..operators.sampling import draws, stratum_sample
 from ..sources.tables import LINE_FEATURES, LINE_SQL, line_features, read_table
 from .helpers import rounded, rsql
 
@@ -137,24 +138,25 @@ def bh_any_rejection(spark, d):
     return E.benjamini_hochberg(e, "user_id")
 
 
-def _mmd_samples(spark, d, n=200):
-    e = read_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    return e.where("vec_id < 2000").withColumn("u", hash_uniform("mmd", "vec_id")).orderBy("u").limit(2 * n).drop("u")
-
-
 def mmd_statistic(spark, d):
     """In relational terms, on two fixed samples of 120 vectors with bandwidth 1."""
     s = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where("vec_id < 240")
     return rounded(M.mmd2_relational(s.where("vec_id % 2 = 0"), s.where("vec_id % 2 = 1"), 1.0))
 
 
-def mmd_permutation(spark, d):
-    """One test per label: its vectors against those of all labels, at most 2 x 200 rows a test."""
-    s = _mmd_samples(spark, d)
-    own = s.where("label < 3").select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("test"), F.lit(True).alias("current"), F.col("vec_id").alias("key"), "x")
-    tests = own.select("test").distinct()
-    rest = s.where("label >= 3").crossJoin(F.broadcast(tests)).select("test", F.lit(False).alias("current"), F.col("vec_id").alias("key"), "x")
-    return M.mmd_tests(own.unionByName(rest), 200)
+def mmd_permutation(spark, d, n=200):
+    """One test per label: its vectors against those of the other labels, at most 2 x 200 rows a test,
+    drawn by hash from the whole table."""
+    e = read_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    row = (F.col("vec_id").alias("key"), "x")
+    labels = e.where("label IS NOT NULL")
+    own = stratum_sample(labels, "label", n, "mmd", "vec_id").select("label", F.lit(True).alias("current"), *row)
+    lowest = e.orderBy(hash_uniform("mmd-rest", "vec_id"), "vec_id").limit(2 * n).withColumnRenamed("label", "of")
+    rest = labels.select("label").distinct().crossJoin(F.broadcast(lowest)).where(~F.col("label").eqNullSafe(F.col("of")))
+    by = Window.partitionBy("label").orderBy(hash_uniform("mmd-rest", "vec_id"), "vec_id")
+    rest = rest.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select("label", F.lit(False).alias("current"), *row)
+    both = own.unionByName(rest).withColumn("test", F.concat(F.lit("label-"), F.col("label").cast("string")))
+    return M.mmd_tests(both.select("test", "current", "key", "x"), 200)
 
 
 def mmd_localise(spark, d):

@@ -270,3 +270,16 @@ def test_profile_edges(spark):
     assert one(profile.duplicate_counts(df, ["a", "b"])).duplicates == 1
     assert profile.null_profile(df.limit(0), ["a"]).collect()[0].nulls == 0
     assert math.isclose(one(profile.describe(profile.to_long(df, ["a"]))).mean, 1.0)
+
+
+def test_mmd_permutation_reads_the_whole_table(spark, tmp_path):
+    import numpy as np
+
+    from gaugemill.plans.drift_queries import mmd_permutation
+
+    g = np.random.default_rng(9)
+    rows = [(5000 + i, (g.normal(size=4) + 3 * (i % 5 == 4)).tolist(), i % 5) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.test: r for r in mmd_permutation(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [f"label-{k}" for k in range(5)] and got["label-4"].detected
+    assert all(r.m == 60 and r.n == 200 for r in got.values())
