@@ -124,7 +124,8 @@ def ablation_metrics(spark, d):
 
 
 def _copula(spark, d):
-    df = clean(credit(spark, d)).orderBy("row_id").limit(1500).select("row_id", "NumberRealEstateLoansOrLines", "NumberOfOpenCreditLinesAndLoans")
+    """A batch drawn by hash from all cleaned rows, as large as a month of the simulation."""
+    df = SIM.draw_batch(clean(credit(spark, d)), 0, SIM.SimulationConfig()).select("row_id", "NumberRealEstateLoansOrLines", "NumberOfOpenCreditLinesAndLoans")
     df = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
     return df, *SIM.invert_dependence(df, "NumberOfOpenCreditLinesAndLoans", "NumberRealEstateLoansOrLines", "copula", steps=12)
 

@@ -283,3 +283,14 @@ def test_mmd_permutation_reads_the_whole_table(spark, tmp_path):
     got = {r.test: r for r in mmd_permutation(spark, str(tmp_path)).collect()}
     assert sorted(got) == [f"label-{k}" for k in range(5)] and got["label-4"].detected
     assert all(r.m == 60 and r.n == 200 for r in got.values())
+
+
+def test_copula_inverts_a_drawn_batch(spark, tmp_path, monkeypatch):
+    from gaugemill.plans import monitor_queries as q
+
+    rows = spark.range(9000).select(F.col("id").alias("row_id"), F.lit(1).alias("NumberRealEstateLoansOrLines"), F.lit(2).alias("NumberOfOpenCreditLinesAndLoans"))
+    monkeypatch.setattr(q, "credit", lambda *_: rows)
+    monkeypatch.setattr(q, "clean", lambda df: df)
+    monkeypatch.setattr(q.SIM, "invert_dependence", lambda df, *a, **k: (df, 0.0, 0.0))
+    ids = [r.row_id for r in q._copula(spark, str(tmp_path))[0].collect()]
+    assert len(set(ids)) == 7368 and max(ids) > 8900
