@@ -18,8 +18,9 @@ def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def median_bandwidth(x: np.ndarray) -> float:
-    """Median pairwise distance of at most 2000 rows, at least 1e-12."""
-    x = x[:BANDWIDTH_ROWS]
+    """Median pairwise distance of at most 2000 rows drawn at random, at least 1e-12."""
+    if len(x) > BANDWIDTH_ROWS:
+        x = x[np.random.default_rng(0).choice(len(x), BANDWIDTH_ROWS, replace=False)]
     d = np.sqrt(_square_distances(x, x)[np.triu_indices(len(x), 1)])
     return max(float(np.median(d)) if len(d) else 0.0, 1e-12)
 

@@ -294,3 +294,9 @@ def test_copula_inverts_a_drawn_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q.SIM, "invert_dependence", lambda df, *a, **k: (df, 0.0, 0.0))
     ids = [r.row_id for r in q._copula(spark, str(tmp_path))[0].collect()]
     assert len(set(ids)) == 7368 and max(ids) > 8900
+
+
+def test_bandwidth_draws_from_all_rows():
+    import numpy as np
+
+    assert mmd.median_bandwidth(np.arange(6000.0)[:, None]) > 1500  # the first 2000 give under 600
