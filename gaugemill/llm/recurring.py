@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from .common import settle, settle_table
 from .mph import mixed
 from .ngram_join import _NULL_ID, SHARED, bucket_count, emit, shared_hashes, token_names
-from .textops import _byte_table, _powers, run_hashes, slices, span_hashes, words
+from .textops import SLICE_BYTES, _byte_table, _powers, run_hashes, slices, span_hashes, words
 
 WINDOW = 50
 SNIPPET_TASK_BYTES = 8 << 20
 #: Bytes of a mark that travel with an id: they need only tell apart the texts of a repeated id.
 MARK = 8
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 4 << 20
 _U = np.uint64
 _STATUS = "doc_id long, mark binary, size long, tokens binary"
-_SNIPPETS = "shard int, docs binary, marks binary, starts binary, lengths binary, anchors binary, data binary"
+_SNIPPETS = "shard int, docs binary, marks binary, starts binary, counts binary, lengths binary, anchors binary, data binary"
 SPANS = "doc_id long, mark binary, spans binary"
 
 
@@ -136,85 +136,147 @@ def packed_texts(rows: DataFrame, units) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, mark binary, packed binary")
 
 
+def _pick(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ..., start + length - 1 of each pair, one after another."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+
+
+def equal_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, *before: np.ndarray, then: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the snippets data[start : start + length] in which equal ones (with equal ``before``)
+    stand together, inside a run by ``then``, and whether each begins a run. Hashes bring equal snippets
+    together; neighbours of one hash are held against each other byte by byte."""
+    h = span_hashes(data, start, start + length)
+    order = np.lexsort((*then[::-1], h, length, *before[::-1]))
+    new = np.ones(len(order), bool)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (h, length, *before):
+        same &= x[order[1:]] == x[order[:-1]]
+    at = np.flatnonzero(same)
+    n = length[order[at]]
+    if len(at):
+        differ = data[_pick(start[order[at]], n)] != data[_pick(start[order[at + 1]], n)]
+        same[at] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    new[1:] = ~same
+    return order, new
+
+
+def _flat(data: np.ndarray, begin: np.ndarray, end: np.ndarray, separator: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units that stand side by side, with ``separator`` between them: bytes, first and end byte of each."""
+    if not separator:
+        return data, begin, end
+    n = end - begin
+    first = np.cumsum(n + 1) - n - 1
+    out = np.full(int(n.sum()) + len(n), separator[0], np.uint8)
+    out[_pick(first, n)] = data[_pick(begin, n)]
+    return out, first, first + n
+
+
 def _cut(units, k: int, buckets: int, shards: int, separator: bytes):
     """(doc_id, mark, packed, tokens) to snippets by shard; snippets equal inside the task move once."""
+    step = _U(0x9E3779B97F4A7C15)
 
     def run(batches):
         import zstandard
 
         unpack, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        held, size = [], 0
+        held: list[tuple] = []
+        rows: list[tuple] = []
+        size, waiting = 0, 0
+
+        def found():
+            """The snippets of the texts that wait: token, doc, mark, first unit, units, anchor, bytes."""
+            nonlocal rows, waiting
+            data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+            offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
+            wanted = np.frombuffer(b"".join(r[3] for r in rows), "<u8") + np.repeat(np.arange(len(rows), dtype=_U), [len(r[3]) // 8 for r in rows]) * step
+            h, text, begin, end = units(data, offsets)
+            g, at, a, b = minimizers(h, text, k)
+            doc = text[at]
+            bucket, h40 = g % _U(buckets), (g // _U(buckets)) & _U((1 << 40) - 1)
+            name = mixed(h40 | (bucket << _U(40)), 31)
+            hit = np.flatnonzero(np.isin(name + doc.astype(_U) * step, wanted))
+            at, a, b, doc = at[hit], a[hit], b[hit], doc[hit]
+            flat, first, last = _flat(data, begin, end, separator)
+            low = first[a]
+            length = last[b + WINDOW - 1] - low
+            ids, marks = np.array([r[0] for r in rows], np.int64), np.frombuffer(b"".join(r[1] for r in rows), "<u8")
+            out = (name[hit], ids[doc], marks[doc], a - np.searchsorted(text, doc), b - a + WINDOW, at - a, length, flat[_pick(low, length)])
+            rows, waiting = [], 0
+            return out
 
         def flush():
+            """The smallest id of equal snippets is sent; the others lose all their windows here and now."""
             nonlocal held, size
-            # The smallest id of equal snippets is sent; the others lose all their windows here and now.
-            held.sort(key=lambda r: (r[0], r[5], r[1], r[3]))
-            by: dict[int, list] = {}
-            lost = []
-            first = None
-            for r in held:
-                if first is not None and r[0] == first[0] and r[5] == first[5] and r[1] > first[1]:
-                    lost.append((r[1], r[2], r[3], r[4]))
-                    continue
-                if first is None or r[0] != first[0] or r[5] != first[5]:
-                    first = r
-                by.setdefault(r[0] % shards, []).append(r)
+            token, doc, mark, start, count, anchor, length, data = map(np.concatenate, zip(*held, strict=True))
             held, size = [], 0
-            rows = []
-            for shard, own in by.items():
-                columns = [np.array([r[1] for r in own], "<i8"), *(np.array(x, "<u4") for x in ([r[3] for r in own], [len(r[5]) for r in own], [r[6] for r in own]))]
-                docs, starts, lengths, anchors = (zstd.compress(x.tobytes()) for x in columns)
-                rows.append((shard, docs, b"".join(r[2] for r in own), starts, lengths, anchors, zstd.compress(b"".join(r[5] for r in own))))
-            if lost:
-                docs, starts, lengths = (zstd.compress(np.array([r[i] for r in lost], t).tobytes()) for i, t in ((0, "<i8"), (2, "<u4"), (3, "<u4")))
-                rows.append((-1, docs, b"".join(r[1] for r in lost), starts, lengths, b"", b""))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = (pa.int32(), *[pa.binary()] * 6)
+            begin = np.cumsum(length) - length
+            order, new = equal_runs(data, begin, length, token, then=(doc, start))
+            least = doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+            lost = np.zeros(len(order), bool)
+            lost[order] = doc[order] > least
+            out = []
+            pack = lambda x, kind: zstd.compress(x.astype(kind).tobytes())
+            if lost.any():
+                out.append((-1, pack(doc[lost], "<i8"), mark[lost].tobytes(), pack(start[lost], "<u4"), pack(count[lost], "<u4"), b"", b"", b""))
+            shard = (token % _U(shards)).astype(np.int64)
+            order = order[~lost[order]]
+            order = order[np.argsort(shard[order], kind="stable")]
+            edge = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
+            for i, j in zip(edge, edge[1:], strict=False):
+                x = order[i:j]
+                if len(x):
+                    out.append((int(shard[x[0]]), pack(doc[x], "<i8"), mark[x].tobytes(), pack(start[x], "<u4"), pack(count[x], "<u4"), pack(length[x], "<u4"), pack(anchor[x], "<u4"), zstd.compress(data[_pick(begin[x], length[x])].tobytes())))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = (pa.int32(), *[pa.binary()] * 7)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SNIPPETS.split(", ")])
 
         for batch in batches:
-            for doc, mark, packed, tokens in zip(*(batch.column(c) for c in ("doc_id", "mark", "packed", "tokens")), strict=True):
-                raw = unpack.decompress(packed.as_py())
-                data = np.frombuffer(raw, np.uint8)
-                h, text, begin, end = units(data, np.array([0, len(data)]))
-                g, at, a, b = minimizers(h, text, k)
-                bucket, h40 = g % _U(buckets), (g // _U(buckets)) & _U((1 << 40) - 1)
-                name = mixed(h40 | (bucket << _U(40)), 31)
-                hit = np.flatnonzero(np.isin(name, np.frombuffer(tokens.as_py(), "<u8")))
-                for i, token in zip(hit.tolist(), name[hit].tolist(), strict=True):
-                    lo, hi = int(a[i]), int(b[i]) + WINDOW
-                    snippet = raw[lo:hi] if not separator else separator.join(raw[x:y] for x, y in zip(begin[lo:hi].tolist(), end[lo:hi].tolist(), strict=True))
-                    held.append((token, doc.as_py(), mark.as_py(), lo, hi - lo, snippet, int(at[i]) - lo))
-                    size += len(snippet) + 100
-                if size >= SNIPPET_TASK_BYTES:
-                    yield flush()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "packed", "tokens")), strict=True):
+                raw = unpack.decompress(row[2])
+                rows.append((row[0], row[1], raw, row[3]))
+                waiting += len(raw)
+                if waiting >= SLICE_BYTES:
+                    held.append(found())
+                    size += len(held[-1][-1]) + 50 * len(held[-1][0])
+                    if size >= SNIPPET_TASK_BYTES:
+                        yield flush()
+        if rows:
+            held.append(found())
         if held:
             yield flush()
 
     return run
 
 
-def window_spans(docs: np.ndarray, marks: list[bytes], starts: np.ndarray, snippet: np.ndarray, offset: np.ndarray, group: np.ndarray) -> pa.Table:
-    """From windows (snippet number, offset in it, number of its group of equal windows): spans of those
-    whose group has a smaller document."""
+def lost_runs(docs: np.ndarray, snippet: np.ndarray, offset: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From windows (snippet number, offset in it, number of its group of equal windows) those whose group
+    has a smaller document, as (snippet, first unit, end unit) of runs of windows."""
     least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, docs[snippet])
     lost = docs[snippet] > least[group]
-    snippet, at = snippet[lost], starts[snippet[lost]].astype(np.int64) + offset[lost]
+    snippet, at = snippet[lost], offset[lost].astype(np.int64)
     order = np.lexsort((at, snippet))
     snippet, at = snippet[order], at[order]
     edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), (snippet[1:] != snippet[:-1]) | (at[1:] != at[:-1] + 1))))
     last = np.concatenate((edge[1:], [len(at)]))[: len(edge)] - 1
-    own = snippet[edge]
-    return spans_table(docs[own], [marks[i] for i in own.tolist()], at[edge], at[last] + WINDOW)
-
-
-def spans_table(docs: np.ndarray, marks: list[bytes], begin: np.ndarray, end: np.ndarray) -> pa.Table:
-    """One row per document and mark with its (begin, end) pairs."""
-    by: dict[tuple, list] = {}
-    for d, m, a, b in zip(docs.tolist(), marks, begin.tolist(), end.tolist(), strict=True):
-        by.setdefault((d, m), []).append((a, b))
-    return pa.table({"doc_id": pa.array([k[0] for k in by], pa.int64()), "mark": pa.array([k[1] for k in by], pa.binary()), "spans": pa.array([np.array(v, "<u4").tobytes() for v in by.values()], pa.binary())})
+    return snippet[edge], at[edge], at[last] + WINDOW
+
+
+def spans_table(docs: np.ndarray, marks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+    """One row per document and mark with its (begin, end) pairs, sorted and disjoint."""
+    order = np.lexsort((begin, marks, docs))
+    docs, marks, begin, end = docs[order], marks[order], begin[order], end[order]
+    first = np.concatenate((np.ones(min(1, len(docs)), bool), (docs[1:] != docs[:-1]) | (marks[1:] != marks[:-1])))
+    own = (np.cumsum(first) - 1) << 33  # texts one after another on one line
+    high = np.maximum.accumulate(end + own)
+    edge = np.flatnonzero(np.concatenate((first[:1], (begin + own)[1:] > high[:-1])))
+    pairs = np.stack([begin[edge], (high - own)[np.concatenate((edge[1:], [len(docs)]))[: len(edge)] - 1]], axis=1).astype("<u4")
+    at = np.flatnonzero(first[edge])
+    cuts = [*at.tolist(), len(edge)]
+    return pa.table({
+        "doc_id": pa.array(docs[edge[at]], pa.int64()), "mark": pa.array([m.tobytes() for m in marks[edge[at]].astype("<u8")], pa.binary()),
+        "spans": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+    })
 
 
 def _resolve(resolve):
@@ -226,14 +288,27 @@ def _resolve(resolve):
         def column(name, kind):
             return np.concatenate([np.frombuffer(unpack.decompress(x), kind) for x in t[name].to_pylist()]).astype(np.int64)
 
-        docs = column("docs", "<i8")
-        marks = b"".join(t["marks"].to_pylist())
-        marks = [marks[i : i + MARK] for i in range(0, len(marks), MARK)]
-        starts, lengths = column("starts", "<u4"), column("lengths", "<u4")
+        docs, starts, counts = column("docs", "<i8"), column("starts", "<u4"), column("counts", "<u4")
+        marks = np.frombuffer(b"".join(t["marks"].to_pylist()), "<u8")
         if key[0].as_py() < 0:
-            return spans_table(docs, marks, starts, starts + lengths)
-        anchors = column("anchors", "<u4")
-        return window_spans(docs, marks, starts, *resolve(np.frombuffer(b"".join(unpack.decompress(x) for x in t["data"].to_pylist()), np.uint8), lengths, anchors))
+            return spans_table(docs, marks, starts, starts + counts)
+        lengths, anchors = column("lengths", "<u4"), column("anchors", "<u4")
+        data = np.frombuffer(b"".join(unpack.decompress(x) for x in t["data"].to_pylist()), np.uint8)
+        # Distinct snippets alone are compared. Of the occurrences of one, those in a document that is
+        # not its smallest lose all their windows, the rest what the smallest loses.
+        begin = np.cumsum(lengths) - lengths
+        order, new = equal_runs(data, begin, lengths, then=(docs,))
+        rep, of = order[new], np.cumsum(new) - 1
+        more = docs[order] > docs[rep][of]
+        all_ = order[more]
+        s, lo, hi = lost_runs(docs[rep], *resolve(data[_pick(begin[rep], lengths[rep])], lengths[rep], anchors[rep]))
+        same, own = order[~more], of[~more]
+        first = np.searchsorted(own, s)
+        n = np.searchsorted(own, s, "right") - first
+        who = same[_pick(first, n)]
+        lo, hi = np.repeat(lo, n), np.repeat(hi, n)
+        who, lo, hi = np.concatenate((all_, who)), np.concatenate((np.zeros(len(all_), np.int64), lo)), np.concatenate((counts[all_], hi))
+        return spans_table(docs[who], marks[who], starts[who] + lo, starts[who] + hi)
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .recurring import WINDOW, merged, repeated_windows, word_units
+from .recurring import WINDOW, equal_runs, merged, repeated_windows, word_units
 from .textops import run_hashes
 
 PHRASE_WORDS = 10
@@ -56,15 +56,37 @@ def locate(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray):
     np.add.at(edge, first[own[ok]] + low[ok], 1)
     np.add.at(edge, first[own[ok]] + high[ok] + 1, -1)
     windows = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-    group = np.unique(run_hashes(h, WINDOW)[windows], return_inverse=True)[1]
-    return snippet[windows], windows - first[snippet[windows]], group
+    return snippet[windows], windows - first[snippet[windows]], equal_windows(word_names(data, start, end), h, windows)
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word; equal words, held against each other by their bytes, have the same."""
+    order, new = equal_runs(data, start, end - start)
+    out = np.empty(len(start), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def equal_windows(names: np.ndarray, h: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The group of each window of ``WINDOW`` words. Hashes bring windows together; each is held word by
+    word against the first of its hash, and those that differ from it are grouped among themselves."""
+    group, left, known = np.zeros(len(windows), np.int64), np.arange(len(windows)), 0
+    if not len(windows):
+        return group
+    text, key = np.lib.stride_tricks.sliding_window_view(names, WINDOW), run_hashes(h, WINDOW)
+    while len(left):
+        _, first, of = np.unique(key[windows[left]], return_index=True, return_inverse=True)
+        lead = windows[left[first]][of]
+        same = np.concatenate([(text[windows[left[k : k + 65536]]] == text[lead[k : k + 65536]]).all(1) for k in range(0, len(left), 65536)])
+        group[left[same]] = known + of[same]
+        known, left = known + len(first), left[~same]
+    return group
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row: the words that no repeated window covers, joined
     by one space. A window is 50 consecutive words of one text; it is repeated if its words also start
-    in a document with a smaller id. Windows are compared by 64-bit hashes inside their shard after
-    the phrase that they share is confirmed by its text.
+    in a document with a smaller id. Phrases and windows are confirmed word by word.
 
     Null, empty and blank texts have no words; texts with fewer than 50 words lose none. See
     ``recurring`` for null and repeated ids. An empty table gives an empty result.

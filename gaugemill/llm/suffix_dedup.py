@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .recurring import WINDOW, byte_units, merged, repeated_windows
+from .recurring import WINDOW, _pick, byte_units, merged, repeated_windows
+from .textops import span_hashes
 
 GRAM_BYTES = 20
-BLOCK_BYTES = 2 << 20
+#: A suffix array is built over so many bytes; a shard has several blocks.
+BLOCK_BYTES = 512 << 10
 LANE = 64
 #: A number is of as many bytes as there are entries not above it.
 _BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
@@ -123,7 +125,14 @@ def _block_groups(data: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np
 def suffix_groups(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray):
     """Windows of one shard: (snippet, offset, group of equal windows). The shard is cut into blocks with
     a suffix array each; a block's distinct windows, in suffix order, are merged into those of the
-    blocks before by binary search."""
+    blocks before by binary search. With ``anchors``, snippets whose gram at that place no other snippet
+    here has are left out: a window always comes with the same gram."""
+    numbers = np.arange(len(lengths))
+    if anchors is not None and len(lengths):
+        at = np.cumsum(lengths) - lengths
+        _, gram, n = np.unique(span_hashes(data, at + anchors, at + anchors + GRAM_BYTES), return_inverse=True, return_counts=True)
+        numbers = np.flatnonzero(n[gram] > 1)
+        data, lengths = data[_pick(at[numbers], lengths[numbers])], lengths[numbers]
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     snippets, places, groups = [], [], []
     known = np.zeros(0, f"S{WINDOW}")
@@ -148,7 +157,7 @@ def suffix_groups(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray):
             merged_ = np.concatenate((known, mine[~there]))
             order = np.argsort(merged_, kind="stable")
             known, names = merged_[order], np.concatenate((names, name[~there]))[order]
-        snippets.append(own)
+        snippets.append(numbers[own])
         places.append(offset)
         groups.append(name[group])
         i = j
