@@ -239,7 +239,6 @@ def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     rows = [(r.doc_id, r.text or "") for r in docs.collect()] + [(900, "a <|endoftext|> b")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((str(i), tuple([*tk.encode(t, add_special_tokens=False).ids, 1])) for i, t in rows)
@@ -291,14 +290,62 @@ def test_packing_searches_the_whole_corpus(spark):
     assert sum(later) > 0.4 * len(later)
 
 
-def test_nearest_items():
+def test_windows_take_the_best_unused_neighbours():
+    """Against the rule itself, document by document."""
     g = np.random.default_rng(8)
-    docs_ = [g.integers(0, 60, g.integers(5, 30)) for _ in range(50)]
+    docs_ = [g.integers(0, 60, g.integers(5, 30)) for _ in range(150)]
+    docs_ += [docs_[3], docs_[3], docs_[9]]
     df = np.bincount(np.concatenate([np.unique(x) for x in docs_]), minlength=60)
-    index = packing.InvertedIndex(docs_, df, 200, 17.0)
-    best, score = packing.nearest_items(docs_[20:], docs_[:20], df, 200, 17.0, 4, rows=7)
-    want = np.array([index.scores(s)[20:] for s in range(20)]).T
-    assert np.allclose(np.sort(score, 0), np.sort(want, 0)[-4:], rtol=1e-4) and np.allclose(np.take_along_axis(want, best, 0), score, rtol=1e-4)
+    index, digest = packing.InvertedIndex(docs_, df, 400, 17.0), np.array([*range(150), 3, 3, 9])
+    added, got = packing.fill_windows(index, np.array([len(x) for x in docs_]), digest, 64)
+    assert added == []
+    left, used, want = [len(x) for x in docs_], [0] * len(docs_), []
+    for seed in range(len(docs_)):
+        if not left[seed]:
+            continue
+        score, rest = index.scores(seed), [i for i in range(len(docs_)) if left[i] and i != seed]
+        pieces, room, have, late = [], 64, set(), []
+        queue = [seed, *sorted(rest, key=lambda i: (-score[i], i))]
+        for i in queue:
+            if room and digest[i] not in have:
+                k = min(left[i], room)
+                pieces.append((i, used[i], k))
+                have.add(digest[i])
+                used[i], left[i], room = used[i] + k, left[i] - k, room - k
+            elif room:
+                late.append(i)
+        for i in late:
+            if room and left[i]:
+                k = min(left[i], room)
+                pieces.append((i, used[i], k))
+                used[i], left[i], room = used[i] + k, left[i] - k, room - k
+        want.append(pieces)
+    assert got == want
+    assert sum(k for w in got for _, _, k in w) == sum(map(len, docs_)) and all(sum(k for *_, k in w) == 64 for w in got[:-1])
+
+
+def test_signatures_bring_like_documents_together():
+    g = np.random.default_rng(3)
+    a = g.choice(5000, 80, replace=False)
+    near, far = np.concatenate((a[:78], [1, 2])), g.choice(5000, 80, replace=False)
+    idf = np.full(5000, 4.0)
+    one = lambda x: packing.signatures(np.sort(x), np.ones(len(x)), np.array([len(x)]), idf)[0]
+    assert one(a) == one(a[::-1]) and one(a) != one(far)
+    tops = [[int(packing.signatures(np.sort(x), np.ones(len(x)), np.array([len(x)]), np.where(np.arange(5000) % 7 == k, 0, idf))[0]) >> 48 for x in (a, near)] for k in range(7)]
+    assert sum(x == y for x, y in tops) >= 5
+    assert packing.signatures(np.zeros(0, np.int64), np.zeros(0), np.array([0, 0]), idf).tolist() == [0, 0]
+
+
+def test_copies_are_dealt_apart(spark):
+    """One text has fewer rows than there are windows: hardly a window has it twice."""
+    g = random.Random(2)
+    rows = [(i, "one text " * 20 if i % 10 == 0 else " ".join(g.choice(WORDS) for _ in range(60))) for i in range(400)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512, tokens_per_shard=8192).collect()
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    own: dict = {}
+    for r in out:
+        own.setdefault(r.sequence_id, set()).add(r.doc_id)
+    assert sum(sum(i % 10 == 0 for i in s) > 1 for s in own.values()) <= 4
 
 
 def test_quality(spark, sf_dir, docs, empty):
