@@ -67,7 +67,7 @@ Z95 = 1.959963984540054
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Low and high end of the Wilson interval of k successes in n, inside [0, 1] and around k / n;
-    null where n is 0 (the reference has NaN there)."""
+    null where n is 0 (a rate of nothing is unknown, not NaN)."""
     k, n = k.cast("double"), n.cast("double")
     p = k / n
     denom = 1.0 + z * z / n

@@ -49,7 +49,7 @@ def permutation_test(x: np.ndarray, y: np.ndarray, h: float, permutations: int,
     row = k.sum(1) @ labels
     xy = row - xx
     yy = total - xx - 2 * xy
-    values = (xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m)
+    values = unbiased(xx, yy, xy, n, m)
     return float(values[0]), float(((values[1:] >= values[0]).sum() + 1) / (permutations + 1)), values[1:]
 
 
@@ -94,6 +94,41 @@ def mmd2_relational(x: DataFrame, y: DataFrame, h: float, key: str = "key", vec:
     return sums.select(((F.col("xx") - n) / (n * (n - 1)) + (F.col("yy") - m) / (m * (m - 1)) - 2 * F.col("xy") / (n * m)).alias("mmd2"), "n", "m")
 
 
+def fit_context(reference: DataFrame, columns: list[str], seed: str, key: str = "row_id", rows: int = BANDWIDTH_ROWS) -> tuple[DataFrame, DataFrame, float]:
+    """What later batches are tested against: the reference's ECDF of each column, a sample of at most
+    ``rows`` reference rows as vectors of normal scores, and the sample's median bandwidth. Only
+    that sample reaches the driver."""
+    from .ecdf import fit_ecdf
+    from .profile import to_long
+    from .sampling import uniform_sample
+
+    ecdf = fit_ecdf(to_long(reference, columns))
+    sample = score_vectors(uniform_sample(reference, rows, seed, key), ecdf, columns, key)
+    x = sample.orderBy("key").toPandas()["x"]
+    return ecdf, sample, median_bandwidth(np.stack(x.to_numpy())) if len(x) else 1.0
+
+
+def score_vectors(df: DataFrame, ecdf: DataFrame, columns: list[str], key: str = "row_id") -> DataFrame:
+    """(key, x): normal scores of ``columns`` against the reference's ECDF, in the order of ``columns``;
+    rows with a null in one of them are left out."""
+    from .ecdf import midrank, normal_score
+    from .profile import to_long
+
+    z = normal_score(midrank(to_long(df, columns, key), ecdf, key))
+    per = z.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("_z")).where(F.size("_z") == len(columns))
+    return per.select(F.col(key).alias("key"), F.array(*[F.col("_z")[c] for c in columns]).alias("x"))
+
+
+def context_test(batch: DataFrame, context: tuple[DataFrame, DataFrame, float], columns: list[str], name: str, seed: str, key: str = "row_id", rows: int = BANDWIDTH_ROWS, permutations: int = 1000) -> DataFrame:
+    """A batch against a fitted context: at most ``rows`` of its rows, drawn by hash."""
+    from .sampling import uniform_sample
+
+    ecdf, sample, h = context
+    own = score_vectors(uniform_sample(batch, rows, seed, key), ecdf, columns, key)
+    both = sample.withColumn("current", F.lit(False)).unionByName(own.withColumn("current", F.lit(True)))
+    return mmd_tests(both.select(F.lit(name).alias("test"), "current", "key", "x"), permutations, bandwidth=h)
+
+
 def self_aa(pool: DataFrame, n: int, repeats: int, permutations: int, seed: str, key: str, vec: str) -> DataFrame:
     """Both sides from one population: how often the test rejects. One group per repeat."""
     from ..functions.core import hash_uniform

@@ -78,13 +78,18 @@ def average_ranks(long: DataFrame) -> DataFrame:
     return per.select("feature", "value", (below + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, columns, key: str = "row_id") -> DataFrame:
-    """(x, y, rho) over rows in which all of ``columns`` are known."""
-    full = df.na.drop(subset=[f"`{c}`" for c in columns])
-    long = to_long(full, columns, key)
-    ranked = long.join(average_ranks(long), ["feature", "value"])
-    wide = ranked.groupBy(key).pivot("feature", list(columns)).agg(F.first("rank"))
-    return pearson(wide, columns).withColumnRenamed("r", "rho")
+def spearman(df: DataFrame, columns) -> DataFrame:
+    """(x, y, rho) over rows in which all of ``columns`` are known.
+
+    Each column's ranks are one row per distinct value, joined onto the rows by that value; rows are
+    never regrouped, so they need no key and may repeat. A column called ``_rank0``, ``_rank1``, ... of
+    the caller's is not read."""
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_value{i}") for i, c in enumerate(columns)]).na.drop()
+    for i in range(len(columns)):
+        per = rows.select(F.lit(i).alias("feature"), F.col(f"_value{i}").alias("value"))
+        ranks = average_ranks(per).select(F.col("value").alias(f"_value{i}"), F.col("rank").alias(f"_rank{i}"))
+        rows = rows.join(ranks, f"_value{i}")
+    return pearson(rows.select(*[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)]), columns).withColumnRenamed("r", "rho")
 
 
 def top_pairs(spearman_pairs: DataFrame, k: int = 8) -> DataFrame:

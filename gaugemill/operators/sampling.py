@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.core import gumbel, hash_uniform
 
 
+#: A bin of the hash has about so many rows at most.
+ROWS_PER_BIN = 1 << 18
+
+
 def uniform_sample(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
     """n rows without replacement: those with the smallest hash. Each task keeps n, so no full sort."""
     return df.orderBy(hash_uniform(seed, key), key).limit(n)
@@ -25,7 +29,7 @@ def shuffle(df: DataFrame, seed: str, key: str) -> DataFrame:
 def _cut_points(df: DataFrame, by: str, seed: str, key: str) -> DataFrame:
     """Exact rank of each row in its stratum by hash, without gathering a stratum in one task: ranks
     inside bins of the hash plus the counts of the bins before."""
-    n_bins = 256
+    n_bins = max(256, df.count() // ROWS_PER_BIN)
     out = df.withColumn("_u", hash_uniform(seed, key)).withColumn("_bin", F.floor(F.col("_u") * n_bins).cast("int"))
     per = out.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -67,11 +71,20 @@ def split_metadata(df: DataFrame, positive: Column) -> DataFrame:
 
 
 def draws(df: DataFrame, sizes: list[int], repeats: int, seed: str, key: str) -> DataFrame:
-    """(n, repeat, rows...): ``repeats`` independent samples of each size. Every row meets every draw id
-    once (sizes x repeats of them, a parameter) and stays if its hash is under the draw's cut, which is
-    found exactly: the n-th smallest hash of that draw."""
-    spark = df.sparkSession
-    ids = spark.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n int, repeat int")
-    out = df.crossJoin(F.broadcast(ids)).withColumn("_u", hash_uniform(seed, F.col("n"), F.col("repeat"), F.col(key)))
+    """(n, repeat, rows...): ``repeats`` independent samples of each size, the n rows with the smallest
+    hashes of a draw. The draw ids (sizes x repeats, a parameter) are generated beside each row, and a
+    row goes on only in draws in which its hash is below a cut that about n + 8 sqrt(n) + 40 rows pass,
+    so a draw's task sorts little more than n rows whatever the table's size. A draw in which too few
+    pass (less than once in 10^13) is ranked over all rows."""
+    rows = df.count()
+    ids = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).alias("repeat")) for n in sizes for r in range(repeats)])
+    every = df.select("*", F.inline(ids)).withColumn("_u", hash_uniform(seed, F.col("n"), F.col("repeat"), F.col(key)))
+    cut = (F.col("n") + 8 * F.sqrt("n") + 40) / F.lit(float(max(rows, 1)))
+    near = every.where(F.col("_u") < cut)
+    if max(n + 8 * n**0.5 + 40 for n in sizes) < rows:
+        short = near.groupBy("n", "repeat").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") < F.col("n")).limit(1).count()
+    else:
+        short = 1
+    out = every if short else near
     rank = F.row_number().over(Window.partitionBy("n", "repeat").orderBy("_u", key))
     return out.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n")).drop("_u", "_rank")

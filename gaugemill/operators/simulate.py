@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.core import copula_start, gumbel, hash_uniform, norm_ppf
 from ..sources.tables import DEBT_RATIO, INCOME, INCOME_MISSING, TARGET
 from .metrics import batch_metrics
-from .profile import average_ranks, to_long
+from .profile import spearman
 from .rules import c
 
 
@@ -72,7 +72,7 @@ def draw_batch(pool: DataFrame, month: int, cfg: SimulationConfig, key: str = "r
     return pool.orderBy(F.desc(weight + gumbel(u)), key).limit(cfg.batch_rows)
 
 
-def inflate(df: DataFrame, factor: float) -> DataFrame:
+def inflate(df: DataFrame, factor: float | Column) -> DataFrame:
     """Income up and debt ratio down by ``factor`` where income is known; ``inflated`` marks the rows."""
     known = c(INCOME_MISSING) == 0
     return df.withColumn(INCOME, F.when(known, c(INCOME) * factor).otherwise(c(INCOME))).withColumn(DEBT_RATIO, F.when(known, c(DEBT_RATIO) / factor).otherwise(c(DEBT_RATIO))).withColumn("inflated", known.cast("int"))
@@ -123,6 +123,9 @@ def month_metrics(scored: DataFrame) -> DataFrame:
 
 # Dependence inversion
 
+#: The range of rho and the most steps of the bisection.
+RHO_MOST, BISECTION_STEPS = 0.999, 40
+
 
 def reorder_to_latent(df: DataFrame, value: str, latent: str, key: str = "row_id") -> DataFrame:
     """Gives the k-th smallest value to the row with the k-th smallest latent: same marginal, new order.
@@ -139,27 +142,25 @@ def ordinal_uniform(df: DataFrame, column: str, name: str, key: str = "row_id")
     return df.withColumn(name, (F.row_number().over(one.orderBy(c(column), c(key))) - 0.5) / F.count(F.lit(1)).over(one))
 
 
-def spearman_of(df: DataFrame, x: str, y: str, key: str = "row_id") -> float | None:
-    long = to_long(df, [x, y], key)
-    ranked = long.join(average_ranks(long), ["feature", "value"]).groupBy(key).pivot("feature", [x, y]).agg(F.first("rank"))
-    return ranked.agg(F.corr(F.col(f"`{x}`"), F.col(f"`{y}`"))).first()[0]
+def spearman_of(df: DataFrame, x: str, y: str) -> float | None:
+    return spearman(df, [x, y]).first().rho
 
 
-def invert_dependence(df: DataFrame, x: str, y: str, seed: str, tolerance: float = 0.02, steps: int = 40, key: str = "row_id") -> tuple[DataFrame, float, float]:
+def invert_dependence(df: DataFrame, x: str, y: str, seed: str, tolerance: float = 0.02, steps: int = BISECTION_STEPS, key: str = "row_id") -> tuple[DataFrame, float, float]:
     """Turns the Spearman correlation of (x, y) into its opposite without touching either marginal.
 
     y is dealt anew along latent = rho z_x + sqrt(1 - rho^2) noise; rho starts at the Gaussian copula's
     value for the goal and is bisected until the measured correlation is within ``tolerance``. Returns
     the batch, the correlation before and after. Each step is one plan; ranks are cached between them.
     """
-    before = spearman_of(df, x, y, key) or 0.0
-    goal, low, high = -before, -0.999, 0.999
+    before = spearman_of(df, x, y) or 0.0
+    goal, low, high = -before, -RHO_MOST, RHO_MOST
     rho = max(low, min(high, copula_start(goal)))
     base = ordinal_uniform(df, x, "_ux", key).withColumn("_zx", norm_ppf(F.col("_ux"))).withColumn("_e", norm_ppf(hash_uniform(seed, key))).persist()
     try:
         for _ in range(steps):
             out = reorder_to_latent(base.withColumn("_latent", rho * F.col("_zx") + math.sqrt(1 - rho * rho) * F.col("_e")), y, "_latent", key)
-            after = spearman_of(out, x, y, key) or 0.0
+            after = spearman_of(out, x, y) or 0.0
             if abs(after - goal) <= tolerance:
                 break
             low, high = (rho, high) if after < goal else (low, rho)

@@ -59,11 +59,11 @@ def profile_sentinel_correlation(spark, d):
 
 
 def profile_spearman(spark, d):
-    return rounded(P.spearman(read_table(spark, d, "lineitem").withColumn("row_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), _PAIR))
+    return rounded(P.spearman(read_table(spark, d, "lineitem"), _PAIR))
 
 
 def profile_top_pairs(spark, d):
-    return profile_spearman(spark, d).orderBy(F.desc(F.abs("rho")), "x", "y").limit(3)
+    return P.top_pairs(profile_spearman(spark, d), 3)
 
 
 def profile_schema(spark, d):

@@ -18,6 +18,8 @@ def _state(spark) -> str:
     """A fresh folder for stream state, where the cluster says checkpoints go."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gaugemill-stream-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

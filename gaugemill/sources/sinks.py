@@ -82,7 +82,8 @@ def upsert_section(text: str, marker: str, body: str) -> str:
     return re.sub(re.escape(begin) + ".*?" + re.escape(end), lambda _: block, text, flags=re.S) if begin in text else f"{text.rstrip()}\n\n{block}\n"
 
 
-ID_PATTERN = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\b[0-9a-f]{32}\b"
+#: Fixed value: the two forms of ids, with dashes and without.
+ID_PATTERN = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32}"
 
 
 def without_ids(col: Column) -> Column:
@@ -121,3 +122,15 @@ def write_events(events: DataFrame, path: str) -> None:
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines give no row."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_run_metadata(config: dict[str, str], results: DataFrame, path: str) -> None:
+    """One JSON document: the settings of a run and its result rows, a report-sized table."""
+    settings = F.create_map(*[F.lit(x) for kv in sorted(config.items()) for x in kv])
+    row = results.agg(F.array_sort(F.collect_list(F.struct(*results.columns))).alias("results"))
+    row.select(settings.alias("config"), "results").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, each of which may span lines; one that does not parse raises."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
