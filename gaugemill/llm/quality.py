@@ -1,4 +1,8 @@
-"""Quality classifier: gated-attention multiple-instance learning over the passages of a text."""
+"""Quality classifier: gated-attention multiple-instance learning over the passages of a text.
+
+A passage is encoded by the mean of learned word vectors, one per bucket of a word hash, beside
+measures of its form; encoder and attention are trained together.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,10 @@ HIDDEN, ATTENTION = 32, 16
 #: controls, line ends, blanks, and bytes beyond ASCII.
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
 N_CLASSES = len(_SIGNS) + 7
-N_FEATURES = N_CLASSES + 8
+N_FORM = N_CLASSES + 8
+#: Buckets and width of the word vectors; what the attention reads is the form and the mean word vector.
+BUCKETS, WIDTH = 4096, 16
+N_FEATURES = N_FORM + WIDTH
 
 
 def _byte_classes() -> np.ndarray:
@@ -30,9 +37,10 @@ def _byte_classes() -> np.ndarray:
 _CLASS = _byte_classes()
 
 
-def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of ``size`` words (the last of a text may be shorter) and the number
-    of its text. A text without words has one passage, all zeros.
+def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Form of every passage of ``size`` words (the last of a text may be shorter) and the number
+    of its text; then the bucket of every word, in order, and how many words each passage has. A text
+    without words has one passage, all zeros.
 
     Shares of byte classes; mean and spread of word length; shares of words that repeat the word
     before or the one before that, of distinct words, of words in capitals, of words with a capital
@@ -47,9 +55,9 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE_WORDS) -
     first_word = np.concatenate(([0], np.cumsum(per_text)))
     within = np.arange(len(text)) - first_word[text]
     passage = first_pass[text] + within // size
-    p, out = len(owner), np.zeros((len(owner), N_FEATURES))
+    p, out = len(owner), np.zeros((len(owner), N_FORM))
     if not len(text):
-        return out, owner
+        return out, owner, np.zeros(0, np.int64), np.zeros(p, np.int64)
     begin = np.flatnonzero(within % size == 0)  # first word of each passage that has words
     at = np.searchsorted(starts[begin], np.arange(len(data)), "right") - 1
     at = np.maximum(at, 0)
@@ -68,17 +76,28 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE_WORDS) -
     values = (m, np.sqrt(np.maximum(mean(np.minimum(length, 64) ** 2) - m * m, 0)), mean(same(1)), mean(same(2)), distinct, mean((capitals * 2 > length).astype(float)), mean((upper[starts + 1] > upper[starts]).astype(float)), np.log1p(count))
     for k, v in enumerate(values):
         out[:, N_CLASSES + k] = v
-    return out, owner
+    lower = span_hashes(data, starts, ends, lower=True)
+    return out, owner, (lower % np.uint64(BUCKETS)).astype(np.int64), np.bincount(passage, minlength=p)
+
+
+def _mean_words(table: np.ndarray, words_: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean word vector of each passage; zeros for one without words."""
+    out = np.zeros((len(counts), table.shape[1]))
+    has = np.flatnonzero(counts)
+    if len(has):
+        first = np.concatenate(([0], np.cumsum(counts[has])[:-1]))
+        out[has] = np.add.reduceat(table[words_], first, axis=0) / counts[has][:, None]
+    return out
 
 
 class AttentionMIL:
-    """z = sum_k a_k h_k over passages k, h = tanh(x W + b), a = softmax over the text's passages of
+    """x = form of a passage, scaled, and the mean of its words' vectors (rows of E); z = sum_k a_k h_k over passages k, h = tanh(x W + b), a = softmax over the text's passages of
     w . (tanh(h V) * sigmoid(h U)); the score is sigmoid(z . c + d). Trained by Adam on cross-entropy."""
 
     def __init__(self, seed: int = 7):
         g = np.random.default_rng(seed)
         s = lambda *n: g.normal(0, 1 / np.sqrt(n[0]), n)
-        self.shift, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
+        self.shift, self.scale, self.E = np.zeros(N_FORM), np.ones(N_FORM), np.zeros((BUCKETS, WIDTH))
         self.p = {"W": s(N_FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": s(HIDDEN, ATTENTION), "U": s(HIDDEN, ATTENTION), "w": s(ATTENTION), "c": s(HIDDEN), "d": np.zeros(1)}
 
     def forward(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict:
@@ -92,22 +111,25 @@ class AttentionMIL:
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -40, 40)))
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "score": score}
 
-    def scores(self, raw: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
+    def scores(self, raw: np.ndarray, owner: np.ndarray, words_: np.ndarray, per: np.ndarray, n_texts: int) -> np.ndarray:
         counts = np.bincount(owner, minlength=n_texts)
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        return self.forward(self._scaled(raw), starts, counts)["score"]
+        return self.forward(np.concatenate((self._scaled(raw), _mean_words(self.E, words_, per)), axis=1), starts, counts)["score"]
 
     def _scaled(self, raw: np.ndarray) -> np.ndarray:
         return np.clip((raw - self.shift) / self.scale, -8, 8)
 
-    def fit(self, raw: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 128, rate: float = 0.004, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
+    def fit(self, raw: np.ndarray, owner: np.ndarray, words_: np.ndarray, per: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 128, rate: float = 0.004, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
         self.shift, self.scale = raw.mean(0), np.maximum(raw.std(0), 1e-3)
         x, g = self._scaled(raw), np.random.default_rng(seed)
+        self.E[:] = g.normal(0, 0.1, self.E.shape)
         counts = np.bincount(owner, minlength=len(y))
         begin = np.concatenate(([0], np.cumsum(counts)))
+        word = np.concatenate(([0], np.cumsum(per)))
         base = np.clip(y.mean(), 0.02, 0.98)
         self.p["d"][:] = np.log(base / (1 - base))
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        all_ = {**self.p, "E": self.E}
+        m, v = ({k: np.zeros_like(a) for k, a in all_.items()} for _ in range(2))
         epochs, step = -(-steps * batch // max(len(y), batch)), 0
         for epoch in range(epochs):
             order = g.permutation(len(y))
@@ -115,17 +137,25 @@ class AttentionMIL:
                 docs = order[i : i + batch]
                 n = counts[docs]
                 rows = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
-                grad = self._gradient(x[rows], n, y[docs])
+                own = np.concatenate([words_[word[begin[d]] : word[begin[d + 1]]] for d in docs])
+                grad, dx = self._backward(np.concatenate((x[rows], _mean_words(self.E, own, per[rows])), axis=1), n, y[docs])
+                share = np.repeat(dx[:, N_FORM:] / np.maximum(per[rows], 1)[:, None], per[rows], axis=0)
+                grad["E"] = np.stack([np.bincount(own, share[:, k], minlength=BUCKETS) for k in range(WIDTH)], axis=1)
                 step += 1
                 r = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, d in grad.items():
-                    d = d + decay * self.p[k]
+                    if k != "E":  # Adam would shrink the vectors of rare words to nothing
+                        d = d + decay * all_[k]
                     m[k] += 0.1 * (d - m[k])
                     v[k] += 0.001 * (d * d - v[k])
-                    self.p[k] -= r * m[k] / (np.sqrt(v[k]) + 1e-8)
+                    all_[k] -= r * m[k] / (np.sqrt(v[k]) + 1e-8)
         return self
 
     def _gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict:
+        return self._backward(x, n, y)[0]
+
+    def _backward(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the mean cross-entropy by the parameters and by the input."""
         p, starts = self.p, np.concatenate(([0], np.cumsum(n)[:-1]))
         f = self.forward(x, starts, n)
         h, t, s, a = f["h"], f["t"], f["s"], f["a"]
@@ -136,45 +166,51 @@ class AttentionMIL:
         dg = np.outer(de, p["w"])
         dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
         dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": f["z"].T @ d, "d": np.array([d.sum()])}
+        grad = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": f["z"].T @ d, "d": np.array([d.sum()])}
+        return grad, dh @ p["W"].T
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000, max_passages: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionMIL:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionMIL:
     """Fits on at most ``max_documents`` labelled documents that are not held out, chosen by a hash of
-    the id, and on at most ``max_passages`` evenly spaced passages of each; both bounds are of the
-    training sample only, scoring reads every passage. Labels other than 0 and 1, null ids and ids
-    with more than one label are left out. Without labelled documents every score is 0.5.
+    the id, and on every passage of each: that bound, on labelled rows, is the only one, and
+    scoring reads all documents whole. Labels other than 0 and 1, null ids, ids with more than one
+    label and ids of several documents are left out. Without labelled documents every score is 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z"))
     known = known.where((F.col("_y") == F.col("_z")) & ~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_documents)
-    chosen = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("_id", F.col("_y").cast("int"), F.col(text_col).cast("string"))
+    chosen = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", F.col("_y").cast("int"), "_text")
 
     def encode(batches):
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(2)):
-                x, owner = passages(data, offsets)
-                keep = []
-                for k in range(j - i):
-                    mine = np.flatnonzero(owner == k)
-                    keep.append(x[mine[np.unique(np.linspace(0, len(mine) - 1, min(len(mine), max_passages)).astype(int))]].astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(keep, pa.binary())], names=["id", "y", "x"])
-
-    rows = chosen.mapInArrow(encode, "id long, y int, x binary").toArrow().sort_by("id")
+                x, owner, words_, per = passages(data, offsets)
+                at = np.searchsorted(owner, np.arange(j - i + 1))
+                word = np.concatenate(([0], np.cumsum(per)))[at]
+                keep = [(x[a:b].astype("<f4").tobytes(), per[a:b].astype("u1").tobytes(), words_[c:d].astype("<u2").tobytes()) for a, b, c, d in zip(at, at[1:], word, word[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], *(pa.array([k[c] for k in keep], pa.binary()) for c in range(3))], names=["id", "y", "x", "per", "words"])
+
+    rows = chosen.mapInArrow(encode, "id long, y int, x binary, per binary, words binary")
+    if chosen.groupBy("_id").count().where("count > 1").limit(1).count():
+        once = chosen.groupBy("_id").count().where("count = 1").select(F.col("_id").alias("id"))
+        rows = rows.join(F.broadcast(once), "id", "left_semi")
+    rows = rows.toArrow().sort_by("id")
     model = AttentionMIL()
     if not rows.num_rows:
         model.p["c"][:] = 0
         return model
-    bags = [np.frombuffer(b, "<f4").reshape(-1, N_FEATURES) for b in rows["x"].to_pylist()]
-    return model.fit(np.concatenate(bags).astype(float), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), rows["y"].to_numpy().astype(float))
+    bags = [np.frombuffer(b, "<f4").reshape(-1, N_FORM) for b in rows["x"].to_pylist()]
+    per, words_ = (np.frombuffer(b"".join(rows[c].to_pylist()), kind).astype(np.int64) for c, kind in (("per", "u1"), ("words", "<u2")))
+    return model.fit(np.concatenate(bags).astype(float), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), words_, per, rows["y"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: AttentionMIL, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` from every passage of every whole text (null: as empty). Only the
-    model, a few thousand numbers, is sent to the tasks; nothing is shuffled."""
+    """``docs`` with ``score`` from every passage of every whole text (null: as empty); a column of that
+    name is replaced. Only the model, half a megabyte, is sent to the tasks; nothing is shuffled. A
+    very long text is scored in one task, in memory of some hundred bytes per word."""
     docs = docs.drop("score")
     at = docs.columns.index(text_col)
     schema = docs.withColumn("score", F.lit(0.0)).schema
