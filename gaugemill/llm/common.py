@@ -24,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    unset and Spark runs on one machine (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(sc, "_gaugemill_shared", None)
         if named is None:
             named = tempfile.mkdtemp(prefix="gaugemill-")
@@ -58,6 +60,20 @@ def settle_table(df: DataFrame, what: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of ``groups`` that has their ``key``, inner, without ``size_col`` groups of
+    many rows meeting in one task.
+
+    ``size_col`` says how many of the ``total`` rows a group has. Groups of more than a ten-thousandth of
+    all rows (and more than 1,000) can be 10,000 at most: they are broadcast, and their rows
+    stay where they are read. All others meet by shuffle. Both inputs are read twice.
+    """
+    hot = F.broadcast(groups.where(F.col(size_col) > max(1000, total // 10_000)))
+    cold = groups.where(F.col(size_col) <= max(1000, total // 10_000))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

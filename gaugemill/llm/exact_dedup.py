@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_RUN, settle, table, text_or_empty
+from .common import WS_RUN, join_groups, settle, table, text_or_empty
 from .mph import PerfectHash, key_words
 
 _INDEX = "shard int, sizes array<int>, bits binary, digests binary, winners binary, counts binary"
@@ -84,14 +84,15 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     the empty text, which is a text like any other. Rows up to the median id are the history, the
     rest arrive after it. ``kept`` marks every row that bears the smallest id of its group, so of
     rows that repeat both id and text all are marked; ``exact_dedup_rows`` keeps one of them.
-    An empty table gives an empty result. Only ids and digests move; texts stay where they are read.
+    An empty table gives an empty result. Only ids and digests move; texts, however long, stay where they
+    are read. Of a text that many rows share, the rows stay too: its group comes to them.
     """
     text = F.regexp_replace(text_or_empty(text_col), WS_RUN, " ")
     rows = settle(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
-    middle = rows.agg(F.percentile_approx("id", 0.5)).first()[0]
+    middle, total = rows.agg(F.percentile_approx("id", 0.5), F.count(F.lit(1))).first()
     past = F.col("id") <= F.lit(middle if middle is not None else 0)
     groups = digest_groups(rows.where(past), rows.where(F.coalesce(~past, F.lit(True))))
-    return rows.join(groups, "digest").select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    return join_groups(rows, settle(groups), "digest", "group_size", total).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def exact_dedup_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table, table
+from .common import join_groups, settle, settle_table, table
 from .components import components
 from .mph import mixed
 from .signature_tree import similar_pairs, spanning_links
@@ -235,10 +235,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024,
     sets = settle_table(shared.groupBy("chunk").applyInArrow(_sets(percent), _SETS), "sets", "lz4")
 
     known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = settle(known.groupBy("mark").agg(F.min("doc_id").alias("rep")))
+    groups = settle(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     live = sets.where("tokens IS NOT NULL AND doc_id IS NOT NULL")
     reps = live.groupBy("mark").agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
-    reps = settle_table(reps.join(groups, "mark").drop("mark"), "reps", "lz4")
+    reps = settle_table(reps.join(groups.drop("copies"), "mark").drop("mark"), "reps", "lz4")
 
     postings = reps.select("rep", "prefix", "tokens").mapInArrow(_prefix_rows, "token long, rep long")
     per = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
@@ -247,8 +247,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024,
     member = settle(postings.join(blocks, "token").select("token", "n", "first", "rep"))
     # Representatives that blocks chain together are compared as one family, so that each set moves once.
     family = components(member.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    family = settle(family.join(size, "family"))
+    size = settle(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    family = settle(join_groups(family, size, "family", "n", family.count()))
     # A chain of more than ``family_most`` is left to its blocks one by one.
     wide = member.join(family.where(F.col("n") > family_most).select("rep"), "rep", "left_semi").select(F.col("token").alias("block"), F.lit(1).alias("kind"), "n", "rep")
     member = family.where(F.col("n") <= family_most).select(F.col("family").alias("block"), F.lit(0).alias("kind"), "n", "rep").unionByName(wide)
@@ -260,10 +260,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024,
     links = work.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_join_blocks(percent), "a long, b long")
     joined = components(links)
 
-    out = sets.select("doc_id", "n_shingles", "mark").join(groups, "mark", "left")
-    out = out.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    group = groups.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("mark", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_groups(known.select("doc_id", "n_shingles", "mark"), settle(group), "mark", "copies", known.count())
+    alone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def near_dedup_rows(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table, table
+from .common import join_groups, settle, settle_table, table
 from .mph import mixed
 from .sharding import balanced_shards
 
@@ -306,8 +306,8 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, w
     texts = real.select("item", "doc_tokens", "digest", "terms")
     schema = "item long, left long, digest long, " + ", ".join(f"key{turn} long" for turn in range(TURNS))
     keys = settle(real.select("item", rest, "digest", "terms").where("left > 0").mapInArrow(keyed, schema))
-    several = keys.groupBy("digest").agg(F.min("item").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    copies = settle(keys.join(several, "digest").where("item > first").select("item"))
+    several = settle(keys.groupBy("digest").agg(F.min("item").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = settle(join_groups(keys.select("item", "digest"), several, "digest", "n", n_docs).where("item > first").select("item"))
     waiting = real.select("item", tail.alias("start"), rest).where("left > 0")
     windows, parts = None, []
     for turn in range(TURNS):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table
+from .common import join_groups, settle, settle_table
 from .mph import mixed
 from .ngram_join import _NULL_ID, SHARED, bucket_count, emit, shared_hashes, token_names
 from .textops import SLICE_BYTES, _byte_table, _powers, run_hashes, slices, span_hashes, words
@@ -320,9 +320,10 @@ def repeated_windows(docs: DataFrame, units, k: int, resolve, per_byte: float, s
     buckets = bucket_count(rows, per_byte)
     shared = emit(rows, anchor_measure(units, k), buckets).groupBy("bucket").applyInArrow(shared_hashes, SHARED)
     status = settle_table(settle_table(shared, "anchors", "lz4").groupBy("chunk").applyInArrow(_status, _STATUS), "status", "lz4").where("doc_id IS NOT NULL")
-    first = settle(status.groupBy("mark").agg(F.min("doc_id").alias("first")))
+    first = settle(status.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    total = status.count()
     short = F.substring("mark", 1, MARK).alias("mark")
-    live = status.where("tokens IS NOT NULL").join(first, "mark").where("doc_id = first").groupBy("doc_id", short).agg(F.first("tokens").alias("tokens"))
+    live = status.where("tokens IS NOT NULL").join(first.select("mark", F.col("first").alias("doc_id")), ["mark", "doc_id"], "left_semi").groupBy("doc_id", short).agg(F.first("tokens").alias("tokens"))
     # The snippets hold a few bytes for each that recurs: as many shards as keep one at SHARD_BYTES.
     anchors = live.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
     shards = max(64, int(anchors * WINDOW * 1.4 * (6 if separator else 1) / SHARD_BYTES))
@@ -332,7 +333,7 @@ def repeated_windows(docs: DataFrame, units, k: int, resolve, per_byte: float, s
     salted = F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(256))).otherwise(F.col("shard")).cast("int")
     spans = settle(snippets.withColumn("shard", salted).groupBy("shard").applyInArrow(_resolve(resolve), SPANS))
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"))
-    whole = status.select("doc_id", "mark").distinct().join(first, "mark").where("doc_id > first").select("doc_id", short, F.lit(True).alias("whole"), F.lit(None).cast("array<binary>").alias("spans"))
+    whole = join_groups(status.select("doc_id", "mark"), first.where("copies > 1"), "mark", "copies", total).where("doc_id > first").distinct().select("doc_id", short, F.lit(True).alias("whole"), F.lit(None).cast("array<binary>").alias("spans"))
     return texts, spans.select("doc_id", "mark", F.lit(False).alias("whole"), "spans").unionByName(whole)
 
 

@@ -45,7 +45,9 @@ def balanced_shards(sized: DataFrame, n_shards: int, order_by: list[str], size_c
     shard = F.least(F.lit(n_shards - 1), F.floor(middle / F.lit(max(1, 2 * total)))).cast("int")
     rows = settle(rows.withColumn("shard", shard).drop("_part"))
     first = rows.groupBy("shard").agg(F.min("_index").alias("_first"))  # n_shards rows at most
-    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("_index") - F.col("_first")).drop("_index", "_first")
+    if n_shards <= 10_000:  # else their number may grow with the table
+        first = F.broadcast(first)
+    return rows.join(first, "shard").withColumn("slot", F.col("_index") - F.col("_first")).drop("_index", "_first")
 
 
 def op8_sharding(spark, sf_dir):

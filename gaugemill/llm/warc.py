@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, settle, table
+from .common import fresh_path, join_groups, settle, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -186,16 +186,18 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     largest id is the response, the others refer to it.
 
     Null html is the empty payload. A null id is smaller than any; rows that repeat both the winning
-    id and the payload are all responses. A third of all rows may share one payload: the join is by
-    digest with one row per digest on the other side, which adaptive execution splits.
+    id and the payload are all responses. A third of all rows may share one payload: their
+    digest comes to where they are read, and a copy's payload goes no further.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    winners = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest")).groupBy("digest").agg(F.max("id").alias("winner"))
+    winners = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest")).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("copies"))
+    winners = settle(winners)
+    total = winners.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     response = F.col("id").eqNullSafe(F.col("winner")) | (F.col("payload_bytes") < least_bytes)
-    return rows.join(winners, "digest").select(
+    return join_groups(rows, winners, "digest", "copies", total).select(
         name("id").alias("record_id"), "url", F.when(response, F.col("payload")).alias("payload"), "digest", "payload_bytes", F.when(~response, name("winner")).alias("refers_to")
     )
 
