@@ -43,13 +43,42 @@ def source_targets(sized: DataFrame, source_col: str = "source", size_col: str =
     return per.withColumn("target", F.least(most.cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select(source_col, "source_size", "weight", "target")
 
 
+def inclusion(sized: DataFrame, targets: DataFrame, source_col: str = "source", size_col: str = "size") -> DataFrame:
+    """One row per source (null is one too): ``_source``, ``source_size``, ``target``, ``copies`` (certain
+    whole copies of every document), ``_budget`` (words missing after them) and ``_rate``.
+
+    A document of n words is in the sample for the missing words with probability min(1, rate x n), so
+    longer ones are likelier, and the rate makes the words expected meet the budget. With sizes from the
+    largest down, the documents that are certain are those above some size: for each size, the rate that
+    holds if all larger ones are certain follows from two running sums, and the largest size that
+    this rate leaves uncertain decides. The windows run over one row per source and size.
+    """
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    here = targets.select(F.col(source_col).alias("_source"), "source_size", "target", F.floor(share).alias("copies"))
+    here = here.withColumn("_budget", F.round("target").cast("long") - F.col("copies") * F.col("source_size"))
+    per = sized.where(F.col(size_col) > 0).groupBy(F.col(source_col).alias("_s"), F.col(size_col).alias("_n")).agg(F.count(F.lit(1)).alias("_k"))
+    larger = Window.partitionBy("_s").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select("_s", "_n", F.coalesce(F.sum(F.col("_n") * F.col("_k")).over(larger), F.lit(0)).alias("_certain"), F.sum(F.col("_n") * F.col("_n") * F.col("_k")).over(upto).alias("_square"))
+    per = per.join(here.select("_source", "_budget"), F.col("_s").eqNullSafe(F.col("_source")))
+    rate = (F.col("_budget") - F.col("_certain")).cast("double") / F.col("_square").cast("double")
+    rates = per.where(rate * F.col("_n") < 1).groupBy("_s").agg(F.max_by(rate, "_n").alias("_rate"))
+    return here.join(rates, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "copies", "_budget", F.when(F.col("_budget") > 0, F.coalesce("_rate", F.lit(0.0))).otherwise(F.lit(0.0)).alias("_rate"))
+
+
+def pareto_rank(u: Column, p: Column) -> Column:
+    """Random odds over inclusion odds; null where p is 0 (never) or 1 (certain)."""
+    return F.when((p > 0) & (p < 1), (u / (1.0 - u)) / (p / (1.0 - p)))
+
+
 def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", rows_per_bin: int = 20_000) -> DataFrame:
     """How much of each document the mix takes: adds ``copies`` (certain whole copies),
-    ``extra`` (words of one copy more) and ``taken``.
+    ``extra`` (words of one copy more) and ``taken``; columns of these names and ``source_size``, ``target``,
+    ``weight`` are replaced, those that begin with an underscore are not kept apart.
 
-    A document is expected r = target / source_size times. Its floor(r) whole copies are certain;
-    the rest is a fixed-size Pareto sample: with inclusion odds p / (1 - p) for p = r - floor(r) and
-    a uniform u from the id, documents are ranked by (u / (1 - u)) / (p / (1 - p)), then id, and the
+    A document is expected r = target / source_size times by words. Its floor(r) whole copies are certain;
+    the rest is a Pareto sample of unequal probabilities p (``inclusion``): with a uniform u from the id,
+    documents are ranked by (u / (1 - u)) / (p / (1 - p)), then id, after those with p = 1, and the
     first ones are taken until the words missing to the target are there. The document at the end
     of the budget gives only the words that are still missing, so each source meets its target to
     the word.
@@ -63,21 +92,21 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col:
     sized = sized.drop("copies", "extra", "taken", "source_size", "target", "weight")
     bins = max(256, sized.count() // rows_per_bin)
     size = F.coalesce(F.col(size_col), F.lit(0))
-    p, odds = F.col("_p"), F.col("_p") / (1.0 - F.col("_p"))
-    u = hash_uniform(seed, F.col(id_col))
-    here = targets.withColumnRenamed(source_col, "_source").withColumn("_r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    here = here.withColumn("copies", F.floor("_r")).withColumn("_p", F.col("_r") - F.col("copies")).withColumn("_budget", F.round("target").cast("long") - F.col("copies") * F.col("source_size"))
+    here = settle(inclusion(sized, targets, source_col, size_col))
     ranked = sized.join(here, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    ranked = ranked.withColumn("_u", u).withColumn("_q", F.when(p > 0, (F.col("_u") / (1.0 - F.col("_u"))) / odds))
-    x = F.col("_q") * odds  # for odds that are equal in a source this is u / (1 - u), so bins are even
-    ranked = ranked.withColumn("_bin", F.coalesce(F.floor(x / (1.0 + x) * bins), F.floor(F.col("_u") * bins)))
+    p = F.least(F.lit(1.0), F.col("_rate") * size)
+    ranked = ranked.withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_p", p).withColumn("_q", pareto_rank(F.col("_u"), F.col("_p")))
+    mean = F.col("_budget") / F.col("source_size")  # ranks times the odds of a mean document are spread evenly enough
+    x = F.col("_q") * mean / (1.0 - mean)
+    bin_ = F.when(F.col("_p") >= 1, -1 - F.floor(F.col("_u") * bins)).otherwise(F.coalesce(F.floor(x / (1.0 + x) * bins), F.floor(F.col("_u") * bins)))
+    ranked = ranked.withColumn("_bin", bin_)
     per_bin = ranked.groupBy("_source", "_bin").agg(F.sum(size).alias("_in_bin"))
     ahead = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_in_bin").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy("_source", "_bin").orderBy("_q", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.join(per_bin, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")), "left")
     ranked = ranked.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col("_ahead"))
-    extra = F.greatest(F.lit(0), F.least(size, F.col("_budget") - F.col("_before"))).cast("long")
+    extra = F.when(F.col("_p") >= 1, size).when(F.col("_p") > 0, F.greatest(F.lit(0), F.least(size, F.col("_budget") - F.col("_before")))).otherwise(F.lit(0)).cast("long")
     ranked = ranked.withColumn("extra", extra).withColumn("taken", F.col("copies") * size + F.col("extra"))
     return ranked.select(*sized.columns, "source_size", "target", "copies", "extra", "taken")
 
@@ -87,19 +116,26 @@ def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", so
 
     A document of which the sample takes half or more is taken whole once more, others are not, so a
     source meets its target to half a document. Per source this is one cut in the order of the ranks,
-    and each row is held against it where it is read: texts are not shuffled.
+    and each row is held against it where it is read: texts, however long, are not shuffled. A
+    document without words is not taken; null sources are one source, null ids count as ""; rows that
+    repeat an id share its fate. Columns that begin with an underscore may clash with those used here.
     """
     sized = settle(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), word_count(F.col(text_col)).alias("size")))
     targets = settle(source_targets(sized, "_from"))
-    taken = pareto_mix(sized, targets, seed, "_id", "_from")
-    u = hash_uniform(seed, F.col("_id"))
-    cut = taken.where("extra * 2 >= size AND size > 0").groupBy(F.col("_from").alias("_s")).agg(F.max(F.struct(u.alias("u"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"))).alias("_cut"))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rule = settle(targets.select(F.col("_from").alias("_t"), F.floor(share).cast("int").alias("_copies")).join(cut, F.col("_t").eqNullSafe(F.col("_s")), "left").select("_t", "_copies", "_cut"))
-    own = F.struct(hash_uniform(seed, F.col(id_col)).alias("u"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"))
-    rows = docs.join(rule, F.col(source_col).eqNullSafe(F.col("_t")))
-    n = F.when(word_count(F.col(text_col)) > 0, F.col("_copies") + F.coalesce((own <= F.col("_cut")).cast("int"), F.lit(0))).otherwise(F.lit(0))
-    return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    here = settle(inclusion(sized, targets, "_from"))
+    own = lambda i, q: F.struct(q.alias("q"), F.coalesce(i.cast("string"), F.lit("")).alias("i"))
+    odds = lambda i, n: pareto_rank(hash_uniform(seed, i), F.least(F.lit(1.0), F.col("_rate") * n))
+    taken = pareto_mix(sized, targets, seed, "_id", "_from").where("extra * 2 >= size AND size > 0").select("_id", "_from", "size")
+    taken = taken.join(F.broadcast(here), F.col("_from").eqNullSafe(F.col("_source")))  # one row per source
+    q = odds(F.col("_id"), F.col("size"))
+    cut = taken.where(q.isNotNull()).groupBy(F.col("_source").alias("_s")).agg(F.max(own(F.col("_id"), q)).alias("_cut"))
+    rule = settle(here.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "copies", "_rate", "_cut"))
+    rows = docs.join(F.broadcast(rule), F.col(source_col).eqNullSafe(F.col("_source")))  # one row per source
+    n = word_count(F.col(text_col))
+    rows = rows.withColumn("_n", n).withColumn("_q", odds(F.col(id_col), F.col("_n")))
+    once_more = (F.col("_rate") * F.col("_n") >= 1) | F.coalesce(own(F.col(id_col), F.col("_q")) <= F.col("_cut"), F.lit(False)) & F.col("_q").isNotNull()
+    times = F.when(F.col("_n") > 0, (F.col("copies") + once_more.cast("int")).cast("int")).otherwise(F.lit(0))
+    return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir):
@@ -125,14 +161,24 @@ WITH d AS (
 ), c AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS r FROM t
 ), k AS (
-  SELECT *, CAST(floor(r) AS BIGINT) AS copies, r - floor(r) AS p, CAST(round(target) AS BIGINT) - CAST(floor(r) AS BIGINT) * source_size AS budget FROM c
+  SELECT *, CAST(floor(r) AS BIGINT) AS copies, CAST(round(target) AS BIGINT) - CAST(floor(r) AS BIGINT) * source_size AS budget FROM c
+), z AS (
+  SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL
+), y AS (
+  SELECT source, size, coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS certain,
+    sum(size * size * n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS square FROM z
+), x AS (
+  SELECT y.source, y.size, (budget - certain)::DOUBLE / square::DOUBLE AS rate FROM y JOIN k ON y.source IS NOT DISTINCT FROM k.source
+), g AS (
+  SELECT source, arg_max(rate, size) AS rate FROM x WHERE rate * size < 1 GROUP BY source
 ), u AS (
-  SELECT d.doc_id, d.size, k.*, (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+  SELECT d.doc_id, d.size, k.*, least(1.0::DOUBLE, CASE WHEN budget > 0 THEN coalesce(g.rate, 0.0::DOUBLE) ELSE 0.0::DOUBLE END * d.size) AS p,
+    (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), o AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM u
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p >= 1 THEN -1 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 'infinity'::DOUBLE END, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM u
 )
-SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, budget - ahead)) AS BIGINT) AS taken FROM o
+SELECT doc_id, size, source_size, target, CAST(copies * size + CASE WHEN p >= 1 THEN size WHEN p > 0 THEN greatest(0, least(size, budget - ahead)) ELSE 0 END AS BIGINT) AS taken FROM o
 """
 
 QUERIES = {"op2_mixing": op2_mixing}
