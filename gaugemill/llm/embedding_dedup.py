@@ -42,8 +42,9 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension that occurs, the eigenvectors of the second moments of all unit vectors, by
-    falling eigenvalue. One dim x dim matrix per dimension reaches the driver."""
+    """For each dimension that occurs, the eigenvectors of the covariance of all unit vectors, by falling
+    eigenvalue. One matrix of (dim + 1) x (dim + 1) per dimension reaches the driver: sums, and
+    sums of products."""
 
     def part(batches):
         total: dict[int, np.ndarray] = {}
@@ -52,6 +53,7 @@ def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
             for d in np.unique(dims).tolist():
                 x = _matrix(batch.column(1).filter(pa.array(dims == d)), d)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
                 total[d] = total.get(d, 0) + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["dim", "m"])
 
@@ -60,7 +62,12 @@ def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
         return pa.table({"dim": pa.array([d], pa.int32()), "m": [sum(np.frombuffer(b, "<f8") for b in t["m"].to_pylist()).tobytes()]})
 
     rows = reps.select("dim", "vec").mapInArrow(part, "dim int, m binary").groupBy("dim").applyInArrow(whole, "dim int, m binary").collect()
-    return {r.dim: np.linalg.eigh(np.frombuffer(r.m, "<f8").reshape(r.dim, r.dim))[1][:, ::-1] for r in rows}
+    out = {}
+    for r in rows:
+        m = np.frombuffer(r.m, "<f8").reshape(r.dim + 1, r.dim + 1)
+        mean = m[:-1, -1] / m[-1, -1]
+        out[r.dim] = np.linalg.eigh(m[:-1, :-1] / m[-1, -1] - np.outer(mean, mean))[1][:, ::-1]
+    return out
 
 
 def linked(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, block: int = 16) -> np.ndarray:

@@ -171,14 +171,17 @@ def read_records(index: DataFrame, path: str, with_payload: bool = True) -> Data
                     start, packed, size = frames[frame]
                     file.seek(start)
                     plain, at = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=size), frame
-                for k, v in parse_record(plain[offset : offset + length]).items():
+                record = parse_record(plain[offset : offset + length])
+                if not with_payload:
+                    record["payload"] = None
+                for k, v in record.items():
                     out[k].append(v)
-        if not with_payload:
-            out["payload"] = [None] * len(out["payload"])
         kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 
-    return index.groupBy("bundle").applyInArrow(read, RECORD)
+    # The index is small beside the bundles: tasks are as many as bundles, not as its bytes would have it.
+    bundles = max(1, index.agg(F.countDistinct("bundle")).first()[0])
+    return index.repartition(bundles, "bundle").groupBy("bundle").applyInArrow(read, RECORD)
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
