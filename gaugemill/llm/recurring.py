@@ -30,7 +30,7 @@ from .ngram_join import _NULL_ID, SHARED, bucket_count, emit, shared_hashes, tok
 from .textops import SLICE_BYTES, _byte_table, _powers, run_hashes, slices, span_hashes, words
 
 WINDOW = 50
-SNIPPET_TASK_BYTES = 8 << 20
+SNIPPET_TASK_BYTES = 6 << 20
 #: Bytes of a mark that travel with an id: they need only tell apart the texts of a repeated id.
 MARK = 8
 SHARD_BYTES = 4 << 20
@@ -138,7 +138,10 @@ def packed_texts(rows: DataFrame, units) -> DataFrame:
 
 def _pick(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ..., start + length - 1 of each pair, one after another."""
-    return np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+    kind = np.int32 if not len(start) or max(int((start + length).max()), int(length.sum())) < 1 << 31 else np.int64
+    out = np.repeat((start - np.concatenate(([0], np.cumsum(length)[:-1]))).astype(kind), length)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def equal_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, *before: np.ndarray, then: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +155,14 @@ def equal_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray, *before:
     for x in (h, length, *before):
         same &= x[order[1:]] == x[order[:-1]]
     at = np.flatnonzero(same)
-    n = length[order[at]]
-    if len(at):
-        differ = data[_pick(start[order[at]], n)] != data[_pick(start[order[at + 1]], n)]
-        same[at] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    end = np.cumsum(length[order[at]])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + SLICE_BYTES, "right")))
+        n = length[order[at[i:j]]]
+        differ = data[_pick(start[order[at[i:j]]], n)] != data[_pick(start[order[at[i:j] + 1]], n)]
+        same[at[i:j]] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        i = j
     new[1:] = ~same
     return order, new
 

@@ -23,17 +23,18 @@ def _byte_table(lower: bool) -> np.ndarray:
     return t
 
 
-@cache
+_known_powers = [np.ones(1, _U), np.ones(1, _U)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, _U(b))
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=_U))
-    return out[0], out[1]
+    """The first ``n`` powers of an odd base and of its inverse modulo 2^64; the longest are kept."""
+    if len(_known_powers[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
+            p = np.full(n, _U(b))
+            p[0] = 1
+            _known_powers[k] = np.cumprod(p, dtype=_U, out=p)
+    return _known_powers[0][:n], _known_powers[1][:n]
 
 
 @cache
