@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .mph import mixed
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 
 
