@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import hash_uniform
+
 BANDWIDTH_ROWS = 2000
+BLOCK_ROWS = 512
 RESULT = "test string, mmd2 double, pvalue double, n long, m long, permutations int, bandwidth double, null_mean double, null_std double, detected boolean"
 
 
@@ -81,17 +84,29 @@ def localise(wide: DataFrame, columns: list[str], permutations: int = 200, key:
     return out.select(F.split("test", r"\|")[0].alias("column_x"), F.split("test", r"\|")[1].alias("column_y"), "mmd2", "pvalue").orderBy(F.desc("mmd2"), "column_x", "column_y")
 
 
-def mmd2_relational(x: DataFrame, y: DataFrame, h: float, key: str = "key", vec: str = "x") -> DataFrame:
-    """The same statistic as three kernel sums in plain SQL terms, for small samples and as a check of
-    the Arrow form. Both samples are fixed in size, so their product is too."""
+def mmd2_blocks(rows: DataFrame, h: float, size: int = BLOCK_ROWS, seed: str = "mmd-block") -> DataFrame:
+    """(mmd2, n, m, blocks): the statistic of tables of any size. ``rows`` (current boolean, key, x) are dealt by
+    hash to blocks of about ``size`` rows, each block gives the unbiased statistic of its own pairs, and
+    blocks are averaged: work grows with rows and not with pairs. Up to ``size`` rows there is one block,
+    which is the statistic over all pairs.
+
+    Vectors that are null or hold a null are left out; a block with fewer than two rows on a side counts
+    its rows but gives no statistic; an empty table gives a null and zeros."""
+    whole = rows.where(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    blocks = max(1, -(-whole.count() // size))
 
-    def total(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        d2 = F.aggregate(F.zip_with(F.col("u"), F.col("v"), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-        return a.select(F.col(vec).alias("u")).crossJoin(b.select(F.col(vec).alias("v"))).agg(F.sum(F.exp(-d2 / (2 * h * h))).alias(name))
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf.loc[pdf["current"] == c, "x"].to_list() for c in (False, True))
+        value = None
+        if min(len(x), len(y)) > 1:
+            x, y = np.stack(x), np.stack(y)
+            value = unbiased(rbf(x, x, h).sum(), rbf(y, y, h).sum(), rbf(x, y, h).sum(), len(x), len(y))
+        return pd.DataFrame({"mmd2": [value], "n": [len(x)], "m": [len(y)]})
 
-    sums = total(x, x, "xx").crossJoin(total(y, y, "yy")).crossJoin(total(x, y, "xy")).crossJoin(x.agg(F.count(F.lit(1)).alias("n"))).crossJoin(y.agg(F.count(F.lit(1)).alias("m")))
-    n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    return sums.select(((F.col("xx") - n) / (n * (n - 1)) + (F.col("yy") - m) / (m * (m - 1)) - 2 * F.col("xy") / (n * m)).alias("mmd2"), "n", "m")
+    block = F.floor(hash_uniform(seed, "key") * blocks).alias("block")
+    per = whole.select(block, "current", "x").groupBy("block").applyInPandas(one, "mmd2 double, n long, m long")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return per.agg(F.avg("mmd2").alias("mmd2"), zero("n"), zero("m"), F.count("mmd2").alias("blocks"))
 
 
 def fit_context(reference: DataFrame, columns: list[str], seed: str, key: str = "row_id", rows: int = BANDWIDTH_ROWS) -> tuple[DataFrame, DataFrame, float]:
@@ -131,7 +146,6 @@ def context_test(batch: DataFrame, context: tuple[DataFrame, DataFrame, float],
 
 def self_aa(pool: DataFrame, n: int, repeats: int, permutations: int, seed: str, key: str, vec: str) -> DataFrame:
     """Both sides from one population: how often the test rejects. One group per repeat."""
-    from ..functions.core import hash_uniform
     from .sampling import draws
 
     drawn = draws(pool.select(F.col(key).alias("key"), F.col(vec).alias("x")), [2 * n], repeats, seed, "key")

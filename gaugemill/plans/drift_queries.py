@@ -10,7 +10,7 @@ from ..operators import ecdf as E
 from ..operators import mmd as M
 from ..operators import psi as P
 from ..operators.sampling import draws, stratum_sample
-from ..sources.tables import LINE_FEATURES, LINE_SQL, line_features, read_table
+from ..sources.tables import CUT, LINE_FEATURES, LINE_SQL, line_features, read_table
 from .helpers import rounded, rsql
 
 GAINS = {"l_quantity": 0.30, "l_extendedprice": 0.25, "l_discount": 0.20, "l_tax": 0.15, "returned_value": 0.10}
@@ -54,7 +54,7 @@ def psi_verdict(spark, d):
 
 def _monthly(spark, d):
     ref, cur = _sides(spark, d, "l_shipdate")
-    cur = cur.withColumn("month", F.month("l_shipdate")).where("year(l_shipdate) = 2000")
+    cur = cur.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
     return P.psi(ref.drop("l_shipdate"), cur, "month")
 
 
@@ -96,26 +96,24 @@ def ks_daily_events(spark, d):
 
 def midrank_ecdf(spark, d):
     ref, cur = _sides(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    keep = F.col("feature").isin("l_quantity", "returned_value")
-    out = E.midrank(cur.where(keep), E.fit_ecdf(ref.where(keep)), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = E.midrank(cur, E.fit_ecdf(ref), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rounded(out.drop("l_suppkey"))
 
 
 def normal_score(spark, d):
     ref, cur = _sides(spark, d)
-    keep = F.col("feature") == "l_quantity"
-    out = E.normal_score(E.midrank(cur.where(keep), E.fit_ecdf(ref.where(keep))))
-    return rounded(out.groupBy("value").agg(F.first("u").alias("u"), F.first("z").alias("z"), F.count(F.lit(1)).alias("rows")))
+    out = E.normal_score(E.midrank(cur, E.fit_ecdf(ref)))
+    return rounded(out.groupBy("feature", "value").agg(F.first("u").alias("u"), F.first("z").alias("z"), F.count(F.lit(1)).alias("rows")))
 
 
 def _aa(spark, d):
-    """Draws from the reference itself: 2 sizes x 20 repeats over three features."""
-    ref = line_features(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").where("reference").where(F.col("feature").isin("l_quantity", "l_discount", "l_tax")).drop("reference")
-    wide = ref.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").pivot("feature", ["l_quantity", "l_discount", "l_tax"]).agg(F.first("value"))
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    drawn = draws(wide.withColumn("k", key).select("k", "l_quantity", "l_discount", "l_tax"), [250, 1000], 20, "aa", "k")
-    long = drawn.select("n", "repeat", F.expr("stack(3, 'l_quantity', l_quantity, 'l_discount', l_discount, 'l_tax', l_tax) AS (feature, value)"))
-    base = ref.select("feature", "value")
+    """Draws from the reference itself: 2 sizes x 20 repeats over all features."""
+    ref = read_table(spark, d, "lineitem").where(f"l_shipdate < TIMESTAMP_NTZ '{CUT} 00:00:00'")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k")
+    stack = F.expr(f"stack({len(FEATURES)}, {', '.join(f'{f!r}, {f}' for f in FEATURES)}) AS (feature, value)")
+    wide = ref.select(key, *[F.expr(e).alias(f) for f, e in LINE_FEATURES.items()])
+    drawn = draws(wide, [250, 1000], 20, "aa", "k")
+    long, base = drawn.select("n", "repeat", stack), wide.select(stack)
     ks = E.ks_two_sample(base, long, "n", "repeat").select("n", "repeat", "feature", F.col("ks").alias("ks_statistic"), F.col("pvalue").alias("ks_pvalue"))
     return ks.join(P.psi(base, long, "n", "repeat"), ["n", "repeat", "feature"])
 
@@ -139,9 +137,8 @@ def bh_any_rejection(spark, d):
 
 
 def mmd_statistic(spark, d):
-    """In relational terms, on two fixed samples of 120 vectors with bandwidth 1."""
-    s = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where("vec_id < 240")
-    return rounded(M.mmd2_relational(s.where("vec_id % 2 = 0"), s.where("vec_id % 2 = 1"), 1.0))
+    """Odd ids against even ones with bandwidth 1, the whole table in blocks."""
+    return rounded(M.mmd2_blocks(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), (F.col("vec_id") % 2 == 1).alias("current"), F.col("embedding").cast("array<double>").alias("x")), 1.0))
 
 
 def mmd_permutation(spark, d, n=200):
@@ -184,7 +181,7 @@ def _shares_sql(name: str, source: str, by: str = "") -> str:
 
 
 _PSI = f"WITH {_EDGES}, {_shares_sql('r', _REF)}, {_shares_sql('p', _CUR)}, psis AS (SELECT feature, sum((p.share - r.share) * ln(p.share / r.share)) AS psi FROM p JOIN r USING (feature, bin) GROUP BY feature)"
-_CUR_M = f"(SELECT *, month(l_shipdate) AS month FROM {LINE_SQL} WHERE NOT reference AND year(l_shipdate) = 2000)"
+_CUR_M = f"(SELECT *, strftime(l_shipdate, '%Y-%m') AS month FROM {LINE_SQL} WHERE NOT reference)"
 _PSI_M = f"WITH {_EDGES}, {_shares_sql('r', _REF)}, {_shares_sql('p', _CUR_M, 'month')}, psis AS (SELECT month, feature, sum((p.share - r.share) * ln(p.share / r.share)) AS psi FROM p JOIN r USING (feature, bin) GROUP BY month, feature)"
 _GAINS = "(VALUES " + ", ".join(f"('{f}', {g}::DOUBLE)" for f, g in GAINS.items()) + ") AS g(feature, gain_share)"
 
@@ -205,13 +202,13 @@ def _p_sql(inner: str, names: str) -> str:
     return f"SELECT {names}, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, ks, CASE WHEN {_LAM} < 0.2 THEN 1.0::DOUBLE ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * ({_LAM}) * ({_LAM})))))) END AS pvalue FROM ({inner})"
 
 
+_VALUES = ", ".join(f"({e})::DOUBLE" for e in LINE_FEATURES.values())
 _EV = "(SELECT event_type, 'value' AS feature, value, day(ts) <= 15 AS first FROM events)"
-_MID = f"""WITH rf AS (SELECT * FROM {_REF} WHERE feature IN ('l_quantity', 'returned_value')), n AS (SELECT feature, count(*) AS n FROM rf GROUP BY feature),
-v AS (SELECT feature, value, count(*) FILTER (side = 'r') AS k FROM (SELECT feature, value, 'r' AS side FROM rf UNION ALL SELECT feature, value, 'c' FROM {_CUR}) WHERE feature IN ('l_quantity', 'returned_value') GROUP BY ALL),
+_MID = f"""WITH rf AS (SELECT * FROM {_REF}), n AS (SELECT feature, count(*) AS n FROM rf GROUP BY feature),
+v AS (SELECT feature, value, count(*) FILTER (side = 'r') AS k FROM (SELECT feature, value, 'r' AS side FROM rf UNION ALL SELECT feature, value, 'c' FROM {_CUR}) GROUP BY ALL),
 w AS (SELECT feature, value, k, sum(k) OVER (PARTITION BY feature ORDER BY value) AS upto FROM v),
 u AS (SELECT feature, value, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, (2 * upto - k)::DOUBLE / (2.0::DOUBLE * n))) AS u FROM w JOIN n USING (feature)),
-c AS (SELECT l_orderkey, l_linenumber, l_partkey, 'l_quantity' AS feature, l_quantity AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' UNION ALL
-      SELECT l_orderkey, l_linenumber, l_partkey, 'returned_value', CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')"""
+c AS (SELECT l_orderkey, l_linenumber, l_partkey, unnest([{', '.join(repr(f) for f in LINE_FEATURES)}]) AS feature, unnest([{_VALUES}]) AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')"""
 
 
 def _horner(x: str, cs: tuple) -> str:
@@ -229,11 +226,11 @@ def ppf_sql(u: str) -> str:
 
 
 _AA_KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
-_AA = f"""WITH {_EDGES}, w AS (SELECT {_AA_KEY} AS k, l_quantity, l_discount, l_tax FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
-dr AS (SELECT n, repeat, l_quantity, l_discount, l_tax, row_number() OVER (PARTITION BY n, repeat ORDER BY (('0x' || substr(md5('aa:' || n || ':' || repeat || ':' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE, k) AS rk
+_AA = f"""WITH {_EDGES}, w AS (SELECT {_AA_KEY} AS k, {', '.join(f'({e})::DOUBLE AS {f}_' for f, e in LINE_FEATURES.items())} FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
+dr AS (SELECT n, repeat, {', '.join(f'{f}_' for f in LINE_FEATURES)}, row_number() OVER (PARTITION BY n, repeat ORDER BY (('0x' || substr(md5('aa:' || n || ':' || repeat || ':' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE, k) AS rk
   FROM w, (SELECT unnest([250, 1000]) AS n), (SELECT unnest(range(0, 20)) AS repeat)),
-lg AS (SELECT n, repeat, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS value FROM dr WHERE rk <= n),
-rf AS (SELECT feature, value FROM {_REF} WHERE feature IN ('l_quantity', 'l_discount', 'l_tax')),
+lg AS (SELECT n, repeat, unnest([{', '.join(repr(f) for f in LINE_FEATURES)}]) AS feature, unnest([{', '.join(f'{f}_' for f in LINE_FEATURES)}]) AS value FROM dr WHERE rk <= n),
+rf AS (SELECT feature, value FROM {_REF}),
 tagged AS (SELECT (n::BIGINT * 1000 + repeat) AS draw, feature, value FROM lg),
 {_shares_sql('r', 'rf')}, {_shares_sql('p', 'tagged', 'draw')},
 psis AS (SELECT draw, feature, sum((p.share - r.share) * ln(p.share / r.share)) AS psi FROM p JOIN r USING (feature, bin) GROUP BY ALL),
@@ -258,7 +255,7 @@ SQL = {
     "psi_by_feature": rsql("SELECT * FROM psis", "feature", "psi", head=_PSI),
     "psi_verdict": rsql("""SELECT m AS max_psi, n AS rows, CASE WHEN n < 1000 THEN 'insufficient' WHEN m < 0.1 THEN 'stable' WHEN m < 0.25 THEN 'moderate' ELSE 'significant' END AS word, CASE WHEN m < 0.1 THEN 'green' WHEN m < 0.25 THEN 'amber' ELSE 'red' END AS light,
       CASE WHEN n < 1000 THEN -1 WHEN m IS NULL THEN 0 WHEN m >= 0.25 THEN 2 WHEN m >= 0.1 THEN 1 ELSE 0 END AS code FROM (SELECT max(psi) AS m FROM psis), (SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')""", "rows, word, light, code", "max_psi", head=_PSI),
-    "psi_month_matrix": rsql("SELECT CAST(month AS INTEGER) AS month, " + ", ".join(f"max(psi) FILTER (feature = '{f}') AS {f}" for f in FEATURES) + " FROM psis GROUP BY month", "month", ", ".join(FEATURES), head=_PSI_M),
+    "psi_month_matrix": rsql("SELECT month, " + ", ".join(f"max(psi) FILTER (feature = '{f}') AS {f}" for f in FEATURES) + " FROM psis GROUP BY month", "month", ", ".join(FEATURES), head=_PSI_M),
     "psi_impact_topk": rsql(f"SELECT feature, psi, coalesce(gain_share, 0::DOUBLE) AS gain_share, psi * coalesce(gain_share, 0::DOUBLE) AS impact FROM psis LEFT JOIN {_GAINS} USING (feature) ORDER BY impact DESC, feature LIMIT 4", "feature", "psi, gain_share, impact", head=_PSI),
     "psi_targets": rsql("SELECT feature, max(psi) AS largest, arg_max(psi, month) AS last, bool_and(psi < 0.25) AS under_alert, CAST(count(*) FILTER (psi >= 0.1) AS INTEGER) AS months_warned FROM psis GROUP BY feature", "feature, under_alert, months_warned", "largest, last", head=_PSI_M),
     "psi_native_crosscheck": rsql(f"""SELECT feature, psi_native, psi, (CASE WHEN psi_native < 0.1 THEN 0 WHEN psi_native < 0.25 THEN 1 ELSE 2 END) = (CASE WHEN psi < 0.1 THEN 0 WHEN psi < 0.25 THEN 1 ELSE 2 END) AS same_verdict FROM psis JOIN (
@@ -271,11 +268,14 @@ SQL = {
     "ks_statistic": rsql(_p_sql(_ks_sql(_REF, _CUR), "feature"), "feature, n_ref, n_cur", "ks, pvalue"),
     "ks_daily_events": rsql(_p_sql(_ks_sql(f"(SELECT feature, value FROM {_EV} WHERE first)", f"(SELECT event_type, feature, value FROM {_EV} WHERE NOT first)", "event_type"), "event_type, feature"), "event_type, feature, n_ref, n_cur", "ks, pvalue"),
     "midrank_ecdf": rsql("SELECT l_orderkey, l_linenumber, l_partkey, c.feature, c.value, u FROM c JOIN u ON c.feature = u.feature AND c.value = u.value", "l_orderkey, l_linenumber, l_partkey, feature", "value, u", head=_MID),
-    "normal_score": rsql(f"SELECT c.value, u, {ppf_sql('u')} AS z, count(*) AS rows FROM c JOIN u ON c.feature = u.feature AND c.value = u.value WHERE c.feature = 'l_quantity' GROUP BY c.value, u", "rows", "value, u, z", head=_MID),
+    "normal_score": rsql(f"SELECT c.feature, c.value, u, {ppf_sql('u')} AS z, count(*) AS rows FROM c JOIN u ON c.feature = u.feature AND c.value = u.value GROUP BY c.feature, c.value, u", "feature, rows", "value, u, z", head=_MID),
     "aa_sweep": rsql("SELECT * FROM tidy", "n, repeat, feature", "ks_statistic, ks_pvalue, psi", head=_AA),
     "aa_feature_rates": rsql(f"SELECT n, feature, {_R.format('ks_pvalue < 0.05')} AS ks_rate, {_R.format('psi > 0.1')} AS psi_warn_rate, {_R.format('psi > 0.25')} AS psi_alert_rate, avg(psi) AS psi_mean FROM tidy GROUP BY n, feature", "n, feature", "ks_rate, psi_warn_rate, psi_alert_rate, psi_mean", head=_AA),
     "aa_family_wise": rsql(f"SELECT n, {_R.format('p < 0.05')} AS ks_raw, {_R.format('p < 0.05::DOUBLE / m')} AS ks_bonferroni, {_R.format('bh_any')} AS ks_bh, {_R.format('psi > 0.1')} AS psi_warn, {_R.format('psi > 0.25')} AS psi_alert FROM fam JOIN bh USING (n, repeat) GROUP BY n", "n", "ks_raw, ks_bonferroni, ks_bh, psi_warn, psi_alert", head=_AA),
     "bh_any_rejection": "SELECT user_id, bool_or(p <= 0.05::DOUBLE * i / m) AS bh_any FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS i, count(*) OVER (PARTITION BY user_id) AS m FROM (SELECT user_id, (('0x' || substr(md5('p:' || event_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS p FROM events)) GROUP BY user_id",
-    "mmd_statistic": rsql("""SELECT (xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m) AS mmd2, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m FROM sums""", "n, m", "mmd2", head=f"""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 240), k AS (SELECT a.vec_id % 2 AS p, b.vec_id % 2 AS q, exp(-({_D2}) / 2.0::DOUBLE) AS k FROM s a, s b),
-      sums AS (SELECT sum(k) FILTER (p = 0 AND q = 0) AS xx, sum(k) FILTER (p = 1 AND q = 1) AS yy, sum(k) FILTER (p = 0 AND q = 1) AS xy, (SELECT count(*) FROM s WHERE vec_id % 2 = 0)::DOUBLE AS n, (SELECT count(*) FROM s WHERE vec_id % 2 = 1)::DOUBLE AS m FROM k)"""),
+    "mmd_statistic": rsql("""SELECT avg(CASE WHEN n >= 2 AND m >= 2 THEN (xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m) END) AS mmd2, CAST(sum(n) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS m, count(*) FILTER (n >= 2 AND m >= 2) AS blocks FROM c JOIN sums USING (block)""", "n, m, blocks", "mmd2", head=f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL)) = 0),
+      s AS (SELECT floor((('0x' || substr(md5('mmd-block:' || vec_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE * greatest(1, ceil((SELECT count(*) FROM v) / {M.BLOCK_ROWS}.0::DOUBLE))) AS block, vec_id % 2 AS side, x FROM v),
+      k AS (SELECT a.block, a.side AS p, b.side AS q, exp(-({_D2}) / 2.0::DOUBLE) AS k FROM s a JOIN s b ON a.block = b.block),
+      c AS (SELECT block, count(*) FILTER (side = 0)::DOUBLE AS n, count(*) FILTER (side = 1)::DOUBLE AS m FROM s GROUP BY block),
+      sums AS (SELECT block, sum(k) FILTER (p = 0 AND q = 0) AS xx, sum(k) FILTER (p = 1 AND q = 1) AS yy, sum(k) FILTER (p = 0 AND q = 1) AS xy FROM k GROUP BY block)"""),
 }

@@ -306,3 +306,25 @@ def test_bandwidth_draws_from_all_rows():
     import numpy as np
 
     assert mmd.median_bandwidth(np.arange(6000.0)[:, None]) > 1500  # the first 2000 give under 600
+
+
+def test_mmd_blocks_read_every_row(spark):
+    import numpy as np
+
+    from gaugemill.functions.core import hash_uniform
+
+    g = np.random.default_rng(4)
+    rows = [(i % 3 == 0, i, g.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame([*rows, (True, 900, None), (False, 901, [1.0, None, 2.0])], "current boolean, key long, x array<double>")
+    at = {r.key: int(r.u * 4) for r in df.select("key", hash_uniform("mmd-block", "key").alias("u")).collect()}
+
+    def brute(keep):
+        x, y = (np.array([v for cur, k, v in rows if cur == side and keep(k)]) for side in (False, True))
+        k = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(2) / 4.5)
+        n, m = len(x), len(y)
+        return (k(x, x).sum() - n) / (n * (n - 1)) + (k(y, y).sum() - m) / (m * (m - 1)) - 2 * k(x, y).mean()
+
+    all_pairs, four, empty = one(mmd.mmd2_blocks(df, 1.5)), one(mmd.mmd2_blocks(df, 1.5, 100)), one(mmd.mmd2_blocks(df.limit(0), 1.5))
+    assert (all_pairs.n, all_pairs.m, all_pairs.blocks) == (266, 134, 1) and math.isclose(all_pairs.mmd2, brute(lambda k: True), abs_tol=1e-12)
+    assert (four.n, four.m, four.blocks) == (266, 134, 4) and math.isclose(four.mmd2, np.mean([brute(lambda k, b=b: at[k] == b) for b in range(4)]), abs_tol=1e-12)
+    assert (empty.mmd2, empty.n, empty.m, empty.blocks) == (None, 0, 0, 0)
