@@ -65,4 +65,19 @@ def op8_sharding(spark, sf_dir):
 
 
 QUERIES = {"op8_sharding": op8_sharding}
-SQL: dict[str, str] = {}
+
+
+def _crc_step(byte: int) -> int:
+    """What one byte adds to a CRC-32: eight divisions by its polynomial."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+SQL = {
+    "op8_sharding": f"""WITH s AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+      r AS (SELECT doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size, xor(4294967295::BIGINT, list_reduce(list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, ({[_crc_step(i) for i in range(256)]})[xor(a, x) % 256 + 1]), 4294967295::BIGINT)) AS text_crc32 FROM s),
+      p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM r),
+      q AS (SELECT doc_id, size, text_crc32, CAST(least(15, (2 * start + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+      SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q"""
+}

@@ -117,4 +117,12 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_substring_dedup": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS u FROM documents),
+      e AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d),
+      w AS (SELECT doc_id, i, u[i] AS x, CASE WHEN i + {WINDOW - 1} <= len(u) THEN md5(array_to_string(u[i : i + {WINDOW - 1}], ' ')) END AS h FROM e),
+      f AS (SELECT *, h IS NOT NULL AND min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM w),
+      c AS (SELECT *, coalesce(max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - {WINDOW}, false) AS gone FROM f),
+      k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+      SELECT d.doc_id, len(u) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+}

@@ -215,4 +215,9 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {"op10_warc": op10_warc}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_warc": """SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(b), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+      CASE WHEN page_id = w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> w THEN w END AS refers_to
+      FROM (SELECT page_id, b, max(page_id) OVER (PARTITION BY b) AS w FROM (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages))"""
+}
