@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator; all of them must import.
-MODULES = ("sharding", "mixing", "exact_dedup", "warc", "packing", "quality", "embedding_dedup", "ngram_join", "substring_dedup", "suffix_dedup", "token_files", "centroids")
+MODULES = ("sharding", "mixing", "exact_dedup", "warc", "packing", "quality", "embedding_dedup", "ngram_join", "substring_dedup", "suffix_dedup", "conversation", "token_files", "centroids")
 
 
 def _merged(name: str) -> dict:
