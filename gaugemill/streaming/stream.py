@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_metric_groups
+
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files that appear under ``path``, a few per micro-batch."""
@@ -24,9 +26,24 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 def late_label_join(predictions: DataFrame, labels: DataFrame, key: str, lag: str) -> DataFrame:
     """Predictions as recorded, joined with labels that come up to ``lag`` later; state is dropped after."""
-    p, y = predictions.alias("p"), labels.alias("y")
-    on = (F.col(f"p.{key}") == F.col(f"y.{key}")) & (F.col("y.label_ts") >= F.col("p.ts")) & (F.col("y.label_ts") <= F.col("p.ts") + F.expr(f"INTERVAL {lag}"))
-    return p.join(y, on, "inner")
+    return predictions.alias("p").join(labels.alias("y"), _in_time(key, lag), "inner")
+
+
+def _in_time(key: str, lag: str):
+    return (F.col(f"p.{key}") == F.col(f"y.{key}")) & (F.col("y.label_ts") >= F.col("p.ts")) & (F.col("y.label_ts") <= F.col("p.ts") + F.expr(f"INTERVAL {lag}"))
+
+
+def labels_or_pending(predictions: DataFrame, labels: DataFrame, key: str, lag: str, label: str) -> DataFrame:
+    """Every column of ``predictions`` (watermark on ``ts``), the column ``label`` of ``labels`` (watermark on
+    ``label_ts``) and ``pending``: a row for each label that comes up to ``lag`` later, or one with 1 and no label.
+
+    A prediction waits in the state of an outer stream-stream join. Once both watermarks are past its
+    time plus ``lag`` nothing can come for it any more: it is put out as pending and its state goes. One whose
+    time is not over is neither; a restart from the checkpoint takes it up again. State is bounded by the
+    rows of ``lag`` plus the watermarks' delay.
+    """
+    joined = predictions.alias("p").join(labels.alias("y"), _in_time(key, lag), "leftOuter")
+    return joined.select("p.*", F.col(f"y.{label}").alias(label), F.col("y.label_ts").isNull().cast("int").alias("pending"))
 
 
 def last_gauge(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -45,13 +62,10 @@ def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> Da
     return spark.table(name)
 
 
-def replace_groups(df: DataFrame, path: str, checkpoint: str, *keys: str) -> None:
-    """Each micro-batch overwrites the groups it holds and no others."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-    df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def replace_groups(metrics: DataFrame, path: str, checkpoint: str) -> None:
+    """Each micro-batch of metric rows overwrites the (job, scenario, batch_id) groups it holds and no others, so a
+    batch that is run again after a failure leaves the same table."""
+    metrics.writeStream.foreachBatch(lambda batch, _: write_metric_groups(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def tail_logs(spark: SparkSession, path: str, schema: str, labels=("batch_id", "scenario", "stage", "status", "level")) -> DataFrame:
