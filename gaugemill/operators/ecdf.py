@@ -18,17 +18,24 @@ def fit_ecdf(reference: DataFrame) -> DataFrame:
     return per.select("feature", "value", (upto - F.col("n")).alias("below"), upto.alias("upto"), F.sum("n").over(Window.partitionBy("feature")).alias("total"))
 
 
-def midrank(current: DataFrame, ecdf: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., feature, value, u): (#less + #at most) / 2N against the reference, clipped to
-    [1e-6, 1 - 1e-6]. An as-of lookup: distinct current values and the table's values are put in one
-    order per feature and carry the last count seen, so no range join is needed."""
+def located(values: DataFrame, ecdf: DataFrame) -> DataFrame:
+    """(feature, value, below, upto, total) of distinct ``values`` (feature, value): how many reference rows are less,
+    and how many at most, and all of them. An as-of lookup: asked values and the table's are put in one order per feature and carry
+    the last count seen, so no range join is needed. Features without a reference give no row."""
     # An unmatched value lies between two reference values: as many are less as are at most.
-    asked = current.where("value IS NOT NULL").select("feature", "value").distinct().join(ecdf.select("feature", "value"), ["feature", "value"], "left_anti")
-    line = ecdf.select("feature", "value", "below", "upto", "total", F.lit(False).alias("asked")).unionByName(asked.select("feature", "value", F.lit(None).cast("long").alias("below"), F.lit(None).cast("long").alias("upto"), F.lit(None).cast("long").alias("total"), F.lit(True).alias("asked")))
+    asked = values.join(ecdf.select("feature", "value"), ["feature", "value"], "left_anti")
+    none = F.lit(None).cast("long")
+    line = ecdf.withColumn("asked", F.lit(False)).unionByName(asked.select("feature", "value", none.alias("below"), none.alias("upto"), none.alias("total"), F.lit(True).alias("asked")))
     w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    seen = line.withColumn("_last", F.last("upto", True).over(w)).withColumn("_total", F.max("total").over(Window.partitionBy("feature")))
-    twice = F.when(F.col("asked"), 2 * F.coalesce("_last", F.lit(0))).otherwise(F.col("below") + F.col("upto"))
-    u = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), twice / (2.0 * F.col("_total"))))
+    seen = line.withColumn("_last", F.coalesce(F.last("upto", True).over(w), F.lit(0))).withColumn("_total", F.max("total").over(Window.partitionBy("feature")))
+    return seen.where("_total IS NOT NULL").select("feature", "value", F.when(F.col("asked"), F.col("_last")).otherwise(F.col("below")).alias("below"), F.when(F.col("asked"), F.col("_last")).otherwise(F.col("upto")).alias("upto"), F.col("_total").alias("total"))
+
+
+def midrank(current: DataFrame, ecdf: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., feature, value, u): (#less + #at most) / 2N against the reference, clipped to
+    [1e-6, 1 - 1e-6]."""
+    seen = located(current.where("value IS NOT NULL").select("feature", "value").distinct(), ecdf)
+    u = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), (F.col("below") + F.col("upto")) / (2.0 * F.col("total"))))
     return current.join(seen.select("feature", "value", u.alias("u")), ["feature", "value"]).select(*keys, "feature", "value", "u")
 
 
@@ -36,19 +43,24 @@ def normal_score(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("z", norm_ppf(F.col("u")))
 
 
+def ks_of_located(counted: DataFrame, *by: str, feature: str = "feature") -> DataFrame:
+    """(by..., feature, n_ref, n_cur, ks) of (by..., feature, below, upto, total, c): ``c`` rows at a place of the reference.
+
+    The two distributions differ most at a place that has rows, or just before one: the reference cannot add to the
+    difference between them. So a group costs its own rows, whatever the size of the reference."""
+    group = Window.partitionBy(*by, feature)
+    line = group.orderBy("upto", "below").rowsBetween(Window.unboundedPreceding, 0)
+    done, all_ = F.sum("c").over(line), F.sum("c").over(group)
+    gap = F.greatest(F.abs(done / all_ - F.col("upto") / F.col("total")), F.abs((done - F.col("c")) / all_ - F.col("below") / F.col("total")))
+    return counted.withColumn("gap", gap).groupBy(*by, feature).agg(F.max("total").alias("n_ref"), F.sum("c").alias("n_cur"), F.max("gap").alias("ks"))
+
+
 def ks_two_sample(reference: DataFrame, current: DataFrame, *by: str) -> DataFrame:
-    """(by..., feature, n_ref, n_cur, ks, pvalue). One count per distinct value and side, then a running
-    sum over distinct values. ``by`` splits the current side; the reference is paired with each part."""
+    """(by..., feature, n_ref, n_cur, ks, pvalue). ``by`` splits the current side; each distinct value of all its
+    parts is looked up in the reference's distribution once."""
     cur = current.where("value IS NOT NULL").groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    ref = reference.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("r"))
-    if by:
-        parts = cur.select(*by).distinct()
-        ref = ref.crossJoin(F.broadcast(parts))  # one copy per part, a parameter of the caller
-    both = cur.join(ref, [*by, "feature", "value"], "full").fillna(0, ["c", "r"])
-    group = Window.partitionBy(*by, "feature")
-    line = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("c").over(line) / F.sum("c").over(group) - F.sum("r").over(line) / F.sum("r").over(group))
-    out = both.withColumn("gap", gap).groupBy(*by, "feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"), F.max("gap").alias("ks")).where("n_ref > 0 AND n_cur > 0")
+    places = located(cur.select("feature", "value").distinct(), fit_ecdf(reference))
+    out = ks_of_located(cur.join(places, ["feature", "value"]), *by)
     return out.withColumn("pvalue", kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 
 

@@ -52,22 +52,35 @@ def bin_of(value: Column, interior: Column) -> Column:
     return F.size(F.filter(interior, lambda e: e <= value))
 
 
-def shares(long: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+def binned(long: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+    """(by..., feature, bin, _n) of the values that are there."""
+    return _counted(long, *by).join(F.broadcast(edges), "feature").groupBy(*by, "feature", bin_of(F.col("value"), F.col("interior")).alias("bin")).agg(F.sum("_n").alias("_n"))
+
+
+def shares_of_binned(counts: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
     """(by..., feature, bin, share) for every bin, at least 1e-6 each and not renormalised."""
-    binned = _counted(long, *by).join(F.broadcast(edges), "feature").groupBy(*by, "feature", bin_of(F.col("value"), F.col("interior")).alias("bin")).agg(F.sum("_n").alias("_n"))
-    total = binned.groupBy(*by, "feature").agg(F.sum("_n").alias("total"))
+    total = counts.groupBy(*by, "feature").agg(F.sum("_n").alias("total"))
     all_bins = total.join(F.broadcast(edges), "feature").select(*by, "feature", "total", F.explode(F.sequence(F.lit(0), F.size("interior"))).alias("bin"))
-    out = all_bins.join(binned, [*by, "feature", "bin"], "left")
+    out = all_bins.join(counts, [*by, "feature", "bin"], "left")
     return out.select(*by, "feature", "bin", F.greatest(F.coalesce("_n", F.lit(0)) / F.greatest("total", F.lit(1)), F.lit(FLOOR)).alias("share"))
 
 
+def shares(long: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+    """The same of values."""
+    return shares_of_binned(binned(long, edges, *by), edges, *by)
+
+
+def psi_of_binned(reference: DataFrame, current: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
+    """(by..., feature, psi): sum of (p - r) ln(p / r) over the bins of ``edges``."""
+    r = shares_of_binned(reference, edges).select("feature", "bin", F.col("share").alias("r"))
+    p = shares_of_binned(current, edges, *by).withColumnRenamed("share", "p")
+    return p.join(F.broadcast(r), ["feature", "bin"]).groupBy(*by, "feature").agg(F.sum((F.col("p") - F.col("r")) * F.log(F.col("p") / F.col("r"))).alias("psi"))
+
+
 def psi(reference: DataFrame, current: DataFrame, *by: str, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
-    """(by..., feature, psi): sum of (p - r) ln(p / r) over bins fitted on ``reference``. ``by`` splits
-    the current side; the reference is one."""
+    """The index on bins fitted on ``reference``. ``by`` splits the current side; the reference is one."""
     edges = fit_edges(reference, bins) if edges is None else edges
-    r = shares(reference, edges).select("feature", "bin", F.col("share").alias("r"))
-    p = shares(current, edges, *by).withColumnRenamed("share", "p")
-    return p.join(F.broadcast(r), ["feature", "bin"]).groupBy(*by, "feature").agg(F.sum((F.col("p") - F.col("r")) * F.log(F.col("p") / F.col("r"))).alias("psi"))
+    return psi_of_binned(binned(reference, edges), binned(current, edges, *by), edges, *by)
 
 
 def native_psi(reference: DataFrame, current: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,21 +72,30 @@ def split_metadata(df: DataFrame, positive: Column) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg(positive.cast("double")).alias("positive_rate"))
 
 
-def draws(df: DataFrame, sizes: list[int], repeats: int, seed: str, key: str) -> DataFrame:
-    """(n, repeat, rows...): ``repeats`` independent samples of each size, the n rows with the smallest
-    hashes of a draw. The draw ids (sizes x repeats, a parameter) are generated beside each row, and a
-    row goes on only in draws in which its hash is below a cut that about n + 8 sqrt(n) + 40 rows pass,
-    so a draw's task sorts little more than n rows whatever the table's size. A draw in which too few
-    pass (less than once in 10^13) is ranked over all rows."""
-    rows = df.count()
-    ids = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).alias("repeat")) for n in sizes for r in range(repeats)])
-    every = df.select("*", F.inline(ids)).withColumn("_u", hash_uniform(seed, F.col("n"), F.col("repeat"), F.col(key)))
-    cut = (F.col("n") + 8 * F.sqrt("n") + 40) / F.lit(float(max(rows, 1)))
-    near = every.where(F.col("_u") < cut)
-    if max(n + 8 * n**0.5 + 40 for n in sizes) < rows:
-        short = near.groupBy("n", "repeat").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") < F.col("n")).limit(1).count()
-    else:
-        short = 1
-    out = every if short else near
-    rank = F.row_number().over(Window.partitionBy("n", "repeat").orderBy("_u", key))
-    return out.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n")).drop("_u", "_rank")
+def _next_prime(n: int) -> int:
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed: str, key: str) -> DataFrame:
+    """(n, repeat, rows...): ``repeats`` draws of each size without replacement (all rows where there are fewer).
+
+    Rows are put in the random order of a hash once, each with its exact place. A draw takes the places
+    first + step * i modulo the least prime that is no less than the number of rows, until it has n of them; first and
+    step come from a hash of the draw. In a random order every such set is a random sample, and what is read is the
+    rows drawn, not all rows for each draw. Rows with equal keys and hashes may swap places."""
+    ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key)
+    total = df.count()
+    prime = _next_prime(total)
+    ids = df.sparkSession.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n int, repeat int")
+    word = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("n").cast("string"), F.col("repeat").cast("string"))), 1 + 8 * i, 8), 16, 10).cast("long")
+    # Places past the last row fall out; there are prime - total of them.
+    tries = F.least(F.lit(prime), F.least("n", F.lit(total)) + (prime - total))
+    steps = ids.repartition(max(1, min(len(sizes) * repeats, 200)), "n", "repeat").select("n", "repeat", (word(0) % prime).alias("_first"), (word(1) % max(1, prime - 1) + 1).alias("_step"), F.explode(F.sequence(F.lit(1), tries)).alias("_i"))
+    places = steps.select("n", "repeat", "_i", ((F.col("_first") + F.col("_step") * F.col("_i")) % prime).alias("_place"))
+    if prime > total:  # the n-th of those that are rows
+        by_draw = Window.partitionBy("n", "repeat").orderBy("_i")
+        places = places.where(F.col("_place") < total).withColumn("_k", F.row_number().over(by_draw)).where(F.col("_k") <= F.col("n")).drop("_k")
+    return places.drop("_i").join(ranked.withColumn("_place", (F.col("_rank") - 1).cast("long")), "_place").select("n", "repeat", *df.columns)

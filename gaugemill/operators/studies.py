@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.core import kolmogorov_pvalue
 from ..sources.tables import CONTINUOUS, DEBT_RATIO, INCOME, TARGET
-from .ecdf import ks_two_sample
+from .ecdf import fit_ecdf, ks_of_located, ks_two_sample, located
 from .metrics import batch_metrics
 from .profile import to_long
-from .psi import psi
+from .psi import bin_of, binned, fit_edges, psi, psi_of_binned
 from .rules import c
 from .sampling import draws, uniform_sample
 from .simulate import inflate
@@ -39,6 +40,36 @@ def sensitivity(reference: DataFrame, holdout: DataFrame, score: Column, columns
     return tests.join(shifts, ["n", "level"]).select("level", "n", F.col("feature").alias("column"), F.col("ks").alias("ks_statistic"), F.col("pvalue").alias("ks_pvalue"), "psi", "mean_prediction_shift", "auc_delta")
 
 
+#: The grid of the false-alarm calibration.
+AA_SIZES, AA_REPEATS = (250, 500, 1000, 2000, 5000, 7000, 20_000), 200
+
+
+def false_alarms(reference: DataFrame, holdout: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k") -> DataFrame:
+    """(n, repeat, feature, ks_statistic, ks_pvalue, psi): draws from ``holdout``, which has not drifted, against ``reference``.
+
+    Both are wide (``features``, and ``key`` on the holdout). Every holdout row learns once where its values lie in the
+    reference's distributions and bins; a draw moves those places instead of values, so that it is measured from its own rows
+    alone. Null values are in no draw's counts."""
+    stack = F.expr(f"stack({len(features)}, {', '.join(f'{f!r}, `{f}`' for f in features)}) AS (feature, value)")
+    base, held = reference.select(stack), holdout.select(key, stack).where("value IS NOT NULL")
+    edges, ecdf, names = fit_edges(base), fit_ecdf(base), F.array(*map(F.lit, features))
+    places = located(held.select("feature", "value").distinct(), ecdf).join(F.broadcast(edges), "feature")
+    # Numbers stand for features while there is a row for each draw.
+    places = places.select("feature", "value", F.array_position(names, F.col("feature")).cast("int").alias("f"), "below", "upto", bin_of(F.col("value"), F.col("interior")).alias("bin"))
+    rows = held.join(places, ["feature", "value"]).groupBy(key).agg(F.collect_list(F.struct("f", "below", "upto", "bin")).alias("at"))  # at most one for each feature
+    drawn = draws(rows, sizes, repeats, seed, key).select("n", "repeat", F.inline("at"))
+    # One exchange: all that follows keeps a draw's feature together.
+    counted = drawn.repartition("n", "repeat", "f").groupBy("n", "repeat", "f", "below", "upto", "bin").agg(F.count(F.lit(1)).alias("c"))
+    totals = ecdf.groupBy(F.col("feature").alias("_f")).agg(F.max("total").alias("total"))
+    named = lambda df: df.withColumn("feature", F.element_at(names, F.col("f"))).drop("f")
+    whole = F.broadcast(totals.select(F.array_position(names, F.col("_f")).cast("int").alias("f"), "total"))
+    ks = named(ks_of_located(counted.join(whole, "f"), "n", "repeat", feature="f"))
+    by = ["n", "repeat", "feature"]
+    ks = ks.select(*by, F.col("ks").alias("ks_statistic"), kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
+    bins = named(counted.groupBy("n", "repeat", "f", "bin").agg(F.sum("c").alias("_n")))
+    return ks.join(psi_of_binned(binned(base, edges), bins, edges, "n", "repeat"), by)
+
+
 def ks_continuous(reference: DataFrame, current: DataFrame, columns=CONTINUOUS) -> DataFrame:
     """KS where it means something: on continuous columns, not on counts with few values."""
     return ks_two_sample(to_long(reference, columns), to_long(current, columns))

@@ -9,7 +9,8 @@ from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, hash_uniform, psi_null_
 from ..operators import ecdf as E
 from ..operators import mmd as M
 from ..operators import psi as P
-from ..operators.sampling import draws, stratum_sample
+from ..operators.sampling import stratum_sample
+from ..operators.studies import AA_REPEATS, AA_SIZES, false_alarms
 from ..sources.tables import CUT, LINE_FEATURES, LINE_SQL, line_features, read_table
 from .helpers import rounded, rsql
 
@@ -107,15 +108,11 @@ def normal_score(spark, d):
 
 
 def _aa(spark, d):
-    """Draws from the reference itself: 2 sizes x 20 repeats over all features."""
-    ref = read_table(spark, d, "lineitem").where(f"l_shipdate < TIMESTAMP_NTZ '{CUT} 00:00:00'")
+    """The whole calibration: 7 sizes x 200 draws x all features, a hash split of all rows into reference and holdout."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k")
-    stack = F.expr(f"stack({len(FEATURES)}, {', '.join(f'{f!r}, {f}' for f in FEATURES)}) AS (feature, value)")
-    wide = ref.select(key, *[F.expr(e).alias(f) for f, e in LINE_FEATURES.items()])
-    drawn = draws(wide, [250, 1000], 20, "aa", "k")
-    long, base = drawn.select("n", "repeat", stack), wide.select(stack)
-    ks = E.ks_two_sample(base, long, "n", "repeat").select("n", "repeat", "feature", F.col("ks").alias("ks_statistic"), F.col("pvalue").alias("ks_pvalue"))
-    return ks.join(P.psi(base, long, "n", "repeat"), ["n", "repeat", "feature"])
+    wide = read_table(spark, d, "lineitem").select(key, *[F.expr(e).alias(f) for f, e in LINE_FEATURES.items()])
+    split = hash_uniform("aa-split", "k") < 0.7
+    return false_alarms(wide.where(split), wide.where(~split), FEATURES)
 
 
 def aa_sweep(spark, d):
@@ -225,17 +222,32 @@ def ppf_sql(u: str) -> str:
     return f"CASE WHEN {u} < 0.02425::DOUBLE THEN {tail(low)} WHEN {u} > 1 - 0.02425::DOUBLE THEN -({tail(high)}) ELSE {_horner(r, PPF_A)} * {q} / ({_horner(r, PPF_B)} * {r} + 1) END"
 
 
+def draws_sql(source: str, key: str, seed: str, sizes, repeats: int) -> str:
+    """CTEs ``ranked`` (rows of ``source`` with their place) and ``drawn`` (n, repeat, place): a draw takes first + step * i modulo the next prime."""
+    u = f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    word = lambda i: f"('0x' || substr(md5('{seed}:' || n || ':' || repeat), {1 + 8 * i}, 8))::BIGINT"
+    return f"""ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {u}, {key}) - 1 AS place FROM {source}), nn AS (SELECT count(*) AS total FROM ranked),
+pr AS MATERIALIZED (SELECT total, min(p) AS prime FROM (SELECT total, unnest(range(greatest(total, 2), total + 500)) AS p FROM nn) x WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) AS t(d) WHERE d * d <= p AND p % d = 0) GROUP BY total),
+di AS (SELECT n, repeat, {word(0)} % prime AS first, {word(1)} % greatest(1, prime - 1) + 1 AS step, total, prime FROM pr, (SELECT unnest({list(sizes)}) AS n), (SELECT unnest(range(0, {repeats})) AS repeat)),
+drawn AS (SELECT n, repeat, place FROM (SELECT n, repeat, place, row_number() OVER (PARTITION BY n, repeat ORDER BY i) AS rk FROM (SELECT n, repeat, i, total, (first + step * i) % prime AS place FROM (SELECT *, unnest(range(1, least(n, total) + prime - total + 1)) AS i FROM di)) WHERE place < total) WHERE rk <= n)"""
+
+
 _AA_KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
-_AA = f"""WITH {_EDGES}, w AS (SELECT {_AA_KEY} AS k, {', '.join(f'({e})::DOUBLE AS {f}_' for f, e in LINE_FEATURES.items())} FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
-dr AS (SELECT n, repeat, {', '.join(f'{f}_' for f in LINE_FEATURES)}, row_number() OVER (PARTITION BY n, repeat ORDER BY (('0x' || substr(md5('aa:' || n || ':' || repeat || ':' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE, k) AS rk
-  FROM w, (SELECT unnest([250, 1000]) AS n), (SELECT unnest(range(0, 20)) AS repeat)),
-lg AS (SELECT n, repeat, unnest([{', '.join(repr(f) for f in LINE_FEATURES)}]) AS feature, unnest([{', '.join(f'{f}_' for f in LINE_FEATURES)}]) AS value FROM dr WHERE rk <= n),
-rf AS (SELECT feature, value FROM {_REF}),
-tagged AS (SELECT (n::BIGINT * 1000 + repeat) AS draw, feature, value FROM lg),
-{_shares_sql('r', 'rf')}, {_shares_sql('p', 'tagged', 'draw')},
-psis AS (SELECT draw, feature, sum((p.share - r.share) * ln(p.share / r.share)) AS psi FROM p JOIN r USING (feature, bin) GROUP BY ALL),
-ks0 AS ({_ks_sql('rf', 'tagged', 'draw')}), ks1 AS ({_p_sql('SELECT * FROM ks0', 'draw, feature')}),
-tidy AS (SELECT (draw // 1000)::INT AS n, (draw % 1000)::INT AS repeat, feature, ks AS ks_statistic, pvalue AS ks_pvalue, psi FROM ks1 JOIN psis USING (draw, feature)),
+_AA_LONG = f"unnest([{', '.join(repr(f) for f in LINE_FEATURES)}]) AS feature, unnest([{', '.join(f'{f}_' for f in LINE_FEATURES)}]) AS value"
+_AA = f"""WITH w AS (SELECT k, ((('0x' || substr(md5('aa-split:' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) < 0.7 AS ref, {', '.join(f'{f}_' for f in LINE_FEATURES)} FROM (SELECT {_AA_KEY} AS k, {', '.join(f'({e})::DOUBLE AS {f}_' for f, e in LINE_FEATURES.items())} FROM lineitem)),
+rf AS MATERIALIZED (SELECT {_AA_LONG} FROM w WHERE ref), {_EDGES.replace(_REF, 'rf')}, {draws_sql("(SELECT * FROM w WHERE NOT ref)", "k", "aa", AA_SIZES, AA_REPEATS)},
+hl AS (SELECT place, {_AA_LONG} FROM ranked),
+vv AS (SELECT feature, value, sum(r) AS r FROM (SELECT feature, value, 1 AS r FROM rf UNION ALL SELECT feature, value, 0 FROM hl) GROUP BY ALL),
+vp AS (SELECT feature, value, upto - r AS below, upto, total, len(list_filter(interior, lambda x: x <= value)) AS bin FROM (SELECT *, sum(r) OVER (PARTITION BY feature ORDER BY value) AS upto, sum(r) OVER (PARTITION BY feature) AS total FROM vv) JOIN edges USING (feature)),
+hp AS MATERIALIZED (SELECT place, feature, below, upto, total, bin FROM hl JOIN vp USING (feature, value)),
+cd AS MATERIALIZED (SELECT n, repeat, feature, below, upto, total, bin, count(*) AS c FROM drawn JOIN hp USING (place) GROUP BY ALL),
+ks0 AS (SELECT n, repeat, feature, max(total)::BIGINT AS n_ref, sum(c)::BIGINT AS n_cur, max(greatest(abs(done / size - upto / total::DOUBLE), abs((done - c) / size - below / total::DOUBLE))) AS ks FROM (
+  SELECT *, (sum(c) OVER (PARTITION BY n, repeat, feature ORDER BY upto, below))::DOUBLE AS done, (sum(c) OVER (PARTITION BY n, repeat, feature))::DOUBLE AS size FROM cd) GROUP BY ALL),
+ks1 AS ({_p_sql('SELECT * FROM ks0', 'n, repeat, feature')}), {_shares_sql('r', 'rf')},
+pb AS (SELECT n, repeat, feature, bin, sum(c) AS c FROM cd GROUP BY ALL),
+psis AS (SELECT t.n, t.repeat, t.feature, sum((t.share - r.share) * ln(t.share / r.share)) AS psi FROM (SELECT a.n, a.repeat, a.feature, a.bin, greatest(coalesce(pb.c, 0)::DOUBLE / size, 1e-6::DOUBLE) AS share FROM
+  (SELECT n, repeat, feature, n_cur AS size, unnest(range(0, len(interior) + 1)) AS bin FROM ks0 JOIN edges USING (feature)) a LEFT JOIN pb ON pb.n = a.n AND pb.repeat = a.repeat AND pb.feature = a.feature AND pb.bin = a.bin) t JOIN r ON r.feature = t.feature AND r.bin = t.bin GROUP BY ALL),
+tidy AS MATERIALIZED (SELECT n, repeat::INT AS repeat, feature, ks AS ks_statistic, pvalue AS ks_pvalue, psi FROM ks1 JOIN psis USING (n, repeat, feature)),
 bh AS (SELECT n, repeat, bool_or(ks_pvalue <= 0.05::DOUBLE * i / m) AS bh_any FROM (SELECT *, row_number() OVER (PARTITION BY n, repeat ORDER BY ks_pvalue) AS i, count(*) OVER (PARTITION BY n, repeat) AS m FROM tidy) GROUP BY ALL),
 fam AS (SELECT n, repeat, min(ks_pvalue) AS p, max(psi) AS psi, count(*) AS m FROM tidy GROUP BY ALL)"""
 _R = "avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0 END)"

@@ -13,13 +13,13 @@ from ..operators.profile import pearson
 from ..operators.rules import c
 from ..sources import sinks
 from ..sources.tables import COLUMNS, CONTINUOUS, DEBT_RATIO, INCOME, INCOME_MISSING, TARGET, UTILIZATION, credit, read_table
-from .drift_queries import _EDGES, _REF, _ks_sql, _p_sql, _shares_sql
+from .drift_queries import _EDGES, _REF, _ks_sql, _p_sql, _shares_sql, draws_sql
 from .helpers import WITH_CREDIT, rounded, rsql
 from .monitor_queries import _SCORED, _drift, _rank_sql, _scored
 from .stream_queries import _state
 
 _U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
-_DRAWS, _DRAWN = 100, 2000
+_DRAWS, _DRAWN = 500, 7000
 
 
 def _sides(spark, d):
@@ -103,8 +103,8 @@ ks0 AS ({_ks_sql('rf', 'cr', 'cell')}), ks1 AS ({_p_sql('SELECT * FROM ks0', 'ce
 auc AS ({_rank_sql('n, level')}), mean AS (SELECT n, level, avg(p) AS mp FROM s GROUP BY ALL), m AS (SELECT n, level, n || ':' || level AS cell, mp, auc FROM mean JOIN auc USING (n, level))"""
 _KS_LONG = lambda side: " UNION ALL ".join(f"""SELECT '{x}' AS feature, "{x}"::DOUBLE AS value FROM sides WHERE {side}reference AND "{x}" IS NOT NULL""" for x in CONTINUOUS)
 _P_REF, _P_CUR = "(SELECT 'p' AS feature, p AS value FROM s WHERE month <= 6)", "(SELECT month, 'p' AS feature, p AS value FROM s WHERE month > 6)"
-_NULLS = f"""{_SCORED}, dn AS (SELECT repeat, y, p, row_number() OVER (PARTITION BY repeat ORDER BY {_U.format(seed=f"null:{_DRAWN}:' || repeat || '", key='row_id')}, row_id) AS rk FROM s, (SELECT unnest(range(0, {_DRAWS})) AS repeat)),
-d AS (SELECT repeat, y, p FROM dn WHERE rk <= {_DRAWN}), auc AS ({_rank_sql('repeat', 'd')}), gap AS (SELECT repeat, avg(p) - avg(y) AS calibration_gap FROM d GROUP BY repeat)"""
+_NULLS = f"""{_SCORED}, {draws_sql("s", "row_id", "null", [_DRAWN], _DRAWS)},
+d AS MATERIALIZED (SELECT repeat, y, p FROM drawn JOIN ranked USING (place)), auc AS ({_rank_sql('repeat', 'd')}), gap AS (SELECT repeat, avg(p) - avg(y) AS calibration_gap FROM d GROUP BY repeat)"""
 
 QUERIES = {f.__name__: f for f in (sensitivity_sweep, ks_continuous, prediction_drift, null_thresholds, rate_matrix, expected_pair_rank, numeric_sums, stable_sample, latest_batch, highest_drift, run_metadata, mmd_context)}
 SQL = {
