@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import hash_uniform
 from ..sources.tables import MODEL_FEATURES, TARGET
 from .rules import c
 
@@ -72,6 +73,34 @@ def calibrated(model, isotonic, df: DataFrame) -> DataFrame:
 def gain_shares(model, features=MODEL_FEATURES) -> dict[str, float]:
     """Normalised gains; equal shares where the model tells none."""
     found = getattr(model, "featureImportances", None)
-    values = list(found.toArray()) if found is not None else []
+    values = found.toArray().tolist() if found is not None else []
     total = sum(values)
     return {f: v / total for f, v in zip(features, values, strict=True)} if total else {f: 1 / len(features) for f in features}
+
+
+def gain_table(model, spark, features=MODEL_FEATURES) -> DataFrame:
+    """``feature, gain_share``: one row for each feature."""
+    return spark.createDataFrame(sorted(gain_shares(model, features).items()), "feature string, gain_share double")
+
+
+def refits(train: DataFrame, test: DataFrame, seeds: list[int], trees: int = 40, at_once: int = 4) -> DataFrame:
+    """``model, seed, auc``: both candidates fitted anew for each seed on a part of ``train`` (four of five rows by a hash of
+    the seed and ``row_id``) and measured on ``test``. Fits share the cached matrices and run a few at a time; each gives one row."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .metrics import ranking
+
+    train, test = train.persist(), test.persist()
+    try:
+        train.count(), test.count()
+
+        def fit(seed: int) -> list[tuple]:
+            part = train.where(hash_uniform(f"refit:{seed}", "row_id") < 0.8)
+            return [(name, seed, ranking(scores(m, test).select("y", "p")).first()["auc"]) for name, m in fit_candidates(part, seed, trees).items()]
+
+        with ThreadPoolExecutor(at_once) as pool:
+            rows = [r for rs in pool.map(fit, seeds) for r in rs]
+    finally:
+        train.unpersist()
+        test.unpersist()
+    return train.sparkSession.createDataFrame(rows, "model string, seed int, auc double")

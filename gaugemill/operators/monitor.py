@@ -6,6 +6,8 @@ key and no time axis; a value that was not measured has no row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ PSI_WARN, PSI_ALERT, GAIN_MIN = 0.10, 0.25, 0.10
 GAP_MAX, AUC_MIN = -0.0056, 0.8372
 LABEL_LAG = 2
 
+
+@dataclass(frozen=True)
+class Thresholds:
+    """What batches are judged by; a settings file has to name every one."""
+
+    psi_warn: float = PSI_WARN
+    psi_alert: float = PSI_ALERT
+    gain_min: float = GAIN_MIN
+    gap_max: float = GAP_MAX
+    auc_min: float = AUC_MIN
+    label_lag: int = LABEL_LAG
+    min_rows: int = 1000
+
+
 VERDICT_TEXT = {-2: "blocked", -1: "insufficient sample", 0: "ok", 1: "warning", 2: "critical"}
 STAGE_TEXT = {-1: "skipped", 0: "failed", 1: "ok"}
 
@@ -172,3 +188,10 @@ def drift_counters(drift: DataFrame) -> DataFrame:
     """Per batch: features in the warning band, features at or above the alert line."""
     p = F.col("psi")
     return drift.groupBy("scenario", "batch_id").agg(F.count_if((p >= PSI_WARN) & (p < PSI_ALERT)).cast("long").alias("drifted_warning"), F.count_if(p >= PSI_ALERT).cast("long").alias("drifted_critical"))
+
+
+def judged(batches: DataFrame, limits: DataFrame) -> DataFrame:
+    """(scenario, batch_id, rows, psi, gap) with ``verdict`` and ``degraded`` by the one row of ``limits`` (``Thresholds`` as a table)."""
+    x = batches.crossJoin(F.broadcast(limits))  # one row
+    verdict = F.when(F.col("rows") < F.col("min_rows"), "insufficient").when(F.col("psi") >= F.col("psi_alert"), "critical").when(F.col("psi") >= F.col("psi_warn"), "warning").otherwise("ok")
+    return x.select(*batches.columns, verdict.alias("verdict"), (F.col("gap") <= F.col("gap_max")).alias("degraded"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,20 @@ from ..sources.tables import CREDIT_SQL
 WITH_CREDIT = f"WITH credit AS {CREDIT_SQL}"
 
 
+def shared_dir(spark) -> str:
+    """Where the cluster says checkpoints go; on one machine without that setting (tests) a temporary folder for the session."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = getattr(sc, "_gaugemill_plans", None)
+        if base is None:
+            base = sc._gaugemill_plans = tempfile.mkdtemp(prefix="gaugemill-plans-")
+            atexit.register(shutil.rmtree, base, True)
+    return base.rstrip("/")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to ``digits`` places (and -0 to 0), so that engines that add in another order agree."""
     return df.select(*[(F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,18 +12,12 @@ from ..sources.tables import AGE, TARGET, UTILIZATION, credit, read_table
 from ..streaming import stream as S
 from ..streaming.alerting import AlertRule, alert_transitions
 from ..streaming.replay import Replay
-from .helpers import WITH_CREDIT, rounded, rsql
+from .helpers import WITH_CREDIT, rounded, rsql, shared_dir
 
 
 def _state(spark) -> str:
-    """A fresh folder for stream state, where the cluster says checkpoints go."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="gaugemill-stream-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for the state of a stream."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the replay: arrivals, late labels, last gauges, log tails."""
+"""Structured Streaming forms of the replay: arrivals, late labels, last gauges."""
 
 from __future__ import annotations
 
@@ -66,9 +66,3 @@ def replace_groups(metrics: DataFrame, path: str, checkpoint: str) -> None:
     """Each micro-batch of metric rows overwrites the (job, scenario, batch_id) groups it holds and no others, so a
     batch that is run again after a failure leaves the same table."""
     metrics.writeStream.foreachBatch(lambda batch, _: write_metric_groups(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def tail_logs(spark: SparkSession, path: str, schema: str, labels=("batch_id", "scenario", "stage", "status", "level")) -> DataFrame:
-    """JSON lines as they are appended in new files; a few fields become labels, the line stays."""
-    rows = spark.readStream.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "value")
-    return rows.select(*[F.col(f"r.{x}").alias(x) for x in labels], F.col("value").alias("line"))
