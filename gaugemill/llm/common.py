@@ -74,6 +74,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, tot
     return rows.join(hot, key).unionByName(rest)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one called ``row``, so that none meets a name that an operator gives; ``row.*`` frees them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``docs`` has no such column in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_RUN, join_groups, settle, table, text_or_empty
+from .common import WS_RUN, join_groups, settle, table, text_or_empty, whole_row
 from .mph import PerfectHash, key_words
 
 _INDEX = "shard int, sizes array<int>, bits binary, digests binary, winners binary, counts binary"
@@ -96,16 +96,17 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def exact_dedup_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, that bear the smallest id of their group of equal texts;
-    of rows that repeat both id and text, one."""
-    marked = exact_dedup(docs, text_col, id_col)
-    kept = settle(marked.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n")))
+    """The rows of ``docs``, all columns whatever their names, that bear the smallest id of their group of equal texts;
+    of rows that repeat both id and text, one. Null and empty texts are one group; a null id is the largest. An
+    empty table gives an empty result. Whole texts, however long, move once, with their rows."""
+    marked = exact_dedup(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id")), "text", "id")
+    kept = settle(marked.where("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")))
     text = F.regexp_replace(text_or_empty(text_col), WS_RUN, " ")
-    rows = docs.withColumn("_own", F.unhex(F.sha2(text.cast("binary"), 256)))
-    rows = rows.join(kept.select("_id", "_digest"), (F.col("_own") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        rows = rows.dropDuplicates([id_col, "_own"])
-    return rows.select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("own"))
+    rows = rows.join(kept.select("id", "digest"), (F.col("own") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["own_id", "own"])
+    return rows.select("row.*")
 
 
 def op6_exact_dedup(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table, word_count
+from .common import settle, table, whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -53,13 +53,15 @@ def inclusion(sized: DataFrame, targets: DataFrame, source_col: str = "source",
     holds if all larger ones are certain follows from two running sums, and the largest size that
     this rate leaves uncertain decides. The windows run over one row per source and size.
     """
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    here = targets.select(F.col(source_col).alias("_source"), "source_size", "target", F.floor(share).alias("copies"))
-    here = here.withColumn("_budget", F.round("target").cast("long") - F.col("copies") * F.col("source_size"))
+    # Of the whole words of the target, so that what is left is always less than the source has.
+    whole = F.round("target").cast("long")
+    here = targets.select(F.col(source_col).alias("_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("copies"))
+    here = here.withColumn("_budget", whole - F.col("copies") * F.col("source_size"))
     per = sized.where(F.col(size_col) > 0).groupBy(F.col(source_col).alias("_s"), F.col(size_col).alias("_n")).agg(F.count(F.lit(1)).alias("_k"))
+    wide = lambda c: F.col(c).cast("decimal(12,0)")  # noqa: E731  squares of very long texts pass 64 bits
     larger = Window.partitionBy("_s").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select("_s", "_n", F.coalesce(F.sum(F.col("_n") * F.col("_k")).over(larger), F.lit(0)).alias("_certain"), F.sum(F.col("_n") * F.col("_n") * F.col("_k")).over(upto).alias("_square"))
+    per = per.select("_s", "_n", F.coalesce(F.sum(F.col("_n") * F.col("_k")).over(larger), F.lit(0)).alias("_certain"), F.sum(wide("_n") * wide("_n") * wide("_k")).over(upto).alias("_square"))
     per = per.join(here.select("_source", "_budget"), F.col("_s").eqNullSafe(F.col("_source")))
     rate = (F.col("_budget") - F.col("_certain")).cast("double") / F.col("_square").cast("double")
     rates = per.where(rate * F.col("_n") < 1).groupBy("_s").agg(F.max_by(rate, "_n").alias("_rate"))
@@ -74,7 +76,7 @@ def pareto_rank(u: Column, p: Column) -> Column:
 def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", rows_per_bin: int = 20_000) -> DataFrame:
     """How much of each document the mix takes: adds ``copies`` (certain whole copies),
     ``extra`` (words of one copy more) and ``taken``; columns of these names and ``source_size``, ``target``,
-    ``weight`` are replaced, those that begin with an underscore are not kept apart.
+    ``weight`` are replaced, all others kept, whatever their names.
 
     A document is expected r = target / source_size times by words. Its floor(r) whole copies are certain;
     the rest is a Pareto sample of unequal probabilities p (``inclusion``): with a uniform u from the id,
@@ -91,24 +93,24 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, seed: str = "mix", id_col:
     """
     sized = sized.drop("copies", "extra", "taken", "source_size", "target", "weight")
     bins = max(256, sized.count() // rows_per_bin)
-    size = F.coalesce(F.col(size_col), F.lit(0))
     here = settle(inclusion(sized, targets, source_col, size_col))
-    ranked = sized.join(here, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    p = F.least(F.lit(1.0), F.col("_rate") * size)
-    ranked = ranked.withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_p", p).withColumn("_q", pareto_rank(F.col("_u"), F.col("_p")))
-    mean = F.col("_budget") / F.col("source_size")  # ranks times the odds of a mean document are spread evenly enough
+    rows = sized.select(whole_row(sized), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.col(size_col).alias("size_"), F.coalesce(F.col(size_col), F.lit(0)).alias("size"))
+    ranked = rows.join(here, F.col("from").eqNullSafe(F.col("_source")), "left")
+    size, p = F.col("size"), F.least(F.lit(1.0), F.col("_rate") * F.col("size"))
+    ranked = ranked.withColumn("_u", hash_uniform(seed, F.col("id"))).withColumn("_p", p).withColumn("_q", pareto_rank(F.col("_u"), F.col("_p")))
+    mean = F.try_divide("_budget", "source_size")  # ranks times the odds of a mean document are spread evenly enough
     x = F.col("_q") * mean / (1.0 - mean)
     bin_ = F.when(F.col("_p") >= 1, -1 - F.floor(F.col("_u") * bins)).otherwise(F.coalesce(F.floor(x / (1.0 + x) * bins), F.floor(F.col("_u") * bins)))
     ranked = ranked.withColumn("_bin", bin_)
-    per_bin = ranked.groupBy("_source", "_bin").agg(F.sum(size).alias("_in_bin"))
+    per_bin = ranked.groupBy("_source", "_bin").agg(F.sum("size").alias("_in_bin"))
     ahead = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_in_bin").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_source", "_bin").orderBy("_q", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bin").orderBy("_q", "id", "size_").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.join(per_bin, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")), "left")
-    ranked = ranked.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col("_ahead"))
+    ranked = ranked.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("_ahead"))
     extra = F.when(F.col("_p") >= 1, size).when(F.col("_p") > 0, F.greatest(F.lit(0), F.least(size, F.col("_budget") - F.col("_before")))).otherwise(F.lit(0)).cast("long")
     ranked = ranked.withColumn("extra", extra).withColumn("taken", F.col("copies") * size + F.col("extra"))
-    return ranked.select(*sized.columns, "source_size", "target", "copies", "extra", "taken")
+    return ranked.select("row.*", "source_size", "target", "copies", "extra", "taken")
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -118,7 +120,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", so
     source meets its target to half a document. Per source this is one cut in the order of the ranks,
     and each row is held against it where it is read: texts, however long, are not shuffled. A
     document without words is not taken; null sources are one source, null ids count as ""; rows that
-    repeat an id share its fate. Columns that begin with an underscore may clash with those used here.
+    repeat an id share its fate. All columns are kept, whatever their names; an empty table gives an empty result.
     """
     sized = settle(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), word_count(F.col(text_col)).alias("size")))
     targets = settle(source_targets(sized, "_from"))
@@ -130,12 +132,12 @@ def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", so
     q = odds(F.col("_id"), F.col("size"))
     cut = taken.where(q.isNotNull()).groupBy(F.col("_source").alias("_s")).agg(F.max(own(F.col("_id"), q)).alias("_cut"))
     rule = settle(here.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "copies", "_rate", "_cut"))
-    rows = docs.join(F.broadcast(rule), F.col(source_col).eqNullSafe(F.col("_source")))  # one row per source
-    n = word_count(F.col(text_col))
-    rows = rows.withColumn("_n", n).withColumn("_q", odds(F.col(id_col), F.col("_n")))
-    once_more = (F.col("_rate") * F.col("_n") >= 1) | F.coalesce(own(F.col(id_col), F.col("_q")) <= F.col("_cut"), F.lit(False)) & F.col("_q").isNotNull()
-    times = F.when(F.col("_n") > 0, (F.col("copies") + once_more.cast("int")).cast("int")).otherwise(F.lit(0))
-    return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(source_col).alias("from"), word_count(F.col(text_col)).alias("n"))
+    rows = rows.join(F.broadcast(rule), F.col("from").eqNullSafe(F.col("_source")))  # one row per source
+    rows = rows.withColumn("_q", odds(F.col("id"), F.col("n")))
+    once_more = (F.col("_rate") * F.col("n") >= 1) | F.coalesce(own(F.col("id"), F.col("_q")) <= F.col("_cut"), F.lit(False)) & F.col("_q").isNotNull()
+    times = F.when(F.col("n") > 0, (F.col("copies") + once_more.cast("int")).cast("int")).otherwise(F.lit(0))
+    return rows.withColumn("_each", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir):
@@ -159,9 +161,9 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least((source_size * 3)::DOUBLE, coalesce(max(CASE WHEN ratio > lvl THEN lvl END) OVER (), 0::DOUBLE) * weight) AS target FROM l
 ), c AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS r FROM t
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS BIGINT) AS copies FROM t
 ), k AS (
-  SELECT *, CAST(floor(r) AS BIGINT) AS copies, CAST(round(target) AS BIGINT) - CAST(floor(r) AS BIGINT) * source_size AS budget FROM c
+  SELECT *, CAST(round(target) AS BIGINT) - copies * source_size AS budget FROM c
 ), z AS (
   SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL
 ), y AS (

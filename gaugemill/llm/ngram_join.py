@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, settle, settle_table, table
+from .common import join_groups, settle, settle_table, table, whole_row
 from .components import components
 from .mph import mixed
 from .signature_tree import similar_pairs, spanning_links
@@ -267,9 +267,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, most: int = 1024,
 
 
 def near_dedup_rows(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its group of near copies."""
-    kept = ngram_join(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(settle(kept), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, whose id is the smallest of its group of near copies. Rows
+    without words or id are groups of their own, rows that repeat an id stay or go together."""
+    kept = ngram_join(docs, k, percent, id_col=id_col, text_col=text_col).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("id"))
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("own_id"))
+    return rows.join(settle(kept), F.col("own_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def op3_ngram_join(spark, sf_dir):

@@ -207,12 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000, id_col:
     return model.fit(np.concatenate(bags).astype(float), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), words_, per, rows["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: AttentionMIL, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` from every passage of every whole text (null: as empty); a column of that
+def score(docs: DataFrame, model: AttentionMIL, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col`` from every passage of every whole text (null: as empty); a column of that
     name is replaced. Only the model, half a megabyte, is sent to the tasks; nothing is shuffled. A
     very long text is scored in one task, in memory of some hundred bytes per word."""
-    docs = docs.drop("score")
-    at = docs.columns.index(text_col)
+    docs = docs.drop(score_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, score_col]
+    docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold any character
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
@@ -220,9 +221,9 @@ def score(docs: DataFrame, model: AttentionMIL, text_col: str = "text") -> DataF
             out = np.zeros(batch.num_rows)
             for i, j, data, offsets in slices(batch.column(at)):
                 out[i:j] = model.scores(*passages(data, offsets), j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 def op7_quality(spark, sf_dir):

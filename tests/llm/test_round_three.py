@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugemill.llm import centroids, conversation, earley, registry, simple8b, token_files
+from gaugemill.llm import centroids, conversation, earley, exact_dedup, mixing, ngram_join, quality, registry, simple8b, token_files
 from gaugemill.llm.common import fresh_path, table
 
 rng = random.Random(11)
@@ -334,3 +334,59 @@ def test_token_query_against_brute_force(spark, sf_dir):
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert [tuple(r) for r in registry.queries()["op12_token_files"](spark, sf_dir).orderBy("doc_id").collect()] == want
+
+
+# --- op2: small sources; columns with any names -----------------------------------------------------------------
+
+
+def mixed(spark, sizes: dict):
+    rows = [(i, source, n) for i, (source, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out: dict = {}
+    for r in mixing.pareto_mix(sized, mixing.source_targets(sized)).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        total, _ = out.get(r.source, (0, 0))
+        out[r.source] = (total + r.taken, r.target)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"A": [1, 1, 1], "B": [1]}, {"A": [1], "B": [1], "C": [1]}, {"A": [1, 2], "B": [5], None: [1, 1]}, {"A": [3, 0], "B": [0]}, {"A": [2, 2, 2, 1], "B": [4, 1, 5], "C": [1], "D": [1, 3]}])
+def test_small_sources_meet_their_targets_to_the_word(spark, sizes):
+    for taken, target in mixed(spark, sizes).values():
+        assert abs(taken - target) <= 0.5 + 1e-9
+
+
+def test_random_small_sources(spark):
+    r = random.Random(7)
+    for _ in range(4):
+        sizes = {f"s{k}": [r.randint(1, 5) for _ in range(r.randint(1, 6))] for k in range(r.randint(1, 5))}
+        for taken, target in mixed(spark, sizes).values():
+            assert abs(taken - target) <= 0.5 + 1e-9, sizes
+
+
+def test_very_long_texts_do_not_overflow(spark):
+    big = 1 << 33
+    sized = spark.createDataFrame([(1, "A", big), (2, "A", big), (3, "B", 10)], "doc_id long, source string, size long")
+    assert mixing.pareto_mix(sized, mixing.source_targets(sized)).count() == 3
+
+
+CLASHING = ["_id", "_digest", "_own", "_n", "_q", "_rate", "copies", "_source", "row", "id", "own", "own_id", "from", "n", "size", "digest", "kept", "score", "_each", "_u", "_cut", "component_id", "keep_id", "extra", "Row", "mark", "_S"]
+
+
+@pytest.mark.parametrize("names", [CLASHING[:-3], ["Row", "mark", "_S", "Score", "a.b", "x`y"]])
+def test_stages_keep_columns_of_any_name(spark, names):
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve", None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    given = {r[0]: tuple(r) for r in docs.collect()}
+    model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    import corpus_pipeline
+
+    stages = [exact_dedup.exact_dedup_rows(docs), ngram_join.near_dedup_rows(docs), mixing.mix_documents(docs)]
+    ids = [[0, 2, 3], [0, 2, 3, 4], None]
+    for out, want in zip(stages, ids, strict=True):
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == given[r[0]] for r in got) and (want is None or sorted(r[0] for r in got) == want)
+    name = corpus_pipeline.unused(docs, "score")
+    assert name.lower() not in {c.lower() for c in docs.columns} and quality.score(docs, model, score_col=name).drop(name).columns == docs.columns
