@@ -26,6 +26,7 @@ from .textops import shingles, slices
 CHUNK_BYTES = 6 << 20
 _U = np.uint64
 _BLOCKS = "bucket int, chunk long, counts binary, marks binary, low binary, high binary"
+_NAMES, _KINDS = [x.split()[0] for x in _BLOCKS.split(", ")], (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 SHARED = "bucket int, chunk long, docs binary, tokens binary, rarity binary"
 _SETS = "doc_id long, n_shingles long, mark binary, prefix int, tokens binary"
 
@@ -46,8 +47,9 @@ def shingle_measure(k: int):
 
 
 def emit(docs: DataFrame, measure, buckets: int) -> DataFrame:
-    """Per chunk of texts and bucket: hashes per text, 32 bits of each text's mark, and the hashes as
-    32 + 8 bits. Bucket < 0: the chunk's ids, sizes and 128-bit marks. ``measure`` gives for texts
+    """Per chunk of texts and bucket: of the texts with a hash in it, their number in the chunk and how many hashes they
+    have, and 32 bits of their mark; and the hashes as 32 + 8 bits. So what a chunk sends grows with its hashes, not with the
+    buckets. Bucket < 0: the chunk's ids, sizes and 128-bit marks. ``measure`` gives for texts
     (hashes, owners sorted, size and mark of each text); rows are (id, text)."""
 
     def run(batches):
@@ -62,32 +64,35 @@ def emit(docs: DataFrame, measure, buckets: int) -> DataFrame:
             first = np.concatenate(([0], np.cumsum([len(x[2]) for x in parts])))
             h, doc = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + f for x, f in zip(parts, first, strict=False)])
             size, mark = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
-            rows = [(-1 - chunk % 64, chunk, size.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _ids(ids), b"")]
+            head = [pa.array([x], t) for x, t in zip((-1 - chunk % 64, chunk, size.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _ids(ids), b""), _KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays(head, names=_NAMES)
             b = (h % _U(buckets)).astype(np.int64)
             h40 = (h // _U(buckets)) & _U((1 << 40) - 1)
-            short = mark[:, 0].astype("<u4").tobytes()
-            order = np.argsort(b * len(size) + doc, kind="stable")
-            b, doc, h40 = b[order], doc[order], h40[order]
-            edge = np.searchsorted(b, np.arange(buckets + 1))
-            for x in range(buckets):
-                s = slice(edge[x], edge[x + 1])
-                if edge[x] < edge[x + 1]:
-                    rows.append((x, chunk, np.minimum(np.bincount(doc[s], minlength=len(size)), 65535).astype("<u2").tobytes(), short, (h40[s] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (h40[s] >> _U(32)).astype("u1").tobytes()))
+            key = b * len(size) + doc
+            order = np.argsort(key, kind="stable")
+            key, h40 = key[order], h40[order]
+            run = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))  # one text in one bucket
+            length = np.diff(np.concatenate((run, [len(key)])))
+            b, doc = np.divmod(key[run], len(size))
+            used, first = np.unique(b, return_index=True)
+            runs, hashes = np.append(first, len(run)), np.append(run, len(key))[np.append(first, len(run))]
+            wide = np.stack([doc, np.minimum(length, 65535)], axis=1).astype("<u4" if len(size) > 65535 else "<u2")
+            cut = lambda x, at: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * (x.nbytes // max(1, len(x)))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
             ids, held, parts, seq = [], 0, [], seq + 1
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk)), cut(wide, runs), cut(mark[doc, 0].astype("<u4"), runs), cut((h40 & _U(0xFFFFFFFF)).astype("<u4"), hashes), cut((h40 >> _U(32)).astype("u1"), hashes)], names=_NAMES
+            )
 
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
-                # A count of hashes per text and bucket is kept in 16 bits, so a huge text stands alone.
-                if held and held + len(data) > CHUNK_BYTES:
-                    yield flush()
+                # Numbers of texts and counts of hashes are kept in 16 bits, so a huge text stands alone.
+                if held and (held + len(data) > CHUNK_BYTES or len(ids) + j - i > 65535):
+                    yield from flush()
                 ids += batch.column(0)[i:j].to_pylist()
                 parts.append(measure(data, offsets))
                 held += len(data)
         if ids:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(run, _BLOCKS)
 
@@ -106,15 +111,14 @@ def shared_hashes(key, t):
         return pa.table({"bucket": t["bucket"], "chunk": t["chunk"], "docs": t["low"], "tokens": t["marks"], "rarity": t["counts"]})
     doc, mark, h, at = [], [], [], [0]
     for counts, marks, low, high in zip(*(t[c].to_pylist() for c in ("counts", "marks", "low", "high")), strict=True):
-        n = np.frombuffer(counts, "<u2").astype(np.int64)
-        low = np.frombuffer(low, "<u4")
+        marks, low = np.frombuffer(marks, "<u4"), np.frombuffer(low, "<u4")
+        texts, n = np.frombuffer(counts, "<u4" if len(counts) == 8 * len(marks) else "<u2").reshape(-1, 2).astype(np.int64).T
         if n.sum() != len(low):  # one text with 65,535 shingles or more in this bucket
             n[np.argmax(n)] += len(low) - n.sum()
-        d = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-        doc.append(d)
-        mark.append(np.frombuffer(marks, "<u4")[d])
+        doc.append(np.repeat(texts.astype(np.uint32), n))
+        mark.append(np.repeat(marks, n))
         h.append(low.astype(_U) | (np.frombuffer(high, "u1").astype(_U) << _U(32)))
-        at.append(at[-1] + len(d))
+        at.append(at[-1] + len(low))
     doc, mark, h = map(np.concatenate, (doc, mark, h))
     key_ = (h << _U(24)) | (mark & 0xFFFFFF).astype(_U)
     order = np.argsort(key_)

@@ -390,3 +390,28 @@ def test_stages_keep_columns_of_any_name(spark, names):
         assert got and all(r == given[r[0]] for r in got) and (want is None or sorted(r[0] for r in got) == want)
     name = corpus_pipeline.unused(docs, "score")
     assert name.lower() not in {c.lower() for c in docs.columns} and quality.score(docs, model, score_col=name).drop(name).columns == docs.columns
+
+
+# --- op3, op5, op9: what a chunk sends does not grow with the buckets ---------------------------------------------
+
+
+@pytest.mark.parametrize("shift", [5, 9, 13, 17, 24])
+def test_a_chunk_sends_as_much_for_any_number_of_buckets(spark, shift):
+    r = random.Random(1)
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=r.randint(20, 400))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sent = ngram_join.emit(docs, ngram_join.shingle_measure(5), 1 << shift)
+    size = sent.select(F.sum(F.octet_length("counts") + F.octet_length("marks") + F.octet_length("low") + F.octet_length("high")).alias("n"), F.count("*").alias("rows")).first()
+    assert size.n < 2.2 * sum(map(len, texts)) and size.rows <= sum(len(t.split()) for t in texts) + 1
+
+
+@pytest.mark.parametrize("buckets", [3, 1000, 1 << 22])
+def test_shared_shingles_are_found_for_any_number_of_buckets(spark, buckets, monkeypatch):
+    r = random.Random(2)
+    base = [" ".join(r.choices("abcdefghijkl", k=40)) for _ in range(12)]
+    texts = [*base, *[b + " tail " + str(i) for i, b in enumerate(base[:6])], "x y", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ngram_join.ngram_join(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(ngram_join, "bucket_count", lambda *a: buckets)
+    assert ngram_join.ngram_join(docs).orderBy("doc_id").collect() == want and len({x.component_id for x in want}) == 15
