@@ -195,3 +195,44 @@ def judged(batches: DataFrame, limits: DataFrame) -> DataFrame:
     x = batches.crossJoin(F.broadcast(limits))  # one row
     verdict = F.when(F.col("rows") < F.col("min_rows"), "insufficient").when(F.col("psi") >= F.col("psi_alert"), "critical").when(F.col("psi") >= F.col("psi_warn"), "warning").otherwise("ok")
     return x.select(*batches.columns, verdict.alias("verdict"), (F.col("gap") <= F.col("gap_max")).alias("degraded"))
+
+
+#: The gauges that a scoring run publishes for a batch, and those that labels bring.
+SCORING_GAUGES = ("rows_in", "rows_quarantined", "batch_size", "sample_sufficient", "drift_verdict", "last_success_timestamp_seconds", "labels_pending", "prediction_mean", "prediction_psi")
+LABEL_GAUGES = ("auc", "brier", "calibration_gap", "observed_default_rate", "label_lag_months")
+_GROUP = ("scenario", "batch_id")
+
+
+def scoring_gauges(batches: DataFrame, features: DataFrame, violations: DataFrame, stages: DataFrame, job: str = "credit_monitor_scoring") -> DataFrame:
+    """All metric rows of scoring runs. ``batches``: the gauges above and drifted_warning, drifted_critical; ``features``: feature, psi,
+    gain_share; ``violations``: rule, severity, rows; ``stages``: stage, seconds, status; all by scenario and batch. A null is absent, not zero."""
+    at = lambda df: df.withColumn("job", F.lit(job))
+    level = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"drifted_{n}").alias("count")) for n in ("warning", "critical")]))
+    both = F.col("drifted_warning").isNotNull() & F.col("drifted_critical").isNotNull()
+    drifted = batches.where(both).select(*_GROUP, level.alias("x")).select(*_GROUP, "x.level", "x.count")
+    parts = [
+        to_metrics(at(batches), {n: F.col(n) for n in SCORING_GAUGES}),
+        to_metrics(at(features), {"drift_psi": F.col("psi"), "drift_psi_weighted": F.col("psi") * F.col("gain_share"), "feature_gain_share": F.col("gain_share")}, ["feature"]),
+        to_metrics(at(drifted), {"drifted_features": F.col("count")}, ["level"]),
+        to_metrics(at(violations), {"contract_violations": F.col("rows")}, ["rule", "severity"]),
+        to_metrics(at(stages), {"stage_duration_seconds": F.col("seconds"), "stage_status": F.col("status")}, ["stage"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def label_gauges(labelled: DataFrame, job: str = "credit_monitor_labels") -> DataFrame:
+    """The five gauges of a batch whose labels have come."""
+    return to_metrics(labelled.withColumn("job", F.lit(job)), {n: F.col(n) for n in LABEL_GAUGES})
+
+
+def drilldown(metrics: DataFrame, logs: DataFrame, scenario: str, batch_id: str) -> DataFrame:
+    """``panel, name, value, line`` of one batch: its plain gauges, its index by feature, and its log lines (``scenario, batch_id, ts, line``)."""
+    own = metrics.where((F.col("scenario") == scenario) & (F.col("batch_id") == batch_id))
+    text = F.lit(None).cast("string").alias("line")
+    plain = own.where(F.size("labels") == 0).select(F.lit("gauge").alias("panel"), F.col("metric").alias("name"), "value", text)
+    index = own.where("metric = 'drift_psi'").select(F.lit("drift_psi").alias("panel"), F.col("labels")["feature"].alias("name"), "value", text)
+    lines = logs.where((F.col("scenario") == scenario) & (F.col("batch_id") == batch_id)).select(F.lit("log").alias("panel"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("name"), F.lit(None).cast("double").alias("value"), "line")
+    return plain.unionByName(index).unionByName(lines)

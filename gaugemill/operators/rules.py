@@ -306,6 +306,11 @@ def is_clean() -> Column:
     return ~bad & c(INCOME).isNotNull() & c(DEPENDENTS).isNotNull()
 
 
+def utilisation_in_range() -> Column:
+    """A utilisation that does not warn either."""
+    return c(UTILIZATION) <= 1
+
+
 def inject_defects(base: DataFrame, include_blockers: bool = True, key: str = "row_id") -> tuple[DataFrame, dict[str, int]]:
     """``base`` (row_id 0.. of clean rows) with one kind of defect on each of disjoint row ranges, copies of
     four rows appended, and the age as bigint; and the manifest {rule: count}. Without blockers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("profile_queries", "contract_queries", "drift_queries", "monitor_queries", "stream_queries", "study_queries", "source_queries")
+MODULES: tuple[str, ...] = ("profile_queries", "contract_queries", "drift_queries", "monitor_queries", "stream_queries", "study_queries", "source_queries", "report_queries")
 
 
 def _merged(name: str) -> dict:

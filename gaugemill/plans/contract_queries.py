@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import clean as C
 from ..operators import rules as R
 from ..operators import sampling as S
-from ..sources.tables import AGE, COLUMNS, COUNTERS, DEBT_RATIO, DEPENDENTS, FEATURES, INCOME, INCOME_MISSING, RAW_SCHEMA, TARGET, UTILIZATION, credit, read_table
+from ..sources import runs
+from ..sources.tables import AGE, COLUMNS, COUNTERS, DEBT_RATIO, DEPENDENTS, FEATURES, INCOME, INCOME_MISSING, TARGET, UTILIZATION, credit, read_table
 from .helpers import WITH_CREDIT, rounded, rsql
 
 c = R.c
@@ -57,10 +57,9 @@ def contract_model_counts(spark, d):
 
 
 def contract_manifest(spark, d):
-    """Planted defects against counted ones; the base is the first 26 clean rows, renumbered."""
-    base = credit(spark, d).where(R.is_clean()).where(c(UTILIZATION) <= 1).orderBy("row_id").limit(26)
-    rows = [(i, *[r[x] for x in COLUMNS]) for i, r in enumerate(base.collect())]  # 26 rows
-    base = spark.createDataFrame(rows, T.StructType([T.StructField("row_id", T.LongType()), *RAW_SCHEMA]))
+    """Planted defects against counted ones, on a base of 200 clean rows drawn by class from the whole table."""
+    base = runs.clean_base(credit(spark, d), 200)
+    base = spark.createDataFrame(base.collect(), base.schema)  # 200 rows, planted by their number
     out, manifest = R.inject_defects(base)
     counted = R.rule_counts(R.failures(out, R.RAW)).where("rule <> 'positive_rate_band'")
     planted = spark.createDataFrame(sorted(manifest.items()), "rule string, planted int")

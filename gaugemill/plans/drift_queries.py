@@ -111,11 +111,16 @@ def normal_score(spark, d):
 
 
 def _aa(spark, d):
-    """The whole calibration: 7 sizes x 200 draws x all features, a hash split of all rows into reference and holdout."""
+    """The whole calibration: 7 sizes x 200 draws x all features."""
+    return false_alarms(*_aa_sides(spark, d), FEATURES)
+
+
+def _aa_sides(spark, d):
+    """A hash split of all rows into reference and holdout."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k")
     wide = read_table(spark, d, "lineitem").select(key, *[F.expr(e).alias(f) for f, e in LINE_FEATURES.items()])
     split = hash_uniform("aa-split", "k") < 0.7
-    return false_alarms(wide.where(split), wide.where(~split), FEATURES)
+    return wide.where(split), wide.where(~split)
 
 
 def aa_sweep(spark, d):
@@ -262,6 +267,13 @@ fam AS (SELECT n, repeat, min(ks_pvalue) AS p, max(psi) AS psi, count(*) AS m FR
 _R = "avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0 END)"
 _D2 = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))"
 
+_CROSS = f"""SELECT feature, psi_native, psi, (CASE WHEN psi_native < 0.1 THEN 0 WHEN psi_native < 0.25 THEN 1 ELSE 2 END) = (CASE WHEN psi < 0.1 THEN 0 WHEN psi < 0.25 THEN 1 ELSE 2 END) AS same_verdict FROM psis JOIN (
+      SELECT feature, sum((p - q) * ln(p / q)) AS psi_native FROM (
+        SELECT feature, greatest(coalesce(c, 0)::DOUBLE / ct, 1e-4::DOUBLE) AS p, greatest(coalesce(r, 0)::DOUBLE / rt, 1e-4::DOUBLE) AS q FROM (
+          SELECT *, sum(r) OVER (PARTITION BY feature) AS rt, sum(c) OVER (PARTITION BY feature) AS ct FROM (
+            SELECT feature, CASE WHEN ndv <= 20 THEN value ELSE least(floor((value - lo) / ((hi - lo) / ceil(log2("all") + 1))), ceil(log2("all") + 1) - 1) END AS slot, count(*) FILTER (reference) AS r, count(*) FILTER (NOT reference) AS c
+            FROM {LINE_SQL} JOIN (SELECT feature, count(DISTINCT value) AS ndv, min(value) AS lo, max(value) AS hi, count(*) AS "all" FROM {LINE_SQL} GROUP BY feature) USING (feature) GROUP BY ALL))) GROUP BY feature) USING (feature)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -279,12 +291,7 @@ SQL = {
     "psi_month_matrix": rsql("SELECT month, " + ", ".join(f"max(psi) FILTER (feature = '{f}') AS {f}" for f in FEATURES) + " FROM psis GROUP BY month", "month", ", ".join(FEATURES), head=_PSI_M),
     "psi_impact_topk": rsql(f"SELECT feature, psi, coalesce(gain_share, 0::DOUBLE) AS gain_share, psi * coalesce(gain_share, 0::DOUBLE) AS impact FROM psis LEFT JOIN {_GAINS} USING (feature) ORDER BY impact DESC, feature LIMIT 4", "feature", "psi, gain_share, impact", head=_PSI),
     "psi_targets": rsql("SELECT feature, max(psi) AS largest, arg_max(psi, month) AS last, bool_and(psi < 0.25) AS under_alert, CAST(count(*) FILTER (psi >= 0.1) AS INTEGER) AS months_warned FROM psis GROUP BY feature", "feature, under_alert, months_warned", "largest, last", head=_PSI_M),
-    "psi_native_crosscheck": rsql(f"""SELECT feature, psi_native, psi, (CASE WHEN psi_native < 0.1 THEN 0 WHEN psi_native < 0.25 THEN 1 ELSE 2 END) = (CASE WHEN psi < 0.1 THEN 0 WHEN psi < 0.25 THEN 1 ELSE 2 END) AS same_verdict FROM psis JOIN (
-      SELECT feature, sum((p - q) * ln(p / q)) AS psi_native FROM (
-        SELECT feature, greatest(coalesce(c, 0)::DOUBLE / ct, 1e-4::DOUBLE) AS p, greatest(coalesce(r, 0)::DOUBLE / rt, 1e-4::DOUBLE) AS q FROM (
-          SELECT *, sum(r) OVER (PARTITION BY feature) AS rt, sum(c) OVER (PARTITION BY feature) AS ct FROM (
-            SELECT feature, CASE WHEN ndv <= 20 THEN value ELSE least(floor((value - lo) / ((hi - lo) / ceil(log2("all") + 1))), ceil(log2("all") + 1) - 1) END AS slot, count(*) FILTER (reference) AS r, count(*) FILTER (NOT reference) AS c
-            FROM {LINE_SQL} JOIN (SELECT feature, count(DISTINCT value) AS ndv, min(value) AS lo, max(value) AS hi, count(*) AS "all" FROM {LINE_SQL} GROUP BY feature) USING (feature) GROUP BY ALL))) GROUP BY feature) USING (feature)""", "feature, same_verdict", "psi_native, psi", head=_PSI),
+    "psi_native_crosscheck": rsql(_CROSS, "feature, same_verdict", "psi_native, psi", head=_PSI),
     "psi_bias": rsql(f"SELECT feature, CAST(len(interior) + 1 AS INTEGER) AS bins, len(interior) * (1.0::DOUBLE / n + 1.0::DOUBLE / m) AS bias FROM edges JOIN (SELECT feature, count(*) FILTER (reference) AS n, count(*) FILTER (NOT reference) AS m FROM {LINE_SQL} GROUP BY feature) USING (feature)", "feature, bins", "bias", 9, head=f"WITH {_EDGES}"),
     "ks_statistic": rsql(_p_sql(_ks_sql(_REF, _CUR), "feature"), "feature, n_ref, n_cur", "ks, pvalue"),
     "ks_daily_events": rsql(_p_sql(_ks_sql(f"(SELECT feature, value FROM {_EV} WHERE first)", f"(SELECT event_type, feature, value FROM {_EV} WHERE NOT first)", "event_type"), "event_type, feature"), "event_type, feature, n_ref, n_cur", "ks, pvalue"),

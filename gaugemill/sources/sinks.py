@@ -16,8 +16,11 @@ from .tables import COLUMNS, MODEL_FEATURES, TARGET
 FORBIDDEN_FIELDS = frozenset((*COLUMNS, *MODEL_FEATURES, "row_id"))
 
 
-def write_split(df: DataFrame, path: str, by: str = "split") -> None:
+def write_split(df: DataFrame, path: str, by: str = "split", positive: Column | None = None) -> None:
+    """The sides as folders, and beside them ``<path>-metadata``: rows and, with ``positive``, the positive rate of each."""
     df.write.partitionBy(by).mode("overwrite").parquet(path)
+    rate = F.avg((F.lit(None) if positive is None else positive).cast("double")).alias("positive_rate")
+    df.groupBy(F.col(by).alias("split")).agg(F.count(F.lit(1)).alias("rows"), rate).coalesce(1).write.mode("overwrite").json(f"{path}-metadata")
 
 
 def load_split(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -120,8 +123,9 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines give no row."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Events with ``broken``: the text of a line that does not fit the schema, null for others. Blank lines give no row."""
+    rows = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    return rows
 
 
 def write_run_metadata(config: dict[str, str], results: DataFrame, path: str) -> None:
