@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import gumbel, hash_uniform
+from .rules import c
 
 
 #: A bin of the hash has about so many rows at most.
@@ -99,3 +101,23 @@ def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed:
         by_draw = Window.partitionBy("n", "repeat").orderBy("_i")
         places = places.where(F.col("_place") < total).withColumn("_k", F.row_number().over(by_draw)).where(F.col("_k") <= F.col("n")).drop("_k")
     return places.drop("_i").join(ranked.withColumn("_place", (F.col("_rank") - 1).cast("long")), "_place").select("n", "repeat", *df.columns)
+
+
+def ordinal_rank(df: DataFrame, value: str, key: str, name: str, bins: int = 64) -> DataFrame:
+    """Adds ``name``: the place of each row, from 1, in the order of a numeric ``value`` (nulls first) and then of ``key``.
+
+    No task gathers more than a bin: values are cut at approximate percentiles, and rows of a value that is such a cut, as
+    frequent ones are, at those of a numeric key. Counts of the bins before (at most ``bins`` squared, twice) are added up."""
+    v, k = c(value), c(key)
+    numeric = isinstance(df.schema[key].dataType, T.NumericType)
+    points = [i / bins for i in range(1, bins)]
+    at = df.agg(F.percentile_approx(v, points), *([F.percentile_approx(k, points)] if numeric else [])).first()
+    cuts, key_cuts = (sorted({x for x in (part or []) if x == x}) for part in (at[0], at[1] if numeric else []))
+    upto = lambda cut, col: F.size(F.filter(F.array(*map(F.lit, cut)), lambda x: x <= col)) if cut else F.lit(0)
+    equal = F.coalesce(v.isin(*cuts), F.lit(False)) if cuts else F.lit(False)
+    binned = df.withColumn("_b", F.struct(upto(cuts, v).alias("i"), (~equal).alias("after"), F.when(equal, upto(key_cuts, k)).otherwise(F.lit(0)).alias("j")))
+    counts = binned.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_b").alias("_bin"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(v.asc_nulls_first(), k))
+    ranked = binned.withColumn("_in", inside).join(F.broadcast(before), F.col("_b") == F.col("_bin"))
+    return ranked.select(*[c(x) for x in df.columns], (F.col("_in") + F.col("_before")).alias(name))

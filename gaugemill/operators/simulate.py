@@ -17,6 +17,7 @@ from ..sources.tables import DEBT_RATIO, INCOME, INCOME_MISSING, TARGET
 from .metrics import batch_metrics
 from .profile import spearman
 from .rules import c
+from .sampling import ordinal_rank
 
 
 @dataclass(frozen=True)
@@ -127,19 +128,22 @@ def month_metrics(scored: DataFrame) -> DataFrame:
 RHO_MOST, BISECTION_STEPS = 0.999, 40
 
 
-def reorder_to_latent(df: DataFrame, value: str, latent: str, key: str = "row_id") -> DataFrame:
-    """Gives the k-th smallest value to the row with the k-th smallest latent: same marginal, new order.
-    Ranks are global, so this suits batches of a month, not the corpus."""
-    one = Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("_k", F.row_number().over(one.orderBy(latent, key)))
-    values = df.select(c(value).alias("_v"), F.row_number().over(one.orderBy(c(value), c(key))).alias("_k"))
-    return ranked.join(values, "_k").withColumn(value, F.col("_v")).drop("_k", "_v")
+def ranked_values(df: DataFrame, value: str, key: str = "row_id") -> DataFrame:
+    """``_k, _v``: the k-th smallest value, ties by ``key``."""
+    return ordinal_rank(df.select(c(key), c(value)), value, key, "_k").select("_k", c(value).alias("_v"))
+
+
+def reorder_to_latent(df: DataFrame, value: str, latent: str, key: str = "row_id", values: DataFrame | None = None) -> DataFrame:
+    """Gives the k-th smallest value to the row with the k-th smallest latent: same marginal, new order. ``values`` may
+    hold ``ranked_values`` of it, for callers that ask again with another latent."""
+    ranked = ordinal_rank(df, latent, key, "_k")
+    return ranked.join(ranked_values(df, value, key) if values is None else values, "_k").withColumn(value, F.col("_v")).drop("_k", "_v")
 
 
 def ordinal_uniform(df: DataFrame, column: str, name: str, key: str = "row_id") -> DataFrame:
     """(rank + 0.5) / n with ties by ``key``."""
-    one = Window.partitionBy(F.lit(1))
-    return df.withColumn(name, (F.row_number().over(one.orderBy(c(column), c(key))) - 0.5) / F.count(F.lit(1)).over(one))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    return ordinal_rank(df, column, key, "_k").crossJoin(F.broadcast(total)).withColumn(name, (F.col("_k") - 0.5) / F.col("_all")).drop("_k", "_all")
 
 
 def spearman_of(df: DataFrame, x: str, y: str) -> float | None:
@@ -157,9 +161,10 @@ def invert_dependence(df: DataFrame, x: str, y: str, seed: str, tolerance: float
     goal, low, high = -before, -RHO_MOST, RHO_MOST
     rho = max(low, min(high, copula_start(goal)))
     base = ordinal_uniform(df, x, "_ux", key).withColumn("_zx", norm_ppf(F.col("_ux"))).withColumn("_e", norm_ppf(hash_uniform(seed, key))).persist()
+    values = ranked_values(df, y, key).persist()
     try:
         for _ in range(steps):
-            out = reorder_to_latent(base.withColumn("_latent", rho * F.col("_zx") + math.sqrt(1 - rho * rho) * F.col("_e")), y, "_latent", key)
+            out = reorder_to_latent(base.withColumn("_latent", rho * F.col("_zx") + math.sqrt(1 - rho * rho) * F.col("_e")), y, "_latent", key, values)
             after = spearman_of(out, x, y) or 0.0
             if abs(after - goal) <= tolerance:
                 break
@@ -167,6 +172,7 @@ def invert_dependence(df: DataFrame, x: str, y: str, seed: str, tolerance: float
             rho = (low + high) / 2
     finally:
         base.unpersist()
+        values.unpersist()
     return out.select(*[c(n) for n in df.columns]), before, after
 
 

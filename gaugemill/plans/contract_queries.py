@@ -47,7 +47,7 @@ def contract_scoring_counts(spark, d):
 
 def contract_label_counts(spark, d):
     """Labels of which one in forty is unreadable: the label contract."""
-    df = credit(spark, d).select("row_id", F.when(F.col("row_id") % 40 == 0, "x").otherwise(c(TARGET)).alias(TARGET))
+    df = credit(spark, d, TARGET).select("row_id", F.when(F.col("row_id") % 40 == 0, "x").otherwise(c(TARGET)).alias(TARGET))
     return R.rule_counts(R.failures(df, R.LABEL))
 
 
@@ -91,7 +91,7 @@ def imputed_rows(spark, d):
 
 
 def scoreable_batch(spark, d):
-    df = C.make_scoreable(credit(spark, d))
+    df = C.make_scoreable(credit(spark, d, INCOME, DEBT_RATIO))
     return rounded(df.groupBy(F.col(INCOME_MISSING).cast("int").alias("flag")).agg(F.count(F.lit(1)).alias("rows"), F.avg(c(INCOME)).alias("income_mean")))
 
 
@@ -102,7 +102,7 @@ def dedup_first(spark, d):
 
 
 def split_stratified(spark, d):
-    df = credit(spark, d).select("row_id", F.col(TARGET).alias("y"))
+    df = credit(spark, d, TARGET).select("row_id", F.col(TARGET).alias("y"))
     return S.stratified_split(df, "y", {"train": 0.6, "calibration": 0.2, "validation": 0.2}, "three", "row_id")
 
 

@@ -24,7 +24,7 @@ _U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) /
 
 def _scored(spark, d):
     """The stub scorer on a clipped utilisation; y from the target; month from the order date."""
-    df = credit(spark, d).select("row_id", c(AGE).alias("age"), c(UTILIZATION).alias("u"), F.when(c(TARGET) == "1", 1).otherwise(0).alias("y"))
+    df = credit(spark, d, AGE, UTILIZATION, TARGET).select("row_id", c(AGE).alias("age"), c(UTILIZATION).alias("u"), F.when(c(TARGET) == "1", 1).otherwise(0).alias("y"))
     orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.month("o_orderdate").alias("month"))
     u = F.floor(F.least(F.col("u"), F.lit(1.0)) * 200) / 200
     return df.join(orders, "row_id").select("row_id", "age", "month", "y", (MO.stub_score(u) * 0.12).alias("p"))
@@ -85,12 +85,12 @@ def common_bands(spark, d):
 
 
 def inflation_update(spark, d):
-    df = SIM.inflate(credit(spark, d).withColumn(INCOME_MISSING, income_missing()), 1.05)
+    df = SIM.inflate(credit(spark, d, INCOME, DEBT_RATIO).withColumn(INCOME_MISSING, income_missing()), 1.05)
     return rounded(df.groupBy("inflated").agg(F.count(F.lit(1)).alias("rows"), F.avg(c(INCOME)).alias("income"), F.avg(c(DEBT_RATIO)).alias("debt_ratio")))
 
 
 def stress_flip(spark, d):
-    df = credit(spark, d).select("row_id", c(TARGET).alias(TARGET), (F.least(c(UTILIZATION), F.lit(1.0))).alias("u"))
+    df = credit(spark, d, TARGET, UTILIZATION).select("row_id", c(TARGET).alias(TARGET), (F.least(c(UTILIZATION), F.lit(1.0))).alias("u"))
     return SIM.stress_labels(df, "u", 0.5, 0.03, "flip").where("flipped = 1").select("row_id")
 
 

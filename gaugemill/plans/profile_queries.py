@@ -24,7 +24,7 @@ def profile_describe(spark, d):
 
 
 def profile_describe_by_income(spark, d):
-    df = credit(spark, d).select(c(INCOME).isNotNull().alias("has_income"), c(DEBT_RATIO).alias("value"), F.lit(DEBT_RATIO).alias("feature"))
+    df = credit(spark, d, INCOME, DEBT_RATIO).select(c(INCOME).isNotNull().alias("has_income"), c(DEBT_RATIO).alias("value"), F.lit(DEBT_RATIO).alias("feature"))
     return rounded(P.describe(df, "has_income").drop("feature"))
 
 
@@ -33,12 +33,12 @@ def profile_nulls(spark, d):
 
 
 def profile_value_rates(spark, d):
-    return rounded(P.value_rates(credit(spark, d), LATE90, c(TARGET) == "1"))
+    return rounded(P.value_rates(credit(spark, d, LATE90, TARGET), LATE90, c(TARGET) == "1"))
 
 
 def profile_conditions(spark, d):
     conditions = {"age < 18": c(AGE) < 18, "age = 0": c(AGE) == 0, "age > 100": c(AGE) > 100, "utilization > 1": c(UTILIZATION) > 1, "utilization > 10": c(UTILIZATION) > 10, "sentinel": sentinel_mask()}
-    return P.conditional_counts(credit(spark, d), conditions)
+    return P.conditional_counts(credit(spark, d, AGE, UTILIZATION, *COUNTERS), conditions)
 
 
 def profile_duplicates(spark, d):

@@ -77,7 +77,7 @@ TOLERANCE = 0.003
 def stream_replay(spark, d):
     """Years arrive one after another as months do, scored by the stub; labels come two steps later."""
     orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("scenario"), F.year("o_orderdate").alias("month"))
-    rows = credit(spark, d).select("row_id", c(AGE).alias("age"), c(UTILIZATION).alias("u"), F.when(c(TARGET) == "1", 1).otherwise(0).alias("y")).join(orders, "row_id")
+    rows = credit(spark, d, AGE, UTILIZATION, TARGET).select("row_id", c(AGE).alias("age"), c(UTILIZATION).alias("u"), F.when(c(TARGET) == "1", 1).otherwise(0).alias("y")).join(orders, "row_id")
     root = _state(spark)
     rows.write.partitionBy("month").parquet(f"{root}/staged")
     staged = spark.read.schema(rows.select("row_id", "age", "u", "y", "scenario", "month").schema).parquet(f"{root}/staged")

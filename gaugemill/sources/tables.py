@@ -79,14 +79,15 @@ def _credit_sql(u: str, key: str = "o_orderkey", table: str = "orders") -> str:
     return f"WITH m AS (SELECT {key} AS row_id, md5(concat('a:', CAST({key} AS VARCHAR(20)))) AS m1, md5(concat('b:', CAST({key} AS VARCHAR(20)))) AS m2 FROM {table}), u AS (SELECT row_id, {us} FROM m) {_CREDIT}"
 
 
-def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``row_id`` and the eleven columns, one row per order.
+def credit(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``row_id`` and the eleven columns, or those that are named, one row per order.
 
     The columns come out of one generator row: an optimiser that moves filters and expressions
-    through a projection would otherwise paste the MD5 arithmetic wherever a column is named."""
+    through a projection would otherwise paste the MD5 arithmetic wherever a column is named. Nor does it take unused ones out of the row, so
+    name the columns where only a few are read."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
     rows = spark.sql(_credit_sql(_SPARK_U, table="{orders}").replace('"', "`").replace("VARCHAR(20)", "STRING"), orders=orders)
-    once = rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
+    once = rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns if not columns or c in ("row_id", *columns)]))))
     return once
 
 

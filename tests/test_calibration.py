@@ -64,3 +64,25 @@ def test_false_alarms_equal_the_tests_of_each_draw(spark):
     assert found.keys() == want_ks.keys() == want_psi.keys() and len(found) == 18
     for k, r in found.items():
         assert abs(r.ks_statistic - want_ks[k].ks) < 1e-12 and abs(r.ks_pvalue - want_ks[k].pvalue) < 1e-9 and abs(r.psi - want_psi[k]) < 1e-9
+
+
+def test_ordinal_ranks_equal_a_sort(spark):
+    from gaugemill.operators.sampling import ordinal_rank
+
+    rng = random.Random(9)
+    for rows in ([], [(5, None)], [(i, rng.choice([0.0, 0.0, 0.0, 1.0, 2.5, None, float(rng.randint(0, 400))])) for i in range(900)]):
+        df = spark.createDataFrame(rows, "row_id long, x double")
+        want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0])))}
+        assert {r.row_id: r.place for r in ordinal_rank(df, "x", "row_id", "place", 16).collect()} == want
+        named = df.withColumn("row_id", F.format_string("%05d", "row_id"))  # a key that is no number
+        assert {int(r.row_id): r.place for r in ordinal_rank(named, "x", "row_id", "place", 16).collect()} == want
+
+
+def test_a_frequent_value_is_in_many_bins(spark):
+    from gaugemill.operators.sampling import ordinal_rank
+
+    df = spark.range(4000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(7)).cast("double").alias("x"))
+    plan = ordinal_rank(df, "x", "row_id", "place", 16)
+    assert plan.agg(F.count_distinct("place"), F.max("place")).first() == (4000, 4000)
+    cuts = df.agg(F.percentile_approx("row_id", [i / 16 for i in range(1, 16)])).first()[0]
+    assert len(set(cuts)) == 15  # what the rows of the value 7 are cut at
