@@ -37,8 +37,14 @@ def _usable(docs: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataF
     return rows.mapInArrow(run, "id long, label string, dim int, key binary, vec binary")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors, each times the power of two that brings its largest component near 1: their cosines stay the same to
+    the bit, and squares of very small or large ones neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    return _scaled(np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim))
 
 
 def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
@@ -183,7 +189,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, threshold: float = 0.98, ti
         for batch in batches:
             for r in batch.to_pylist():
                 ids_a, w_a, ids_b, w_b = (np.frombuffer(r[c], "<i8") for c in ("ids_a", "weights_a", "ids_b", "weights_b"))
-                x, y = (np.frombuffer(r[c], "<f8").reshape(-1, r["dim"]) for c in ("vecs_a", "vecs_b"))
+                x, y = (_scaled(np.frombuffer(r[c], "<f8").reshape(-1, r["dim"])) for c in ("vecs_a", "vecs_b"))
                 link = linked(x, y, axes[r["dim"]], threshold)
                 own = r["ta"] == r["tb"]
                 if own:

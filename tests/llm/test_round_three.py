@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugemill.llm import centroids, conversation, earley, exact_dedup, mixing, ngram_join, quality, registry, simple8b, token_files
+from gaugemill.llm import centroids, conversation, earley, embedding_dedup, exact_dedup, mixing, ngram_join, quality, registry, simple8b, token_files
 from gaugemill.llm.common import fresh_path, table
 
 rng = random.Random(11)
@@ -415,3 +415,14 @@ def test_shared_shingles_are_found_for_any_number_of_buckets(spark, buckets, mon
     want = ngram_join.ngram_join(docs).orderBy("doc_id").collect()
     monkeypatch.setattr(ngram_join, "bucket_count", lambda *a: buckets)
     assert ngram_join.ngram_join(docs).orderBy("doc_id").collect() == want and len({x.component_id for x in want}) == 15
+
+
+# --- op4: vectors whose squares leave the range of doubles ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200, 5e-324 * 2**60])
+def test_links_of_tiny_and_huge_vectors(spark, scale):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (3, [scale, scale], 0), (4, [scale * 2, scale * 2], 0), (5, [scale, -scale], 0), (6, [0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_dedup(spark, df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
