@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,13 +94,22 @@ def psi_null_bias(n: Column, m: Column, bins: Column) -> Column:
     return (bins - 1) * (1.0 / n + 1.0 / m)
 
 
-def month_intensity(month: Column, n_months: int) -> Column:
-    return month.cast("double") / float(n_months)
+def relative_path(path: Column, root: str) -> Column:
+    """A path with forward slashes, single ones and without ``./``, below ``root`` if it lies there."""
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"/(?:\./)+", "/"), "/{2,}", "/")
+    flat = F.regexp_replace(flat, r"^(?:\./)+", "")
+    top = re.sub("/{2,}", "/", root.replace("\\", "/")).rstrip("/") + "/"
+    return F.when(F.startswith(flat, F.lit(top)), F.substring(flat, len(top) + 1, 1 << 30)).otherwise(flat)
 
 
-def lag_ramp(month: Column, lag: int, n_months: int) -> Column:
-    """0 up to ``lag``, then linear to 1 at the last month."""
-    return F.when(month <= lag, F.lit(0.0)).otherwise((month - lag).cast("double") / float(n_months - lag))
+def day_stamp(ts: Column) -> Column:
+    """The day as yyyyMMdd, as batch names bear it."""
+    return F.date_format(ts, "yyyyMMdd")
+
+
+def whole_second(ts: Column) -> Column:
+    """The time cut to its second, as reports show it."""
+    return F.date_format(F.date_trunc("second", ts), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def copula_start(rho_s: float) -> float:

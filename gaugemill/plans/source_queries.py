@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_uniform
+from ..functions.core import day_stamp, hash_uniform, relative_path, whole_second
 from ..operators import metrics as M
 from ..operators import models as MO
 from ..operators import monitor as MON
@@ -94,11 +94,27 @@ def log_query(spark, d):
     return found.select(F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "batch_id", "scenario", "stage", "status", "day")
 
 
-QUERIES = {f.__name__: f for f in (positional_rows, profile_bytes, config_verdicts, champion_scores, impact_from_model, seed_refits, log_query)}
+def normalised_paths(spark, d):
+    """Addresses as they would stand on another system, brought back to one form below a root."""
+    p = read_table(spark, d, "pages")
+    odd = F.concat(F.lit("C:\\\\work\\.\\"), F.translate("url", "/", "\\"))
+    return p.select("page_id", relative_path(odd, "C:/work").alias("path"))
+
+
+def event_stamps(spark, d):
+    """Events by the day in a batch name, with the first and last second."""
+    e = read_table(spark, d, "events")
+    per = e.groupBy(day_stamp(F.col("ts")).alias("stamp")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return per.select("stamp", "events", whole_second(F.col("a")).alias("first"), whole_second(F.col("b")).alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (positional_rows, profile_bytes, config_verdicts, champion_scores, impact_from_model, seed_refits, log_query, normalised_paths, event_stamps)}
 SQL = {
     "positional_rows": "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber FROM lineitem",
     "config_verdicts": rsql("""SELECT scenario, batch_id, sample_sufficient AS rows, prediction_psi AS psi, calibration_gap AS gap, CASE WHEN sample_sufficient < 1 THEN 'insufficient' WHEN prediction_psi >= 0.12 THEN 'critical' WHEN prediction_psi >= 0.05 THEN 'warning' ELSE 'ok' END AS verdict,
       calibration_gap <= -0.004 AS degraded FROM b""", "scenario, batch_id, rows, verdict, degraded", "psi, gap", head=f"WITH {_BATCH}"),
+    "normalised_paths": "SELECT page_id, regexp_replace(url, '/{2,}', '/', 'g') AS path FROM pages",
+    "event_stamps": "SELECT strftime(ts, '%Y%m%d') AS stamp, count(*) AS events, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last FROM events GROUP BY 1",
     "log_query": """SELECT event_id, strftime(ts, '%m-%d') AS batch_id, 's' || (user_id % 3) AS scenario, event_type AS stage, CASE WHEN value > 100 THEN 'warning' ELSE 'ok' END AS status, strftime(ts, '%Y-%m-%d') AS day
       FROM events WHERE event_type = 'error' AND user_id % 3 IN (0, 1) AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import blocking, c, quarantined, rule_counts, verdict
+from .store import aside, delete, exists, names, replace
 from .tables import COLUMNS, MODEL_FEATURES, TARGET
 
 #: Fields that a log line must not carry.
@@ -64,10 +65,6 @@ def validation_report(batch_id: str, schema: str, df: DataFrame, fails: DataFram
     return {"batch_id": batch_id, "schema": schema, "verdict": verdict(fails).first()[0], "rows": {"in": rows_in, "passed": rows_in - held, "quarantined": held}, "rules": [r.asDict() for r in counts]}
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
 def report_html(report: dict) -> str:
     rows = "".join(f"<tr><td>{html.escape(r['rule'])}</td><td>{html.escape(r['severity'])}</td><td>{r['rows']}</td></tr>" for r in report["rules"])
     return f"<html><body><h1>{html.escape(report['batch_id'])}: {html.escape(report['verdict'])}</h1><p>{report['rows']}</p><table>{rows}</table></body></html>"
@@ -85,6 +82,21 @@ def upsert_section(text: str, marker: str, body: str) -> str:
     return re.sub(re.escape(begin) + ".*?" + re.escape(end), lambda _: block, text, flags=re.S) if begin in text else f"{text.rstrip()}\n\n{block}\n"
 
 
+def publish_table(df: DataFrame, path: str, marker: str, most: int = 1000) -> str:
+    """Puts a report table as Markdown into the document at ``path``, in place of what ``marker`` held there, and returns the
+    document. A table of more than ``most`` rows is no report and raises."""
+    spark, rows = df.sparkSession, df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    old = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if exists(spark, path) else ""
+    text = upsert_section(old.strip("\n"), marker, to_markdown(rows, df.columns)).strip("\n")
+    tmp = aside(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(tmp)
+    replace(spark, f"{tmp}/{next(n for n in names(spark, tmp) if n.startswith('part-'))}", path)
+    delete(spark, tmp)
+    return text
+
+
 #: Fixed value: the two forms of ids, with dashes and without.
 ID_PATTERN = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32}"
 

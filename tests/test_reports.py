@@ -107,3 +107,26 @@ def test_report_tables(spark):
     assert abs(got[10][0] - 0.6) < 1e-12 and abs(got[10][1] - (4 * (0.1 + 0.01) + 2 * (0.1 + 0.02)) / 2) < 1e-12
     fails = spark.createDataFrame([("w", "warning", 1), ("b", "blocker", 9), ("a", "blocker", None)], "rule string, severity string, row_index long")
     assert [r.rule for r in reports.first_rejections(fails, 2).collect()] == ["a", "b"]
+
+
+def test_tables_are_published_into_a_document(spark, tmp_path):
+    path = f"{tmp_path}/docs/report.md"
+    df = spark.createDataFrame([("a", 0.5), ("b", None)], "feature string, psi double")
+    first = sinks.publish_table(df, path, "psi")
+    assert first == sinks.publish_table(df, path, "psi") and "| a | 0.5000 |" in first
+    both = sinks.publish_table(df.limit(1), path, "other")
+    assert both.count("begin -->") == 2
+    again = sinks.publish_table(df.where("feature = 'b'"), path, "psi")
+    assert again.count("begin -->") == 2 and again.count("| a | 0.5000 |") == 1 and (tmp_path / "docs" / "report.md").read_text().strip() == again.strip()
+    with pytest.raises(ValueError):
+        sinks.publish_table(df, path, "psi", most=1)
+
+
+def test_paths_and_times_have_one_form(spark):
+    from gaugemill.functions import core
+
+    given = ["/r/a//b", r"\r\a\.\b", "./x/y", "/rest/z", "/r/./././q", "a.b/./c."]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, p string").select("i", core.relative_path(F.col("p"), "/r/").alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == ["a/b", "a/b", "x/y", "/rest/z", "q", "a.b/c."]
+    t = spark.sql("SELECT TIMESTAMP '2024-03-05 06:07:08.9' AS t")
+    assert t.select(core.day_stamp(F.col("t")), core.whole_second(F.col("t"))).first() == ("20240305", "2024-03-05T06:07:08")
