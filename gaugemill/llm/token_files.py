@@ -25,8 +25,8 @@ from .simple8b import decode_blocks, encode_blocks
 from .textops import slices
 
 BLOCK = 4096
-#: Blocks that are coded, written and read at once; ids after which a file ends.
-RUN_BLOCKS, FILE_IDS = 256, 1 << 26
+#: Blocks that are coded, written and read at once; ids or documents after which a file ends.
+RUN_BLOCKS, FILE_IDS, FILE_DOCS = 256, 1 << 26, 1 << 20
 #: Pieces of text whose ids a Python worker remembers, and the longest that it does.
 REMEMBERED, LONGEST = 1 << 19, 64
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     Texts are range-partitioned and sorted by ``id_col`` (nulls first; rows that repeat an id by CRC-32 of the
     text), then encoded where they lie: each task writes its documents to one file, or to several of
-    about ``FILE_IDS`` ids, and a file appears by one rename, so a repeated task leaves only whole files,
+    about ``FILE_IDS`` ids or ``FILE_DOCS`` documents, and a file appears by one rename, so a repeated task leaves only whole files,
     of which the returned rows name one for each. Null and empty texts have ``end_id`` alone (no id if
     that is None). A very long text is encoded in one task. Other columns are ignored, whatever their
     names. An empty table gives no files.
@@ -275,7 +275,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
                 writer.add(doc_ids[i:j], ids, counts)
-                if writer.n_ids >= FILE_IDS:
+                if writer.n_ids >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
                     yield ended()
         if writer is not None:
             yield ended()
