@@ -466,7 +466,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_registry_sql(same):
     q, sql = registry.queries(), registry.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in q}
     for name in sql:
         same(q[name], sql[name])
 
