@@ -6,37 +6,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import kolmogorov_pvalue, norm_ppf
+from .ranks import counted, looked_up, running
 
 CLIP = 1e-6
 
 
 def fit_ecdf(reference: DataFrame) -> DataFrame:
     """(feature, value, below, upto, total): one row per distinct value."""
-    per = reference.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy("value")
-    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return per.select("feature", "value", (upto - F.col("n")).alias("below"), upto.alias("upto"), F.sum("n").over(Window.partitionBy("feature")).alias("total"))
+    per = running(counted(reference), "feature")
+    return per.select("feature", "value", F.col("_n_before").alias("below"), (F.col("_n_before") + F.col("_n")).alias("upto"), F.col("_n_all").alias("total"))
+
+
+def located_counts(reference: DataFrame, asked: DataFrame) -> DataFrame:
+    """(feature, value, below, upto, total, hits) of ``asked`` (feature, value, _n): how many rows of the counted ``reference``
+    are less, how many at most, and all of them; ``hits`` sums the asked counts. Values of both sides are put in one order
+    with the reference's counts, so no range join is needed. Features without a reference give no row."""
+    none = F.lit(0).cast("long")
+    both = reference.select("feature", "value", "_n", none.alias("hits")).unionByName(asked.select("feature", "value", none.alias("_n"), F.col("_n").alias("hits")))
+    per = both.groupBy("feature", "value").agg(F.sum("_n").alias("_n"), F.sum("hits").alias("hits"))
+    per = running(per.select(F.inline(F.array(F.struct(*per.columns)))), "feature").where("hits > 0 AND _n_all > 0")
+    return per.select("feature", "value", F.col("_n_before").alias("below"), (F.col("_n_before") + F.col("_n")).alias("upto"), F.col("_n_all").alias("total"), "hits")
 
 
 def located(values: DataFrame, ecdf: DataFrame) -> DataFrame:
-    """(feature, value, below, upto, total) of distinct ``values`` (feature, value): how many reference rows are less,
-    and how many at most, and all of them. An as-of lookup: asked values and the table's are put in one order per feature and carry
-    the last count seen, so no range join is needed. Features without a reference give no row."""
-    # An unmatched value lies between two reference values: as many are less as are at most.
-    asked = values.join(ecdf.select("feature", "value"), ["feature", "value"], "left_anti")
-    none = F.lit(None).cast("long")
-    line = ecdf.withColumn("asked", F.lit(False)).unionByName(asked.select("feature", "value", none.alias("below"), none.alias("upto"), none.alias("total"), F.lit(True).alias("asked")))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    seen = line.withColumn("_last", F.coalesce(F.last("upto", True).over(w), F.lit(0))).withColumn("_total", F.max("total").over(Window.partitionBy("feature")))
-    return seen.where("_total IS NOT NULL").select("feature", "value", F.when(F.col("asked"), F.col("_last")).otherwise(F.col("below")).alias("below"), F.when(F.col("asked"), F.col("_last")).otherwise(F.col("upto")).alias("upto"), F.col("_total").alias("total"))
+    """(feature, value, below, upto, total) of distinct ``values`` (feature, value) in a fitted distribution."""
+    reference = ecdf.select("feature", "value", (F.col("upto") - F.col("below")).alias("_n"))
+    return located_counts(reference, values.select("feature", "value", F.lit(1).cast("long").alias("_n"))).drop("hits")
 
 
 def midrank(current: DataFrame, ecdf: DataFrame, *keys: str) -> DataFrame:
     """(keys..., feature, value, u): (#less + #at most) / 2N against the reference, clipped to
     [1e-6, 1 - 1e-6]."""
-    seen = located(current.where("value IS NOT NULL").select("feature", "value").distinct(), ecdf)
+    reference = ecdf.select("feature", "value", (F.col("upto") - F.col("below")).alias("_n"))
+    return _midrank(current, reference, *keys)
+
+
+def midrank_against(current: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
+    """The same with the reference's rows instead of its fitted distribution."""
+    return _midrank(current, counted(reference), *keys)
+
+
+def midranks_of_values(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """(feature, value, u, rows): one row for each distinct current value."""
+    return _ranked_values(counted(current), counted(reference)).withColumnRenamed("hits", "rows")
+
+
+def _ranked_values(current: DataFrame, reference: DataFrame) -> DataFrame:
     u = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), (F.col("below") + F.col("upto")) / (2.0 * F.col("total"))))
-    return current.join(seen.select("feature", "value", u.alias("u")), ["feature", "value"]).select(*keys, "feature", "value", "u")
+    return located_counts(reference, current).select("feature", "value", u.alias("u"), "hits")
+
+
+def _midrank(current: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
+    rows = current.select(*keys, "feature", "value")
+    return looked_up(rows, _ranked_values(counted(current), reference), "hits").select(*keys, "feature", "value", "u")
 
 
 def normal_score(ranked: DataFrame) -> DataFrame:
@@ -58,8 +80,8 @@ def ks_of_located(counted: DataFrame, *by: str, feature: str = "feature") -> Dat
 def ks_two_sample(reference: DataFrame, current: DataFrame, *by: str) -> DataFrame:
     """(by..., feature, n_ref, n_cur, ks, pvalue). ``by`` splits the current side; each distinct value of all its
     parts is looked up in the reference's distribution once."""
-    cur = current.where("value IS NOT NULL").groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    places = located(cur.select("feature", "value").distinct(), fit_ecdf(reference))
+    cur = counted(current, *by).withColumnRenamed("_n", "c")
+    places = located_counts(counted(reference), cur.withColumnRenamed("c", "_n")).drop("hits")
     out = ks_of_located(cur.join(places, ["feature", "value"]), *by)
     return out.withColumn("pvalue", kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 

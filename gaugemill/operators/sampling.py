@@ -30,10 +30,10 @@ def shuffle(df: DataFrame, seed: str, key: str) -> DataFrame:
     return df.orderBy(hash_uniform(seed, key), key)
 
 
-def _cut_points(df: DataFrame, by: str, seed: str, key: str) -> DataFrame:
+def _cut_points(df: DataFrame, by: str, seed: str, key: str, rows: int | None = None) -> DataFrame:
     """Exact rank of each row in its stratum by hash, without gathering a stratum in one task: ranks
-    inside bins of the hash plus the counts of the bins before."""
-    n_bins = max(256, df.count() // ROWS_PER_BIN)
+    inside bins of the hash plus the counts of the bins before. ``rows`` is their number, where it is known."""
+    n_bins = max(256, (df.count() if rows is None else rows) // ROWS_PER_BIN)
     out = df.withColumn("_u", hash_uniform(seed, key)).withColumn("_bin", F.floor(F.col("_u") * n_bins).cast("int"))
     per = out.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -81,15 +81,14 @@ def _next_prime(n: int) -> int:
     return n
 
 
-def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed: str, key: str) -> DataFrame:
-    """(n, repeat, rows...): ``repeats`` draws of each size without replacement (all rows where there are fewer).
+def draw_places(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_place`` (long, from 0, in the random order of a hash), and the places (n, repeat, _place) of each draw.
 
-    Rows are put in the random order of a hash once, each with its exact place. A draw takes the places
-    first + step * i modulo the least prime that is no less than the number of rows, until it has n of them; first and
-    step come from a hash of the draw. In a random order every such set is a random sample, and what is read is the
-    rows drawn, not all rows for each draw. Rows with equal keys and hashes may swap places."""
-    ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key)
+    A draw takes the places first + step * i modulo the least prime that is no less than the number of rows, until it has n
+    of them; first and step come from a hash of the draw. In a random order every such set is a random sample, and what is
+    read is the rows drawn, not all rows for each draw. Rows with equal keys and hashes may swap places."""
     total = df.count()
+    ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key, total).select(*df.columns, (F.col("_rank") - 1).cast("long").alias("_place"))
     prime = _next_prime(total)
     ids = df.sparkSession.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n int, repeat int")
     word = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("n").cast("string"), F.col("repeat").cast("string"))), 1 + 8 * i, 8), 16, 10).cast("long")
@@ -100,7 +99,18 @@ def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed:
     if prime > total:  # the n-th of those that are rows
         by_draw = Window.partitionBy("n", "repeat").orderBy("_i")
         places = places.where(F.col("_place") < total).withColumn("_k", F.row_number().over(by_draw)).where(F.col("_k") <= F.col("n")).drop("_k")
-    return places.drop("_i").join(ranked.withColumn("_place", (F.col("_rank") - 1).cast("long")), "_place").select("n", "repeat", *df.columns)
+    return ranked, places.drop("_i")
+
+
+def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed: str, key: str) -> DataFrame:
+    """(n, repeat, rows...): ``repeats`` draws of each size without replacement (all rows where there are fewer)."""
+    ranked, places = draw_places(df, sizes, repeats, seed, key)
+    return with_places(places, ranked).select("n", "repeat", *df.columns)
+
+
+def with_places(places: DataFrame, placed: DataFrame) -> DataFrame:
+    """Both by ``_place``. The plan takes the places for as few as the draws they are made from, and would broadcast them."""
+    return places.hint("merge").join(placed, "_place")
 
 
 def ordinal_rank(df: DataFrame, value: str, key: str, name: str, bins: int = 64) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from ..functions.core import kolmogorov_pvalue
 from ..sources.tables import CONTINUOUS, DEBT_RATIO, INCOME, TARGET
-from .ecdf import fit_ecdf, ks_of_located, ks_two_sample, located
+from .ecdf import ks_of_located, ks_two_sample, located_counts
 from .metrics import batch_metrics
 from .profile import to_long
-from .psi import bin_of, binned, fit_edges, psi, psi_of_binned
+from .psi import bin_of, bins_of_counted, edges_of_counted, psi, psi_of_binned
+from .ranks import counted, looked_up
 from .rules import c
-from .sampling import draws, uniform_sample
+from .sampling import draw_places, draws, uniform_sample, with_places
 from .simulate import inflate
 
 #: The grid of the sensitivity sweep.
@@ -25,11 +26,14 @@ def sensitivity(reference: DataFrame, holdout: DataFrame, score: Column, columns
     shift of the mean score and of the AUC against the same batch as it was.
 
     A batch of each size is drawn once from ``holdout`` (all of it if it is smaller); every row of it is
-    read at each level, level 0 being the batch itself, so the whole grid is one plan."""
+    read at each level, level 0 being the batch itself, so the whole grid is one plan. The batches, which have a fixed size, are
+    shuffled whole: all that reads them shares that shuffle."""
     batch = None
     for n in sizes:
         part = uniform_sample(holdout, n, f"{seed}:{n}", key).withColumn("n", F.lit(n))
         batch = part if batch is None else batch.unionByName(part)
+    batch = batch.repartition(key)
+    batch = batch.select(F.inline(F.array(F.struct(*[F.col(f"`{x}`") for x in batch.columns]))))
     grid = inflate(batch.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in (0.0, *levels)]))), 1.0 + F.col("level"))
     scored = grid.select("n", "level", score.alias("p"), F.when(c(TARGET) == "1", 1).otherwise(0).alias("y"))
     moved = batch_metrics(scored, "n", "level").select("n", "level", "mean_predicted", "auc")
@@ -47,27 +51,27 @@ AA_SIZES, AA_REPEATS = (250, 500, 1000, 2000, 5000, 7000, 20_000), 200
 def false_alarms(reference: DataFrame, holdout: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k") -> DataFrame:
     """(n, repeat, feature, ks_statistic, ks_pvalue, psi): draws from ``holdout``, which has not drifted, against ``reference``.
 
-    Both are wide (``features``, and ``key`` on the holdout). Every holdout row learns once where its values lie in the
-    reference's distributions and bins; a draw moves those places instead of values, so that it is measured from its own rows
-    alone. Null values are in no draw's counts."""
+    Both are wide (``features``, and ``key`` on the holdout). Every holdout row that is drawn learns once where its values lie in
+    the reference's distributions and bins; a draw moves those places instead of values, so that it is measured from its own rows
+    alone. Each side is counted once per distinct value. Null values are in no draw's counts."""
     stack = F.expr(f"stack({len(features)}, {', '.join(f'{f!r}, `{f}`' for f in features)}) AS (feature, value)")
-    base, held = reference.select(stack), holdout.select(key, stack).where("value IS NOT NULL")
-    edges, ecdf, names = fit_edges(base), fit_ecdf(base), F.array(*map(F.lit, features))
-    places = located(held.select("feature", "value").distinct(), ecdf).join(F.broadcast(edges), "feature")
+    base, names = counted(reference.select(stack)), F.array(*map(F.lit, features))
+    edges = edges_of_counted(base)
+    lines = located_counts(base, counted(holdout.select(stack))).join(F.broadcast(edges), "feature")
     # Numbers stand for features while there is a row for each draw.
-    places = places.select("feature", "value", F.array_position(names, F.col("feature")).cast("int").alias("f"), "below", "upto", bin_of(F.col("value"), F.col("interior")).alias("bin"))
-    rows = held.join(places, ["feature", "value"]).groupBy(key).agg(F.collect_list(F.struct("f", "below", "upto", "bin")).alias("at"))  # at most one for each feature
-    drawn = draws(rows, sizes, repeats, seed, key).select("n", "repeat", F.inline("at"))
+    lines = lines.select("feature", "value", F.array_position(names, F.col("feature")).cast("int").alias("f"), "below", "upto", "total", bin_of(F.col("value"), F.col("interior")).alias("bin"), "hits")
+    ranked, places = draw_places(holdout.select(key, *[F.col(f"`{f}`") for f in features]), sizes, repeats, seed, key)
+    wanted = ranked.join(places.select("_place").distinct().hint("merge"), "_place", "left_semi").select("_place", stack).where("value IS NOT NULL")
+    rows = looked_up(wanted, lines, "hits").groupBy("_place").agg(F.collect_list(F.struct("f", "below", "upto", "total", "bin")).alias("at"))  # at most one for each feature
+    drawn = with_places(places, rows).select("n", "repeat", F.inline("at"))
     # One exchange: all that follows keeps a draw's feature together.
-    counted = drawn.repartition("n", "repeat", "f").groupBy("n", "repeat", "f", "below", "upto", "bin").agg(F.count(F.lit(1)).alias("c"))
-    totals = ecdf.groupBy(F.col("feature").alias("_f")).agg(F.max("total").alias("total"))
+    at = drawn.repartition("n", "repeat", "f").groupBy("n", "repeat", "f", "below", "upto", "total", "bin").agg(F.count(F.lit(1)).alias("c"))
     named = lambda df: df.withColumn("feature", F.element_at(names, F.col("f"))).drop("f")
-    whole = F.broadcast(totals.select(F.array_position(names, F.col("_f")).cast("int").alias("f"), "total"))
-    ks = named(ks_of_located(counted.join(whole, "f"), "n", "repeat", feature="f"))
+    ks = named(ks_of_located(at, "n", "repeat", feature="f"))
     by = ["n", "repeat", "feature"]
     ks = ks.select(*by, F.col("ks").alias("ks_statistic"), kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
-    bins = named(counted.groupBy("n", "repeat", "f", "bin").agg(F.sum("c").alias("_n")))
-    return ks.join(psi_of_binned(binned(base, edges), bins, edges, "n", "repeat"), by)
+    bins = named(at.groupBy("n", "repeat", "f", "bin").agg(F.sum("c").alias("_n")))
+    return ks.join(psi_of_binned(bins_of_counted(base, edges), bins, edges, "n", "repeat"), by)
 
 
 def ks_continuous(reference: DataFrame, current: DataFrame, columns=CONTINUOUS) -> DataFrame:
