@@ -57,9 +57,9 @@ def psi_verdict(spark, d):
 
 
 def _monthly(spark, d):
-    ref, cur = _sides(spark, d, "l_shipdate")
-    cur = cur.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
-    return P.psi(ref.drop("l_shipdate"), cur, "month")
+    ref, _ = _sides(spark, d)
+    _, cur = _sides(spark, d, "date_format(l_shipdate, 'yyyy-MM') AS month")
+    return P.psi(ref, cur, "month")
 
 
 def psi_month_matrix(spark, d):
@@ -99,15 +99,14 @@ def ks_daily_events(spark, d):
 
 
 def midrank_ecdf(spark, d):
-    ref, cur = _sides(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    out = E.midrank(cur, E.fit_ecdf(ref), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rounded(out.drop("l_suppkey"))
+    ref, cur = _sides(spark, d, "l_orderkey", "l_linenumber", "l_partkey")
+    return rounded(E.midrank_against(cur, ref, "l_orderkey", "l_linenumber", "l_partkey"))
 
 
 def normal_score(spark, d):
+    """The score is one of the value, so that it is found once for all rows of a value."""
     ref, cur = _sides(spark, d)
-    out = E.normal_score(E.midrank(cur, E.fit_ecdf(ref)))
-    return rounded(out.groupBy("feature", "value").agg(F.first("u").alias("u"), F.first("z").alias("z"), F.count(F.lit(1)).alias("rows")))
+    return rounded(E.normal_score(E.midranks_of_values(cur, ref)).select("feature", "value", "u", "z", "rows"))
 
 
 def _aa(spark, d):
