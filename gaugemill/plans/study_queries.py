@@ -22,19 +22,19 @@ _U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) /
 _DRAWS, _DRAWN = 500, 7000
 
 
-def _sides(spark, d):
+def _sides(spark, d, *columns):
     """Seven tenths of the rows by hash are the reference, the rest is held out."""
-    df = credit(spark, d).withColumn(INCOME_MISSING, income_missing()).withColumn("_u", hash_uniform("sides", "row_id"))
+    df = credit(spark, d, *columns).withColumn(INCOME_MISSING, income_missing()).withColumn("_u", hash_uniform("sides", "row_id"))
     return df.where("_u < 0.7").drop("_u"), df.where("_u >= 0.7").drop("_u")
 
 
 def sensitivity_sweep(spark, d):
     score = 0.02 + 0.05 * F.least(c(DEBT_RATIO), F.lit(1.0)) + 0.05 * F.least(F.coalesce(c(INCOME), F.lit(5000.0)) / 20000, F.lit(1.0))
-    return rounded(ST.sensitivity(*_sides(spark, d), score))
+    return rounded(ST.sensitivity(*_sides(spark, d, TARGET, DEBT_RATIO, INCOME), score))
 
 
 def ks_continuous(spark, d):
-    return rounded(ST.ks_continuous(*_sides(spark, d)))
+    return rounded(ST.ks_continuous(*_sides(spark, d, *CONTINUOUS)))
 
 
 def prediction_drift(spark, d):
