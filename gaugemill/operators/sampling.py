@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from .rules import c
 
 #: A bin of the hash has about so many rows at most.
 ROWS_PER_BIN = 1 << 18
+#: Draws are ranked in so many bins, whose counts the driver sees.
+BINS = 4096
 
 
 def uniform_sample(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
@@ -87,19 +91,32 @@ def draw_places(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int,
     A draw takes the places first + step * i modulo the least prime that is no less than the number of rows, until it has n
     of them; first and step come from a hash of the draw. In a random order every such set is a random sample, and what is
     read is the rows drawn, not all rows for each draw. Rows with equal keys and hashes may swap places."""
-    total = df.count()
-    ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key, total).select(*df.columns, (F.col("_rank") - 1).cast("long").alias("_place"))
+    total, ranked = _placed(df, seed, key)
     prime = _next_prime(total)
-    ids = df.sparkSession.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n int, repeat int")
-    word = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("n").cast("string"), F.col("repeat").cast("string"))), 1 + 8 * i, 8), 16, 10).cast("long")
+    # A few numbers for each draw, so that none of its rows computes them again.
+    word = lambda n, r, i: int(hashlib.md5(f"{seed}:{n}:{r}".encode()).hexdigest()[8 * i : 8 * i + 8], 16)
+    ids = [(n, r, word(n, r, 0) % prime, word(n, r, 1) % max(1, prime - 1) + 1) for n in sizes for r in range(repeats)]
+    ids = df.sparkSession.createDataFrame(ids, "n int, repeat int, _first long, _step long").repartition(max(1, min(len(ids), 200)), "n", "repeat")
     # Places past the last row fall out; there are prime - total of them.
     tries = F.least(F.lit(prime), F.least("n", F.lit(total)) + (prime - total))
-    steps = ids.repartition(max(1, min(len(sizes) * repeats, 200)), "n", "repeat").select("n", "repeat", (word(0) % prime).alias("_first"), (word(1) % max(1, prime - 1) + 1).alias("_step"), F.explode(F.sequence(F.lit(1), tries)).alias("_i"))
-    places = steps.select("n", "repeat", "_i", ((F.col("_first") + F.col("_step") * F.col("_i")) % prime).alias("_place"))
-    if prime > total:  # the n-th of those that are rows
-        by_draw = Window.partitionBy("n", "repeat").orderBy("_i")
-        places = places.where(F.col("_place") < total).withColumn("_k", F.row_number().over(by_draw)).where(F.col("_k") <= F.col("n")).drop("_k")
-    return ranked, places.drop("_i")
+    tried = F.transform(F.sequence(F.lit(1), tries), lambda i: (F.col("_first") + F.col("_step") * i) % prime)
+    kept = F.slice(F.filter(tried, lambda place: place < total), F.lit(1), F.col("n")) if prime > total else tried
+    return ranked, ids.select("n", "repeat", F.explode(kept).alias("_place"))
+
+
+def _placed(df: DataFrame, seed: str, key: str) -> tuple[int, DataFrame]:
+    """The number of rows, and ``df`` with ``_place``. One pass counts the rows of each bin of the hash, a second ranks them there;
+    a table with more than 2^18 rows in each of 4096 bins gets more bins."""
+    binned = df.withColumn("_u", hash_uniform(seed, key)).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    counts = sorted((r["_bin"], r["count"]) for r in binned.groupBy("_bin").count().collect())
+    total = sum(n for _, n in counts)
+    if total > BINS * ROWS_PER_BIN:
+        ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key, total)
+        return total, ranked.select(*df.columns, (F.col("_rank") - 1).cast("long").alias("_place"))
+    starts = [(b, at - n) for (b, n), at in zip(counts, accumulate(n for _, n in counts), strict=True)]
+    inside = F.row_number().over(Window.partitionBy("_bin").orderBy("_u", key))
+    ranked = binned.withColumn("_in", inside).join(F.broadcast(df.sparkSession.createDataFrame(starts, "_bin int, _start long")), "_bin")
+    return total, ranked.select(*df.columns, (F.col("_start") + F.col("_in") - 1).alias("_place"))
 
 
 def draws(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int, seed: str, key: str) -> DataFrame:

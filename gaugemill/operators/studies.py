@@ -8,13 +8,13 @@ from pyspark.sql import types as T
 
 from ..functions.core import kolmogorov_pvalue
 from ..sources.tables import CONTINUOUS, DEBT_RATIO, INCOME, TARGET
-from .ecdf import ks_of_located, ks_two_sample, located_counts
+from .ecdf import ks_of_located, ks_two_sample
 from .metrics import batch_metrics
 from .profile import to_long
-from .psi import bin_of, bins_of_counted, edges_of_counted, psi, psi_of_binned
-from .ranks import counted, looked_up
+from .psi import bin_of, bins_of_counted, edges_of_running, psi, psi_of_binned
+from .ranks import gathered, looked_up_parts, running
 from .rules import c
-from .sampling import draw_places, draws, uniform_sample, with_places
+from .sampling import draws, uniform_sample
 from .simulate import inflate
 
 #: The grid of the sensitivity sweep.
@@ -50,28 +50,39 @@ AA_SIZES, AA_REPEATS = (250, 500, 1000, 2000, 5000, 7000, 20_000), 200
 
 def false_alarms(reference: DataFrame, holdout: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k") -> DataFrame:
     """(n, repeat, feature, ks_statistic, ks_pvalue, psi): draws from ``holdout``, which has not drifted, against ``reference``.
+    Both are wide: ``features``, and ``key`` on the holdout."""
+    columns = [F.col(f"`{f}`") for f in features]
+    none = F.lit(None).cast(holdout.schema[key].dataType).alias(key)
+    both = reference.select(F.lit(True).alias("reference"), none, *columns).unionByName(holdout.select(F.lit(False).alias("reference"), key, *columns))
+    return false_alarms_of_split(both, features, sizes, repeats, seed, key)
 
-    Both are wide (``features``, and ``key`` on the holdout). Every holdout row that is drawn learns once where its values lie in
-    the reference's distributions and bins; a draw moves those places instead of values, so that it is measured from its own rows
-    alone. Each side is counted once per distinct value. Null values are in no draw's counts."""
-    stack = F.expr(f"stack({len(features)}, {', '.join(f'{f!r}, `{f}`' for f in features)}) AS (feature, value)")
-    base, names = counted(reference.select(stack)), F.array(*map(F.lit, features))
-    edges = edges_of_counted(base)
-    lines = located_counts(base, counted(holdout.select(stack))).join(F.broadcast(edges), "feature")
+
+def false_alarms_of_split(rows: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k") -> DataFrame:
+    """The same of one table (``reference`` boolean, ``key``, ``features``), whose values are counted in one pass.
+
+    Each distinct value is put once into the order of the reference's; a draw looks its rows up there, so that it is measured from its
+    own rows alone. Rows of frequent values are counted before they are shuffled. Null values are in no draw's counts."""
     # Numbers stand for features while there is a row for each draw.
-    lines = lines.select("feature", "value", F.array_position(names, F.col("feature")).cast("int").alias("f"), "below", "upto", "total", bin_of(F.col("value"), F.col("interior")).alias("bin"), "hits")
-    ranked, places = draw_places(holdout.select(key, *[F.col(f"`{f}`") for f in features]), sizes, repeats, seed, key)
-    wanted = ranked.join(places.select("_place").distinct().hint("merge"), "_place", "left_semi").select("_place", stack).where("value IS NOT NULL")
-    rows = looked_up(wanted, lines, "hits").groupBy("_place").agg(F.collect_list(F.struct("f", "below", "upto", "total", "bin")).alias("at"))  # at most one for each feature
-    drawn = with_places(places, rows).select("n", "repeat", F.inline("at"))
+    stack = F.expr(f"stack({len(features)}, {', '.join(f'{i}, `{f}`' for i, f in enumerate(features))}) AS (feature, value)")
+    named = lambda df: df.withColumn("feature", F.get(F.array(*map(F.lit, features)), F.col("feature")))
+    per = rows.select("reference", stack).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("reference").alias("_n"), F.count_if(~F.col("reference")).alias("hits"))
+    per = gathered(per.withColumn("_m", F.when(F.isnan("value"), 0).otherwise(F.col("_n"))), "value", "feature")
+    run = gathered(running(per, "feature", sums=("_n", "_m")), "feature", "value")
+    numbers = run.where("_m > 0").select("feature", "value", F.col("_m").alias("_n"), F.col("_m_before").alias("_n_before"), F.col("_m_all").alias("_n_all"))
+    edges = edges_of_running(numbers)
+    lines = run.where("hits > 0 AND _n_all > 0").join(F.broadcast(edges), "feature")
+    lines = lines.select("feature", "value", F.col("_n_before").alias("below"), (F.col("_n_before") + F.col("_n")).alias("upto"), F.col("_n_all").alias("total"), bin_of(F.col("value"), F.col("interior")).alias("bin"), "hits")
+    drawn = draws(rows.where("NOT reference").select(key, *[F.col(f"`{f}`") for f in features]), sizes, repeats, seed, key)
+    hot, cold = looked_up_parts(drawn.select("n", "repeat", stack).where("value IS NOT NULL"), lines, "hits")
+    place = ["n", "repeat", "feature", "below", "upto", "total", "bin"]
+    at = hot.groupBy(*place).agg(F.count(F.lit(1)).alias("c")).unionByName(cold.select(*place, F.lit(1).cast("long").alias("c")))
     # One exchange: all that follows keeps a draw's feature together.
-    at = drawn.repartition("n", "repeat", "f").groupBy("n", "repeat", "f", "below", "upto", "total", "bin").agg(F.count(F.lit(1)).alias("c"))
-    named = lambda df: df.withColumn("feature", F.element_at(names, F.col("f"))).drop("f")
-    ks = named(ks_of_located(at, "n", "repeat", feature="f"))
     by = ["n", "repeat", "feature"]
+    at = gathered(at, *by).groupBy(*place).agg(F.sum("c").alias("c"))
+    ks = ks_of_located(at, "n", "repeat")
     ks = ks.select(*by, F.col("ks").alias("ks_statistic"), kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
-    bins = named(at.groupBy("n", "repeat", "f", "bin").agg(F.sum("c").alias("_n")))
-    return ks.join(psi_of_binned(bins_of_counted(base, edges), bins, edges, "n", "repeat"), by)
+    bins = at.groupBy(*by, "bin").agg(F.sum("c").alias("_n"))
+    return named(ks.join(psi_of_binned(bins_of_counted(numbers, edges), bins, edges, "n", "repeat"), by))
 
 
 def ks_continuous(reference: DataFrame, current: DataFrame, columns=CONTINUOUS) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import ecdf as E
 from ..operators import mmd as M
 from ..operators import psi as P
 from ..operators.sampling import stratum_sample
-from ..operators.studies import AA_REPEATS, AA_SIZES, false_alarms
+from ..operators.studies import AA_REPEATS, AA_SIZES, false_alarms_of_split
 from ..sources.cache import cached
 from ..sources.tables import CUT, LINE_FEATURES, LINE_SQL, line_features, read_table
 from .helpers import rounded, rsql, shared_dir
@@ -111,15 +111,14 @@ def normal_score(spark, d):
 
 def _aa(spark, d):
     """The whole calibration: 7 sizes x 200 draws x all features."""
-    return false_alarms(*_aa_sides(spark, d), FEATURES)
+    return false_alarms_of_split(_aa_rows(spark, d), FEATURES)
 
 
-def _aa_sides(spark, d):
+def _aa_rows(spark, d):
     """A hash split of all rows into reference and holdout."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k")
     wide = read_table(spark, d, "lineitem").select(key, *[F.expr(e).alias(f) for f, e in LINE_FEATURES.items()])
-    split = hash_uniform("aa-split", "k") < 0.7
-    return wide.where(split), wide.where(~split)
+    return wide.withColumn("reference", hash_uniform("aa-split", "k") < 0.7)
 
 
 def aa_sweep(spark, d):
