@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import kolmogorov_pvalue, norm_ppf
@@ -65,16 +65,17 @@ def normal_score(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("z", norm_ppf(F.col("u")))
 
 
-def ks_of_located(counted: DataFrame, *by: str, feature: str = "feature") -> DataFrame:
+def ks_of_located(counted: DataFrame, *by: str, feature: str = "feature", also: tuple[Column, ...] = ()) -> DataFrame:
     """(by..., feature, n_ref, n_cur, ks) of (by..., feature, below, upto, total, c): ``c`` rows at a place of the reference.
 
     The two distributions differ most at a place that has rows, or just before one: the reference cannot add to the
-    difference between them. So a group costs its own rows, whatever the size of the reference."""
+    difference between them. So a group costs its own rows, whatever the size of the reference.
+    ``also``: further aggregates of a group."""
     group = Window.partitionBy(*by, feature)
     line = group.orderBy("upto", "below").rowsBetween(Window.unboundedPreceding, 0)
     done, all_ = F.sum("c").over(line), F.sum("c").over(group)
     gap = F.greatest(F.abs(done / all_ - F.col("upto") / F.col("total")), F.abs((done - F.col("c")) / all_ - F.col("below") / F.col("total")))
-    return counted.withColumn("gap", gap).groupBy(*by, feature).agg(F.max("total").alias("n_ref"), F.sum("c").alias("n_cur"), F.max("gap").alias("ks"))
+    return counted.withColumn("gap", gap).groupBy(*by, feature).agg(F.max("total").alias("n_ref"), F.sum("c").alias("n_cur"), F.max("gap").alias("ks"), *also)
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, *by: str) -> DataFrame:

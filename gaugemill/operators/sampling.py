@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import gumbel, hash_uniform
+from ..functions.core import gumbel, hash_digits, hash_uniform
 from .rules import c
 
 
 #: A bin of the hash has about so many rows at most.
 ROWS_PER_BIN = 1 << 18
-#: Draws are ranked in so many bins, whose counts the driver sees.
-BINS = 4096
+#: Draws are ranked in bins of the first hex digits of the hash, 4096 of them, whose counts the driver sees.
+BIN_DIGITS = 3
 
 
 def uniform_sample(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
@@ -93,29 +93,35 @@ def draw_places(df: DataFrame, sizes: list[int] | tuple[int, ...], repeats: int,
     read is the rows drawn, not all rows for each draw. Rows with equal keys and hashes may swap places."""
     total, ranked = _placed(df, seed, key)
     prime = _next_prime(total)
-    # A few numbers for each draw, so that none of its rows computes them again.
-    word = lambda n, r, i: int(hashlib.md5(f"{seed}:{n}:{r}".encode()).hexdigest()[8 * i : 8 * i + 8], 16)
-    ids = [(n, r, word(n, r, 0) % prime, word(n, r, 1) % max(1, prime - 1) + 1) for n in sizes for r in range(repeats)]
-    ids = df.sparkSession.createDataFrame(ids, "n int, repeat int, _first long, _step long").repartition(max(1, min(len(ids), 200)), "n", "repeat")
-    # Places past the last row fall out; there are prime - total of them.
-    tries = F.least(F.lit(prime), F.least("n", F.lit(total)) + (prime - total))
-    tried = F.transform(F.sequence(F.lit(1), tries), lambda i: (F.col("_first") + F.col("_step") * i) % prime)
-    kept = F.slice(F.filter(tried, lambda place: place < total), F.lit(1), F.col("n")) if prime > total else tried
-    return ranked, ids.select("n", "repeat", F.explode(kept).alias("_place"))
+    # A few numbers for each draw, so that none of its rows computes them again. Places past the last row fall out.
+    ids = [(n, r, *_stride(f"{seed}:{n}:{r}", min(n, total), total, prime)) for n in sizes for r in range(repeats)]
+    ids = df.sparkSession.createDataFrame(ids, "n int, repeat int, _first long, _step long, _last long").repartition(max(1, min(sum(x[-1] for x in ids) >> 18, 200)), "n", "repeat")
+    tried = ids.select("n", "repeat", "_first", "_step", F.explode(F.sequence(F.lit(1).cast("long"), "_last")).alias("_i")) if total else ids.where("false").withColumn("_i", F.lit(0).cast("long"))
+    return ranked, tried.select("n", "repeat", ((F.col("_first") + F.col("_step") * F.col("_i")) % prime).alias("_place")).where(F.col("_place") < total)
+
+
+def _stride(name: str, n: int, total: int, prime: int) -> tuple[int, int, int]:
+    """First place and step of a draw, and how many places it tries until ``n`` of them are less than ``total``."""
+    digits = hashlib.md5(name.encode()).hexdigest()
+    first, step = int(digits[:8], 16) % prime, int(digits[8:16], 16) % max(1, prime - 1) + 1
+    back, last = pow(step, -1, prime), n
+    for out in sorted((place - first) * back % prime or prime for place in range(total, prime)):
+        last += out <= last
+    return first, step, last
 
 
 def _placed(df: DataFrame, seed: str, key: str) -> tuple[int, DataFrame]:
     """The number of rows, and ``df`` with ``_place``. One pass counts the rows of each bin of the hash, a second ranks them there;
     a table with more than 2^18 rows in each of 4096 bins gets more bins."""
-    binned = df.withColumn("_u", hash_uniform(seed, key)).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    binned = df.withColumn("_u", hash_digits(seed, key)).withColumn("_bin", F.substring("_u", 1, BIN_DIGITS))
     counts = sorted((r["_bin"], r["count"]) for r in binned.groupBy("_bin").count().collect())
     total = sum(n for _, n in counts)
-    if total > BINS * ROWS_PER_BIN:
+    if total > 16**BIN_DIGITS * ROWS_PER_BIN:
         ranked = _cut_points(df.withColumn("_all", F.lit(0)), "_all", seed, key, total)
         return total, ranked.select(*df.columns, (F.col("_rank") - 1).cast("long").alias("_place"))
     starts = [(b, at - n) for (b, n), at in zip(counts, accumulate(n for _, n in counts), strict=True)]
     inside = F.row_number().over(Window.partitionBy("_bin").orderBy("_u", key))
-    ranked = binned.withColumn("_in", inside).join(F.broadcast(df.sparkSession.createDataFrame(starts, "_bin int, _start long")), "_bin")
+    ranked = binned.withColumn("_in", inside).join(F.broadcast(df.sparkSession.createDataFrame(starts, "_bin string, _start long")), "_bin")
     return total, ranked.select(*df.columns, (F.col("_start") + F.col("_in") - 1).alias("_place"))
 
 

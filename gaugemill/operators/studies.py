@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from ..sources.tables import CONTINUOUS, DEBT_RATIO, INCOME, TARGET
 from .ecdf import ks_of_located, ks_two_sample
 from .metrics import batch_metrics
 from .profile import to_long
-from .psi import bin_of, bins_of_counted, edges_of_running, psi, psi_of_binned
+from .psi import FEW_VALUES, bin_of, bins_of_counted, edges_of_running, psi, psi_of_binned
 from .ranks import gathered, looked_up_parts, running
 from .rules import c
 from .sampling import draws, uniform_sample
@@ -57,19 +59,21 @@ def false_alarms(reference: DataFrame, holdout: DataFrame, features: list[str],
     return false_alarms_of_split(both, features, sizes, repeats, seed, key)
 
 
-def false_alarms_of_split(rows: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k") -> DataFrame:
+def false_alarms_of_split(rows: DataFrame, features: list[str], sizes=AA_SIZES, repeats: int = AA_REPEATS, seed: str = "aa", key: str = "k", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The same of one table (``reference`` boolean, ``key``, ``features``), whose values are counted in one pass.
 
     Each distinct value is put once into the order of the reference's; a draw looks its rows up there, so that it is measured from its
-    own rows alone. Rows of frequent values are counted before they are shuffled. Null values are in no draw's counts."""
+    own rows alone. Rows of frequent values are counted before they are shuffled. Null values are in no draw's counts. ``keep`` writes
+    the tables of distinct values and that of edges and gives what was written, for their many readers."""
+    keep = keep or (lambda df: gathered(df, "feature"))
     # Numbers stand for features while there is a row for each draw.
     stack = F.expr(f"stack({len(features)}, {', '.join(f'{i}, `{f}`' for i, f in enumerate(features))}) AS (feature, value)")
     named = lambda df: df.withColumn("feature", F.get(F.array(*map(F.lit, features)), F.col("feature")))
     per = rows.select("reference", stack).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("reference").alias("_n"), F.count_if(~F.col("reference")).alias("hits"))
-    per = gathered(per.withColumn("_m", F.when(F.isnan("value"), 0).otherwise(F.col("_n"))), "value", "feature")
-    run = gathered(running(per, "feature", sums=("_n", "_m")), "feature", "value")
+    per = keep(per.withColumn("_m", F.when(F.isnan("value"), 0).otherwise(F.col("_n"))))
+    run = keep(running(per, "feature", sums=("_n", "_m")))
     numbers = run.where("_m > 0").select("feature", "value", F.col("_m").alias("_n"), F.col("_m_before").alias("_n_before"), F.col("_m_all").alias("_n_all"))
-    edges = edges_of_running(numbers)
+    edges = keep(edges_of_running(numbers))
     lines = run.where("hits > 0 AND _n_all > 0").join(F.broadcast(edges), "feature")
     lines = lines.select("feature", "value", F.col("_n_before").alias("below"), (F.col("_n_before") + F.col("_n")).alias("upto"), F.col("_n_all").alias("total"), bin_of(F.col("value"), F.col("interior")).alias("bin"), "hits")
     drawn = draws(rows.where("NOT reference").select(key, *[F.col(f"`{f}`") for f in features]), sizes, repeats, seed, key)
@@ -78,10 +82,11 @@ def false_alarms_of_split(rows: DataFrame, features: list[str], sizes=AA_SIZES,
     at = hot.groupBy(*place).agg(F.count(F.lit(1)).alias("c")).unionByName(cold.select(*place, F.lit(1).cast("long").alias("c")))
     # One exchange: all that follows keeps a draw's feature together.
     by = ["n", "repeat", "feature"]
-    at = gathered(at, *by).groupBy(*place).agg(F.sum("c").alias("c"))
-    ks = ks_of_located(at, "n", "repeat")
-    ks = ks.select(*by, F.col("ks").alias("ks_statistic"), kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
-    bins = at.groupBy(*by, "bin").agg(F.sum("c").alias("_n"))
+    at = at.repartition(*by).groupBy(*place).agg(F.sum("c").alias("c"))
+    bin_counts = F.array(*[F.sum(F.when(F.col("bin") == i, F.col("c"))) for i in range(FEW_VALUES + 1)])  # more than there are
+    tests = gathered(ks_of_located(at, "n", "repeat", also=(bin_counts.alias("bins"),)), "feature", "n", "repeat")  # in another order, or the exchange would be left out
+    ks = tests.select(*by, F.col("ks").alias("ks_statistic"), kolmogorov_pvalue(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
+    bins = tests.select(*by, F.posexplode("bins").alias("bin", "_n")).where("_n IS NOT NULL")
     return named(ks.join(psi_of_binned(bins_of_counted(numbers, edges), bins, edges, "n", "repeat"), by))
 
 
