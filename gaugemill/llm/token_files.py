@@ -324,11 +324,14 @@ def _documents(name: str, r: Reader):
 
 
 def with_starts(read: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before each, from one total for each file and a running sum inside it."""
+    """Adds ``start``: the ids of all documents before each, from one total for each file and a running sum inside it.
+
+    The totals are broadcast, a row for each file: what ``read`` reads from as few rows would else be taken for small and
+    gathered by the driver, with a row for each document."""
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     totals = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_ids_before"))
     inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return read.join(totals, "file").select(*read.columns, (F.col("_ids_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
+    return read.join(F.broadcast(totals), "file").select(*read.columns, (F.col("_ids_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
 
 
 def op12_token_files(spark, sf_dir):
