@@ -51,9 +51,17 @@ def midranks_of_values(current: DataFrame, reference: DataFrame) -> DataFrame:
     return _ranked_values(counted(current), counted(reference)).withColumnRenamed("hits", "rows")
 
 
+def midrank_of_own(rows: DataFrame, ecdf: DataFrame, *keys: str) -> DataFrame:
+    """``midrank`` of the rows that ``ecdf`` was fitted on: it has each of their values, so none is looked for between two."""
+    return looked_up(rows.select(*keys, "feature", "value"), ecdf.select("feature", "value", _mid().alias("u"), (F.col("upto") - F.col("below")).alias("hits")), "hits").select(*keys, "feature", "value", "u")
+
+
+def _mid() -> Column:
+    return F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), (F.col("below") + F.col("upto")) / (2.0 * F.col("total"))))
+
+
 def _ranked_values(current: DataFrame, reference: DataFrame) -> DataFrame:
-    u = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), (F.col("below") + F.col("upto")) / (2.0 * F.col("total"))))
-    return located_counts(reference, current).select("feature", "value", u.alias("u"), "hits")
+    return located_counts(reference, current).select("feature", "value", _mid().alias("u"), "hits")
 
 
 def _midrank(current: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:

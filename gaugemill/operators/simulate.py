@@ -93,14 +93,19 @@ def stress_labels(df: DataFrame, u: str, s: float, extra: float, seed: str, key:
     return scaled.withColumn("flipped", F.coalesce(flip, F.lit(False)).cast("int")).withColumn(TARGET, F.when(F.col("flipped") == 1, "1").otherwise(c(TARGET))).drop("stress_c")
 
 
-def simulate_month(pool: DataFrame, month: int, cfg: SimulationConfig, key: str = "row_id") -> DataFrame:
-    """``pool`` has z scores and u_util (mid-rank of utilisation); adds ``month``."""
-    out, s = draw_batch(pool, month, cfg, key), intensity(month, cfg.n_months)
+def change_batch(batch: DataFrame, month: int, cfg: SimulationConfig, key: str = "row_id") -> DataFrame:
+    """Inflates a drawn batch and flips its labels as the month and the arm say; adds ``month``."""
+    out, s = batch, intensity(month, cfg.n_months)
     out = inflate(out, 1.0 + cfg.inflation * s) if cfg.nominal and month else out.withColumn("inflated", F.lit(0))
     out = stress_labels(out, "u_util", s, cfg.stress_extra, f"{cfg.seed}:flip:{month}", key) if cfg.stress and month else out.withColumn("flipped", F.lit(0))
     return out.withColumn("month", F.lit(month))
 
 
+def simulate_month(pool: DataFrame, month: int, cfg: SimulationConfig, key: str = "row_id") -> DataFrame:
+    """``pool`` has z scores and u_util (mid-rank of utilisation); adds ``month``."""
+    return change_batch(draw_batch(pool, month, cfg, key), month, cfg, key)
+
+
 def simulate(pool: DataFrame, cfg: SimulationConfig, key: str = "row_id") -> DataFrame:
     """All months of one arm in one plan."""
     out = simulate_month(pool, 0, cfg, key)
@@ -118,6 +123,28 @@ def simulate_arms(pool: DataFrame, cfg: SimulationConfig, arms=ARMS, key: str =
     return out
 
 
+def draw_arms(pool: DataFrame, cfg: SimulationConfig, arms=ARMS, key: str = "row_id") -> DataFrame:
+    """The batches that the arms draw, each once: arms with the same seed draw the same rows of a month if both weigh them or
+    neither does. ``drawn_month`` and ``weighed`` name the batch."""
+    out = None
+    for month, weighed in sorted({(m, bool(arm(cfg, name).composition and m)) for name in arms for m in range(cfg.n_months + 1)}):
+        part = draw_batch(pool, month, replace(cfg, composition=weighed), key).withColumn("drawn_month", F.lit(month)).withColumn("weighed", F.lit(weighed))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def simulate_drawn(drawn: DataFrame, cfg: SimulationConfig, arms=ARMS, key: str = "row_id") -> DataFrame:
+    """The rows of ``simulate_arms`` from those of ``draw_arms``, which should be a table: each month of each arm reads it."""
+    out = None
+    for name in arms:
+        own = arm(cfg, name)
+        for m in range(cfg.n_months + 1):
+            batch = drawn.where((F.col("drawn_month") == m) & (F.col("weighed") == F.lit(bool(own.composition and m)))).drop("drawn_month", "weighed")
+            part = change_batch(batch, m, own, key).withColumn("scenario", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def month_metrics(scored: DataFrame) -> DataFrame:
     return batch_metrics(scored, "scenario", "month")
 

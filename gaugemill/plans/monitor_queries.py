@@ -11,13 +11,13 @@ from ..operators import models as MO
 from ..operators import monitor as MON
 from ..operators import simulate as SIM
 from ..operators.clean import clean, feature_matrix, fit_imputation, impute, income_missing
-from ..operators.ecdf import fit_ecdf, midrank, normal_score
+from ..operators.ecdf import fit_ecdf, midrank_of_own, normal_score
 from ..operators.profile import to_long
 from ..operators.rules import c
 from ..operators.sampling import stratified_split
 from ..sources import sinks
 from ..sources.tables import AGE, CONTINUOUS, DEBT_RATIO, INCOME, INCOME_MISSING, LATE30, LATE60, LATE90, LINE_FEATURES, TARGET, UTILIZATION, credit, read_table
-from .helpers import WITH_CREDIT, rounded, rsql
+from .helpers import WITH_CREDIT, rounded, rsql, written
 
 _U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 
@@ -96,10 +96,10 @@ def stress_flip(spark, d):
 
 def _pool(spark, d):
     """Clean rows with normal scores of the five columns that weigh, and mid-rank utilisation."""
-    df = clean(credit(spark, d)).na.fill({INCOME: 5000.0, DEBT_RATIO: 0.3})
+    df = written(clean(credit(spark, d)).na.fill({INCOME: 5000.0, DEBT_RATIO: 0.3}), "clean")
     names = {UTILIZATION: "util", AGE: "age", LATE30: "d30", LATE60: "d60", LATE90: "d90"}
     long = to_long(df, names, "row_id")
-    z = normal_score(midrank(long, fit_ecdf(long.drop("row_id")), "row_id"))
+    z = normal_score(midrank_of_own(long, written(fit_ecdf(long.drop("row_id")), "ecdf"), "row_id"))
     wide = z.groupBy("row_id").pivot("feature", list(names)).agg(F.first("z").alias("z"), F.first("u").alias("u"))
     wide = wide.select("row_id", *[F.col(f"`{k}_z`").alias(f"z_{v}") for k, v in names.items()], F.col(f"`{UTILIZATION}_u`").alias("u_util"))
     return df.join(wide, "row_id")
@@ -116,9 +116,11 @@ def composition_month(spark, d):
 
 
 def ablation_metrics(spark, d):
-    out = SIM.simulate_arms(_pool(spark, d).persist(), _CFG)  # sixteen months read it
+    """Pool, batches and scored rows are tables: a plan that holds those before it for each of its readers does not fit the driver."""
+    drawn = written(SIM.draw_arms(written(_pool(spark, d), "pool"), _CFG), "drawn")
+    out = SIM.simulate_drawn(drawn, _CFG)
     y = F.when(c(TARGET) == "1", 1).otherwise(0)
-    scored = out.select("scenario", "month", y.alias("y"), (MO.stub_score(F.col("u_util")) * 0.12).alias("p"), "inflated", "flipped").persist()
+    scored = written(out.select("scenario", "month", y.alias("y"), (MO.stub_score(F.col("u_util")) * 0.12).alias("p"), "inflated", "flipped"), "scored")
     counts = scored.groupBy("scenario", "month").agg(F.sum("inflated").alias("inflated_rows"), F.sum("flipped").alias("label_flips"))
     return rounded(SIM.month_metrics(scored).join(counts, ["scenario", "month"]))
 
