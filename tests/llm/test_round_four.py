@@ -1,11 +1,14 @@
-"""What the driver holds does not grow with the documents."""
+"""What the driver holds does not grow with the documents: joins of token files, sizes of the component search's tables."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from gaugemill.llm import token_files
 from gaugemill.llm.common import fresh_path
+from gaugemill.llm.components import components
 
 
 def _broadcasts(node):
@@ -27,3 +30,12 @@ def test_starts_of_documents_gather_a_row_for_each_file(spark):
     assert len(out.collect()) == 4000
     gathered = _broadcasts(out._jdf.queryExecution().executedPlan())
     assert gathered and max(gathered) <= files.count()
+
+
+def test_components_of_a_long_chain_keep_sizes_small(spark):
+    ids = list(range(200))
+    random.Random(5).shuffle(ids)
+    out = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert [tuple(r) for r in out.groupBy("component").count().collect()] == [(0, 200)]
+    size = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert len(str(size)) < 9
