@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from gaugemill.operators import ecdf, simulate
+from gaugemill.operators import ecdf, models, simulate
 from gaugemill.plans import catalogue
 from gaugemill.sources.tables import DEBT_RATIO, INCOME, INCOME_MISSING, TARGET
 
@@ -31,3 +32,12 @@ def test_ablation_keeps_no_plan_of_what_is_before_it(spark, sf_dir):
     out = catalogue.queries()["ablation_metrics"](spark, sf_dir)
     assert "InMemoryRelation" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.select("scenario", "month").distinct().count() == 16
+
+
+@pytest.mark.parametrize("name", ["impact_from_model", "seed_refits"])
+def test_boosted_candidate_has_all_its_trees(name, spark, sf_dir, monkeypatch):
+    """Only the number that is asked for is tested here; two trees are fitted."""
+    asked, fitted = [], models._boosted
+    monkeypatch.setattr(models, "_boosted", lambda seed, trees: asked.append(trees) or fitted(seed, 2))
+    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+    assert set(asked) == {400} and spark.sparkContext.getCheckpointDir()
