@@ -13,10 +13,11 @@ SALTS = 8
 
 def _by_hub(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """A join in which one key may have most rows of ``left``, narrow ones, and ``right`` has one row for each:
-    the rows of a key are dealt over ``SALTS`` tasks and the row that they look for goes to each."""
+    the rows of a key are dealt over ``SALTS`` tasks and the row that they look for goes to each. Files of ids are much smaller
+    than their rows, and the salts are not counted: a plan by size would broadcast ``right``, so a merge is asked for."""
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -52,4 +53,4 @@ def components(links: DataFrame) -> DataFrame:
         links = _settled(links.distinct())
     if found is None:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return found
+    return found.hint("merge")
